@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The surveyed job reads six files once and answers fixed questions; it has no stream,
+watermark, window over time or state. Nothing here is needed to run its queries, so no
+streaming operator is provided (see README, "Not built").
+"""
