@@ -29,6 +29,20 @@ def apply_types(df: DataFrame, types: Mapping[str, T.DataType] = NUMERIC_TYPES)
     return df.select(*cols)
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin a scan that arrives in fewer partitions than the cluster has cores.
+
+    A gzip CSV or a parquet file with a single row group is read by one task, and every
+    narrow step after it (projections, the map side of the dedup) would run in that task.
+    Large inputs come in many splits and are returned unchanged, so no extra shuffle is
+    added where the scan is already parallel.
+    """
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
+
+
 def load_table(spark: SparkSession, path: str, fmt: str = "csv",
                schema: T.StructType | None = None,
                types: Mapping[str, T.DataType] = NUMERIC_TYPES,
@@ -50,7 +64,7 @@ def load_table(spark: SparkSession, path: str, fmt: str = "csv",
         reader = reader.schema(schema)
     for k, v in (options or {}).items():
         reader = reader.option(k, v)
-    return apply_types(reader.load(path), types)
+    return apply_types(spread(reader.load(path)), types)
 
 
 def load_tables(spark: SparkSession, paths: Mapping[str, str], fmt: str = "csv",

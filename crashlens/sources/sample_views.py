@@ -17,12 +17,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crashlens.plans.tables import Incidents
+from crashlens.sources.io import spread
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def _read_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lineitem``, the table every view is built on, spread over the cores if its scan
+    is narrower than the cluster (the test files hold one row group each)."""
+    return spread(_read(spark, sf_dir, "lineitem"))
+
+
 def _code(expr: Column, mapping: dict[int, str], default: Column | None = None) -> Column:
     """``CASE expr WHEN k THEN v ... ELSE default END`` (default NULL)."""
     out = None
@@ -52,7 +59,7 @@ PROPERTIES = {0: "NONE", 1: "No Damages to Pole", 2: "FENCE", 3: "MAILBOX"}
 
 
 def sample_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = _read(spark, sf_dir, "lineitem")
+    li = _read_facts(spark, sf_dir)
     part = _read(spark, sf_dir, "part")
     qty = F.col("l_quantity").cast("int")
     disc = F.round(F.col("l_discount") * 100).cast("int")
@@ -83,7 +90,7 @@ def sample_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sample_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = _read(spark, sf_dir, "lineitem")
+    li = _read_facts(spark, sf_dir)
     orders = _read(spark, sf_dir, "orders")
     cust = _read(spark, sf_dir, "customer")
     qty = F.col("l_quantity").cast("int")
@@ -107,7 +114,7 @@ def sample_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sample_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "lineitem").select(
+    return _read_facts(spark, sf_dir).select(
         F.col("l_orderkey").alias("crash_id"),
         F.col("l_linenumber").alias("unit_nbr"),
         (F.lit(1) + F.col("l_partkey") % 2).cast("int").alias("prsn_nbr"),
@@ -117,7 +124,7 @@ def sample_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sample_damages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "lineitem").select(
+    return _read_facts(spark, sf_dir).select(
         F.col("l_orderkey").alias("crash_id"),
         _code(F.col("l_partkey") % 5, PROPERTIES).alias("damaged_property"),
     )
