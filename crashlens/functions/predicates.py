@@ -54,8 +54,14 @@ def icontains_any(cols: str | Column | Iterable[str | Column], words: str | Iter
 
 def not_placeholder(c: str | Column, placeholders: Iterable[str] = PLACEHOLDERS,
                     case_insensitive: bool = True) -> Column:
-    """``NOT upper(c) IN (placeholders)``; NULL stays NULL, so ``where`` drops it too."""
+    """``NOT upper(c) IN (placeholders)``; NULL stays NULL, so ``where`` drops it too.
+
+    With no placeholders only NULL is excluded (Spark reads ``NULL IN ()`` as false, which
+    would otherwise let NULL through for an empty list only).
+    """
     values = [p.upper() for p in placeholders] if case_insensitive else list(placeholders)
+    if not values:
+        return _col(c).isNotNull()
     base = F.upper(_col(c)) if case_insensitive else _col(c)
     return ~base.isin(*values)
 
