@@ -357,4 +357,22 @@ SELECT 'o_orderpriority' AS "column", o_orderpriority AS value, count(*) AS n FR
 SELECT DISTINCT l_orderkey FROM lineitem ORDER BY l_orderkey DESC LIMIT 20""",
 }
 
-ORACLE_SQL = {**QUESTIONS_SQL, **OPERATORS_SQL}
+PROFILE_SQL = {
+    "profile_units": _with(_UNITS) + """
+SELECT (SELECT count(*) FROM units) AS n_rows,
+       (SELECT count(*) FROM (SELECT DISTINCT * FROM units)) AS n_distinct_rows,
+       (SELECT count(*) FROM (SELECT DISTINCT crash_id, unit_nbr FROM units)) AS n_keys,
+       (SELECT count(*) FROM units WHERE crash_id IS NULL OR CAST(crash_id AS VARCHAR) IN ('NA')) AS n_missing""",
+
+    "value_counts_units": _with(_UNITS) + """
+SELECT 'veh_body_styl_id' AS "column", veh_body_styl_id AS value, count(*) AS n
+FROM units GROUP BY veh_body_styl_id
+UNION ALL
+SELECT 'veh_color_id', veh_color_id, count(*) FROM units GROUP BY veh_color_id
+UNION ALL
+SELECT 'veh_dmag_scl_1_id', veh_dmag_scl_1_id, count(*) FROM units GROUP BY veh_dmag_scl_1_id
+UNION ALL
+SELECT 'tot_injry_cnt', CAST(tot_injry_cnt AS VARCHAR), count(*) FROM units GROUP BY tot_injry_cnt""",
+}
+
+ORACLE_SQL = {**QUESTIONS_SQL, **OPERATORS_SQL, **PROFILE_SQL}

@@ -37,6 +37,16 @@ GRADE_THRESHOLD = "DAMAGED 4"
 ENTITY_ORDER = list(UNIT_KEY)
 
 
+def _raw(t: Incidents, name: str) -> DataFrame:
+    """The table with all its rows (the ``"any"`` match modes test rows before the dedup)."""
+    if t.deduped:
+        raise ValueError(f"match mode 'any' needs the raw {name!r} table, not a deduped one")
+    df = getattr(t, name)
+    if df is None:
+        raise ValueError(f"table {name!r} is needed by this question")
+    return df
+
+
 def q1(t: Incidents, more_than: int = 2) -> DataFrame:
     """Crashes in which more than ``more_than`` males were killed.
 
@@ -97,14 +107,17 @@ def q4_count(t: Incidents) -> DataFrame:
     return count_entities(_hit_and_run(t), VEHICLE_COLS)
 
 
-def q5(t: Incidents, k: int = 1) -> DataFrame:
+def q5(t: Incidents, k: int = 1, placeholders: tuple[str, ...] = ()) -> DataFrame:
     """The driver-licence state with most crashes in which no person is female.
 
     Columns: ``drvr_lic_state_id, count_of_accidents``. Persons are first reduced to one
     row per ``(crash, state)`` with their female count (partial aggregation, so a crash
     with very many rows shrinks to at most one row per state before any shuffle); the
-    crash-level test is then a window over those few rows per crash. Same answer as
-    "crashes without females, joined back to persons, distinct crashes per state".
+    crash-level test is then a window over those few rows per crash (a crash has at most
+    one row per distinct state). Same answer as "crashes without females, joined back to
+    persons, distinct crashes per state". State codes such as ``NA`` are counted like any
+    other state, as in the job, unless listed in ``placeholders`` (then NULL is left out
+    too); the female test still sees every person.
     """
     female = "__crashlens_females"
     per_state = (t.persons_by_key().where(F.col("crash_id").isNotNull())
@@ -113,6 +126,8 @@ def q5(t: Incidents, k: int = 1) -> DataFrame:
     no_female = (per_state
                  .withColumn(female, F.sum(female).over(Window.partitionBy("crash_id")))
                  .where(F.col(female) == 0))
+    if placeholders:
+        no_female = no_female.where(not_placeholder("drvr_lic_state_id", placeholders))
     counted = group_count(no_female, "drvr_lic_state_id", "count_of_accidents")
     return top_k(counted, "count_of_accidents", k, "drvr_lic_state_id")
 
@@ -143,15 +158,19 @@ def q7(t: Incidents) -> DataFrame:
     return best.orderBy(F.col("count").desc(), F.col("veh_body_styl_id").asc_nulls_last())
 
 
-def q8(t: Incidents, k: int = 5) -> DataFrame:
+def q8(t: Incidents, k: int = 5, body_style: str | None = None) -> DataFrame:
     """Top ``k`` driver zips by crashes with alcohol as a factor (any factor column
     mentions ALCOHOL or DRINKING, or the test result is POSITIVE).
 
-    Columns: ``drvr_zip, crash_count``. All units are taken, as in the job.
+    Columns: ``drvr_zip, crash_count``. All units are taken, as in the job, unless
+    ``body_style`` names a word the body style must contain (``"CAR"`` for cars only).
     """
     persons = t.persons_by_key().where(F.col("drvr_zip").isNotNull()
                                        & not_placeholder("drvr_zip", ("UNKNOWN",)))
-    joined = join_on(t.units_by_key().select(*UNIT_KEY, *FACTOR_COLS),
+    units = t.units_by_key()
+    if body_style:
+        units = units.where(icontains("veh_body_styl_id", body_style))
+    joined = join_on(units.select(*UNIT_KEY, *FACTOR_COLS),
                      persons.select(*UNIT_KEY, "drvr_zip", "prsn_alc_rslt_id"), UNIT_KEY)
     alcohol = joined.where(icontains_any(FACTOR_COLS, ALCOHOL_WORDS)
                            | icontains("prsn_alc_rslt_id", "POSITIVE"))
@@ -159,36 +178,46 @@ def q8(t: Incidents, k: int = 5) -> DataFrame:
     return top_k(counted, "crash_count", k, "drvr_zip")
 
 
-def _q9_sides(t: Incidents) -> tuple[DataFrame, DataFrame]:
+def _q9_sides(t: Incidents, damage_match: str) -> tuple[DataFrame, DataFrame]:
     units = t.units_by_key().where(grade_above(GRADE_COLS, GRADE_THRESHOLD)
                                    & icontains("fin_resp_type_id", "INSURANCE"))
-    damages = t.damages_by_key().where(icontains_any("damaged_property", NO_DAMAGE_WORDS))
+    no_damage = icontains_any("damaged_property", NO_DAMAGE_WORDS)
+    if damage_match == "first":
+        damages = t.damages_by_key().where(no_damage)
+    elif damage_match == "any":
+        damages = dedup_by_key(_raw(t, "damages").where(no_damage), CRASH_KEY)
+    else:
+        raise ValueError(f"damage_match must be 'first' or 'any', not {damage_match!r}")
     return units, damages
 
 
-def q9(t: Incidents) -> DataFrame:
+def q9(t: Incidents, damage_match: str = "first") -> DataFrame:
     """Distinct crashes with no damaged property, a damage grade above 4 and insurance:
     one Units row per crash (smallest ``unit_nbr``) with its ``damaged_property``, sorted
     by ``crash_id`` descending.
 
+    ``damage_match="first"`` (the job's rule) tests the one damage row kept per crash;
+    ``"any"`` accepts a crash if any of its damage rows says no damage.
+
     Damages hold one row per crash, so picking the unit per crash before the join gives the
     same rows as after it; the join is then one-to-one on ``crash_id`` and a crash with
     very many units is reduced inside the map tasks first.
     """
-    units, damages = _q9_sides(t)
+    units, damages = _q9_sides(t, damage_match)
     one_per_crash = dedup_by_key(units, CRASH_KEY)
     return join_on(one_per_crash, damages, CRASH_KEY).orderBy(F.col("crash_id").desc())
 
 
-def q9_count(t: Incidents) -> DataFrame:
+def q9_count(t: Incidents, damage_match: str = "first") -> DataFrame:
     """Number of rows of :func:`q9`, as column ``n``."""
-    units, damages = _q9_sides(t)
+    units, damages = _q9_sides(t, damage_match)
     crashes = units.select("crash_id").distinct()
     return crashes.join(damages.select("crash_id"), "crash_id", "left_semi") \
         .agg(F.count(F.lit(1)).alias("n"))
 
 
-def q10(t: Incidents, k: int = 5, top_colours: int = 10, top_states: int = 25) -> DataFrame:
+def q10(t: Incidents, k: int = 5, top_colours: int = 10, top_states: int = 25,
+        charge_match: str = "first") -> DataFrame:
     """Top ``k`` makes by speeding charges of licensed drivers, for vehicles with one of the
     ``top_colours`` most common colours and licensed in one of the ``top_states`` states
     with most vehicles. Columns: ``veh_make_id, offence_count``.
@@ -197,7 +226,9 @@ def q10(t: Incidents, k: int = 5, top_colours: int = 10, top_states: int = 25) -
     of the two rankings. The two allow-lists are top-k results, so their size is bounded by
     k; they are broadcast into semi joins within the same plan (no collect to the driver).
     Units and persons are joined first (both are already partitioned on the unit key by
-    their dedup), then charges on the three person keys.
+    their dedup), then charges on the three person keys. ``charge_match="first"`` (the
+    job's rule) tests the one charge kept per person; ``"any"`` counts a person with any
+    speeding charge.
     """
     units = t.units_by_key()
     colours = top_k_count(units.where(not_placeholder("veh_color_id", ("NA",), case_insensitive=False)
@@ -210,7 +241,13 @@ def q10(t: Incidents, k: int = 5, top_colours: int = 10, top_states: int = 25) -
     units = restrict_to(units, states, "veh_lic_state_id", max_rows=top_states)
     persons = t.persons_by_key().where(icontains("prsn_type_id", "DRIVER")
                                        & icontains_any("drvr_lic_cls_id", LICENCE_WORDS))
-    charges = t.charges_by_key().where(icontains("charge", "SPEED"))
+    speeding = icontains("charge", "SPEED")
+    if charge_match == "first":
+        charges = t.charges_by_key().where(speeding)
+    elif charge_match == "any":
+        charges = dedup_by_key(_raw(t, "charges").where(speeding), CHARGE_KEY)
+    else:
+        raise ValueError(f"charge_match must be 'first' or 'any', not {charge_match!r}")
     joined = join_on(units.select(*UNIT_KEY, "veh_make_id"),
                      persons.select(*CHARGE_KEY), UNIT_KEY)
     joined = join_on(joined, charges.select(*CHARGE_KEY), CHARGE_KEY)

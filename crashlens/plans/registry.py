@@ -146,6 +146,15 @@ def q_value_counts(spark, sf_dir):
     return value_counts(_t(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"])
 
 
+def q_profile_units(spark, sf_dir):
+    return profile_table(sample_incidents(spark, sf_dir).units, ["crash_id", "unit_nbr"], "crash_id")
+
+
+def q_value_counts_units(spark, sf_dir):
+    return value_counts(sample_incidents(spark, sf_dir).units,
+                        ["veh_body_styl_id", "veh_color_id", "veh_dmag_scl_1_id", "tot_injry_cnt"])
+
+
 def q_largest_keys(spark, sf_dir):
     return largest_keys(_t(spark, sf_dir, "lineitem"), "l_orderkey", 20)
 
@@ -188,6 +197,8 @@ OPERATOR_QUERIES: dict[str, Query] = {
     "profile_table": q_profile_table,
     "missing_counts": q_missing_counts,
     "value_counts": q_value_counts,
+    "profile_units": q_profile_units,
+    "value_counts_units": q_value_counts_units,
     "largest_keys": q_largest_keys,
 }
 

@@ -77,3 +77,36 @@ def test_job_end_to_end_from_csv(spark, tmp_out):
     q10 = spark.read.option("header", True).csv(os.path.join(out, "analysis_q10"))
     assert sorted(tuple(r) for r in q10.collect()) == [("FORD", "2"), ("HONDA", "1")]
     assert glob.glob(os.path.join(out, "analysis_q9", "part-*"))
+
+
+def test_match_modes_and_options(tables):
+    assert rows(Q.q10(tables, charge_match="any")) == [("FORD", 3), ("HONDA", 1)]
+    assert rows(Q.q9_count(tables, damage_match="any")) == [(3,)]
+    assert sorted(r.crash_id for r in Q.q9(tables, damage_match="any").collect()) == [100, 101, 103]
+    assert [tuple(r) for r in Q.q5(tables, k=5).collect()] == [("Texas", 2), ("NA", 1)]
+    assert [tuple(r) for r in Q.q5(tables, k=5, placeholders=("NA",)).collect()] == [("Texas", 2)]
+    assert rows(Q.q8(tables, body_style="CAR")) == [("90001", 1)]
+    with pytest.raises(ValueError):
+        Q.q10(tables, charge_match="some")
+    with pytest.raises(ValueError):
+        Q.q10(tables.with_tables(deduped=True), charge_match="any")
+
+
+def test_profile_job(spark, tables, tmp_out):
+    from crashlens.plans.profile_job import profile_tables, write_profiles
+    dfs = {"units": tables.units, "primary_person": tables.primary_person, "charges": tables.charges,
+           "damages": tables.damages, "endorse": tables.endorse, "restrict": tables.restrict}
+    prof = profile_tables(spark, dfs)
+    u = prof["units_profile"].collect()[0]
+    assert (u.n_rows, u.n_distinct_rows, u.n_keys, u.n_missing) == (9, 9, 8, 0)
+    c = prof["charges_profile"].collect()[0]
+    assert (c.n_rows, c.n_keys) == (7, 6)
+    d = prof["damages_profile"].collect()[0]
+    assert (d.n_rows, d.n_keys) == (4, 3)
+    assert prof["units_vehicle_count"].collect()[0].n == 7
+    vals = {(r.column, r.value): r.n for r in prof["units_values"].collect()}
+    assert vals[("veh_make_id", "FORD")] == 3 and vals[("death_cnt", "1")] == 2
+    assert [r.unit_nbr for r in prof["units_largest_unit_nbr"].collect()] == [3, 2, 1]
+    assert prof["units_missing"].collect()[0].n_missing_veh_mod_year == 1
+    written = write_profiles(prof, tmp_out)
+    assert len(written) == len(prof)
