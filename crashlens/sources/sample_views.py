@@ -58,9 +58,10 @@ CHARGES = {0: "SPEEDING - 10% OVER", 1: "Unsafe Speed"}
 PROPERTIES = {0: "NONE", 1: "No Damages to Pole", 2: "FENCE", 3: "MAILBOX"}
 
 
-def sample_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = _read_facts(spark, sf_dir)
-    part = _read(spark, sf_dir, "part")
+def sample_units(spark: SparkSession, sf_dir: str, li: DataFrame | None = None,
+                 part: DataFrame | None = None) -> DataFrame:
+    li = li if li is not None else _read_facts(spark, sf_dir)
+    part = part if part is not None else _read(spark, sf_dir, "part")
     qty = F.col("l_quantity").cast("int")
     disc = F.round(F.col("l_discount") * 100).cast("int")
     tax = F.round(F.col("l_tax") * 100).cast("int")
@@ -89,10 +90,11 @@ def sample_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
 
 
-def sample_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = _read_facts(spark, sf_dir)
-    orders = _read(spark, sf_dir, "orders")
-    cust = _read(spark, sf_dir, "customer")
+def sample_persons(spark: SparkSession, sf_dir: str, li: DataFrame | None = None,
+                   orders: DataFrame | None = None, cust: DataFrame | None = None) -> DataFrame:
+    li = li if li is not None else _read_facts(spark, sf_dir)
+    orders = orders if orders is not None else _read(spark, sf_dir, "orders")
+    cust = cust if cust is not None else _read(spark, sf_dir, "customer")
     qty = F.col("l_quantity").cast("int")
     zip50 = F.col("o_custkey") % 50
     return (li.join(orders, li.l_orderkey == orders.o_orderkey, "inner")
@@ -113,8 +115,8 @@ def sample_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
 
 
-def sample_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read_facts(spark, sf_dir).select(
+def sample_charges(spark: SparkSession, sf_dir: str, li: DataFrame | None = None) -> DataFrame:
+    return (li if li is not None else _read_facts(spark, sf_dir)).select(
         F.col("l_orderkey").alias("crash_id"),
         F.col("l_linenumber").alias("unit_nbr"),
         (F.lit(1) + F.col("l_partkey") % 2).cast("int").alias("prsn_nbr"),
@@ -123,16 +125,20 @@ def sample_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sample_damages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read_facts(spark, sf_dir).select(
+def sample_damages(spark: SparkSession, sf_dir: str, li: DataFrame | None = None) -> DataFrame:
+    return (li if li is not None else _read_facts(spark, sf_dir)).select(
         F.col("l_orderkey").alias("crash_id"),
         _code(F.col("l_partkey") % 5, PROPERTIES).alias("damaged_property"),
     )
 
 
 def sample_incidents(spark: SparkSession, sf_dir: str) -> Incidents:
-    """The four incident tables the questions read, built from the test tables."""
-    return Incidents(units=sample_units(spark, sf_dir),
-                     primary_person=sample_persons(spark, sf_dir),
-                     charges=sample_charges(spark, sf_dir),
-                     damages=sample_damages(spark, sf_dir))
+    """The four incident tables the questions read, built from the test tables.
+
+    Each source table is read once (one footer read) and shared by the views that use it.
+    """
+    li = _read_facts(spark, sf_dir)
+    return Incidents(units=sample_units(spark, sf_dir, li),
+                     primary_person=sample_persons(spark, sf_dir, li),
+                     charges=sample_charges(spark, sf_dir, li),
+                     damages=sample_damages(spark, sf_dir, li))
