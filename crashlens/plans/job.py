@@ -24,8 +24,10 @@ from crashlens.sources.schemas import CHARGE_KEY, DAMAGE_KEY, UNIT_KEY
 def _stage(spark: SparkSession, df: DataFrame, keys: tuple[str, ...], buckets: int,
            folder: str, name: str) -> DataFrame:
     table = f"crashlens_{name}_{uuid.uuid4().hex[:12]}"
+    # No sortBy: bucketed scans do not report a sort order, so the join sorts anyway and
+    # a write-side sort would only cost time.
     (df.write.mode("overwrite").format("parquet")
-       .bucketBy(buckets, *keys).sortBy(*keys)
+       .bucketBy(buckets, *keys)
        .option("path", os.path.join(folder, name))
        .saveAsTable(table))
     return spark.table(table)

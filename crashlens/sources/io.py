@@ -37,10 +37,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     Large inputs come in many splits and are returned unchanged, so no extra shuffle is
     added where the scan is already parallel.
     """
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+    try:
+        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # a session without the RDD API (Spark Connect): leave the plan alone
+        return df
+    return df.repartition(want) if have < want else df
 
 
 def load_table(spark: SparkSession, path: str, fmt: str = "csv",
