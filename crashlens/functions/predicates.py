@@ -81,6 +81,13 @@ def null_or_placeholder(c: str | Column, placeholders: Iterable[str] = ("NA",))
 _MAYBE_INT = r"^[\s\p{Cntrl}\p{Z}]*[+-]?[0-9]+(\.[0-9]*)?[\s\p{Cntrl}\p{Z}]*$"
 
 
+def int_or_null(c: str | Column, to: str = "int") -> Column:
+    """``try_cast(c as <to>)`` for an integral type, with the same cheap guard as
+    :func:`non_numeric` so that placeholder words never reach the slow failing cast."""
+    col = _col(c)
+    return F.when(col.rlike(_MAYBE_INT), col.try_cast(to))
+
+
 def non_numeric(c: str | Column) -> Column:
     """True for codes that do not parse as an integer (NULL counts as non-numeric).
 

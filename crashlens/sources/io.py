@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from crashlens.functions.predicates import int_or_null
 from crashlens.sources.schemas import NUMERIC_TYPES
 
 
@@ -22,10 +23,13 @@ def apply_types(df: DataFrame, types: Mapping[str, T.DataType] = NUMERIC_TYPES)
     cols = []
     for f in df.schema.fields:
         want = lowered.get(f.name.lower())
+        col = F.col(f"`{f.name}`")
         if want is None or f.dataType == want:
-            cols.append(F.col(f"`{f.name}`").alias(f.name.lower()))
+            cols.append(col.alias(f.name.lower()))
+        elif isinstance(f.dataType, T.StringType) and isinstance(want, (T.IntegerType, T.LongType)):
+            cols.append(int_or_null(col, want.simpleString()).alias(f.name.lower()))
         else:
-            cols.append(F.col(f"`{f.name}`").try_cast(want).alias(f.name.lower()))
+            cols.append(col.try_cast(want).alias(f.name.lower()))
     return df.select(*cols)
 
 

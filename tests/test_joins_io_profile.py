@@ -99,3 +99,21 @@ def test_missing_counts_value_counts_schema(spark):
     assert [tuple(x) for x in schema_rows(spark, df).collect()] == [("i", "int", True), ("s", "string", True)]
     assert [r.i for r in largest_keys(df, "i", 2).collect()] == [3, 1]
     assert sample_entities(df, ["s"], 10).count() == 3
+
+
+def test_load_units_with_declared_schema(spark, tmp_out):
+    from crashlens.sources.schemas import UNITS_COLUMNS, UNITS_SCHEMA
+    good = os.path.join(tmp_out, "units_good.csv")
+    with open(good, "w") as f:
+        f.write(",".join(c.upper() for c in UNITS_COLUMNS) + "\n")
+        f.write(",".join(["1", "2"] + ["X"] * 28 + ["0", "1", "0", "0", "0", "1", "NA"]) + "\n")
+    df = load_table(spark, good, schema=UNITS_SCHEMA)
+    r = df.collect()[0]
+    assert (r.crash_id, r.unit_nbr, r.tot_injry_cnt, r.death_cnt) == (1, 2, 1, None)
+    assert len(df.columns) == 37
+    bad = os.path.join(tmp_out, "units_bad.csv")
+    with open(bad, "w") as f:
+        f.write(",".join(["WRONG"] + [c.upper() for c in UNITS_COLUMNS[1:]]) + "\n")
+        f.write(",".join(["1", "2"] + ["X"] * 35) + "\n")
+    with pytest.raises(Exception):
+        load_table(spark, bad, schema=UNITS_SCHEMA).collect()

@@ -75,3 +75,15 @@ def test_unstaged_join_reuses_dedup_partitioning(spark, sample):
         assert plan.count("hashpartitioning(crash_id") == 2
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_answers_stable_across_partition_counts(spark, sample):
+    base = {name: sorted(map(tuple, fn(sample).collect()), key=str) for name, fn in Q.QUESTIONS.items()}
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        shuffled = sample.with_tables(units=sample.units.repartition(5), primary_person=sample.primary_person.repartition(2))
+        for name, fn in Q.QUESTIONS.items():
+            assert sorted(map(tuple, fn(shuffled).collect()), key=str) == base[name], name
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
