@@ -47,6 +47,21 @@ def profile_table(df: DataFrame, keys: Sequence[str], missing_col: str | None =
     )
 
 
+def key_counts(df: DataFrame, candidates: Sequence[Sequence[str]]) -> DataFrame:
+    """One row: ``n_rows`` and ``n_keys_<col>_<col>...`` per candidate key, the number of
+    distinct tuples of those columns (NULL counted as a value), to see which column set
+    identifies a row.
+
+    One aggregate for all candidates; each candidate is reduced inside the map tasks
+    before its shuffle.
+    """
+    aggs = [F.count(F.lit(1)).alias("n_rows")]
+    for cols in candidates:
+        name = "n_keys_" + "_".join(cols)
+        aggs.append(F.count_distinct(F.struct(*[F.col(c) for c in cols])).alias(name))
+    return df.agg(*aggs)
+
+
 def missing_counts(df: DataFrame, cols: Sequence[str], placeholders: Iterable[str] = ("NA",)) -> DataFrame:
     """One row with ``n_missing_<col>``: rows that are NULL or a placeholder, per column."""
     ph = list(placeholders)

@@ -342,6 +342,14 @@ SELECT (SELECT count(*) FROM lineitem) AS n_rows,
        (SELECT count(*) FROM lineitem
         WHERE l_orderkey IS NULL OR CAST(l_orderkey AS VARCHAR) IN ('NA')) AS n_missing""",
 
+    "key_counts": """
+SELECT (SELECT count(*) FROM lineitem) AS n_rows,
+       (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem))
+         AS n_keys_l_orderkey_l_linenumber,
+       (SELECT count(*) FROM (SELECT DISTINCT l_orderkey FROM lineitem)) AS n_keys_l_orderkey,
+       (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem))
+         AS n_keys_l_orderkey_l_linenumber_l_partkey""",
+
     "missing_counts": """
 SELECT count(*) FILTER (WHERE l_returnflag IS NULL OR l_returnflag IN ('NA', 'R')) AS n_missing_l_returnflag,
        count(*) FILTER (WHERE l_linenumber IS NULL OR CAST(l_linenumber AS VARCHAR) IN ('NA', 'R'))

@@ -1,7 +1,7 @@
 """The exploratory checks of the six incident tables as one profiling job.
 
 For each table: its schema, one aggregate with row count, exact-copy count, key count and
-missing-key count, value counts of its coded columns in long form, the largest unit
+missing-key count, distinct counts of candidate keys, value counts of its coded columns in long form, the largest unit
 numbers, NULL-or-``NA`` counts of the vehicle identity parts, and a sample of deduplicated
 vehicles. Every result is a DataFrame; nothing is collected to the driver.
 """
@@ -13,8 +13,9 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 
 from crashlens.operators.dedup import count_entities
-from crashlens.operators.profile import (largest_keys, missing_counts, profile_table,
-                                         sample_entities, schema_rows, value_counts)
+from crashlens.operators.profile import (key_counts, largest_keys, missing_counts,
+                                         profile_table, sample_entities, schema_rows,
+                                         value_counts)
 from crashlens.sources.io import result_path, write_result
 from crashlens.sources.schemas import (CHARGE_KEY, CHARGES, DAMAGES, ENDORSE, PERSON, RESTRICT,
                                        UNIT_KEY, UNITS, VEHICLE_COLS)
@@ -40,6 +41,11 @@ CODED_COLUMNS = {
             "contrib_factr_p1_id", "tot_injry_cnt", "death_cnt"),
 }
 MISSING_COLUMNS = {UNITS: ("vin", "veh_mod_year")}
+CANDIDATE_KEYS = {
+    CHARGES: (CHARGE_KEY,),
+    PERSON: (UNIT_KEY, ("crash_id", "unit_nbr", "prsn_nbr")),
+    UNITS: (UNIT_KEY, ("crash_id", "unit_nbr", "unit_desc_id"), VEHICLE_COLS),
+}
 
 
 def profile_tables(spark: SparkSession, tables: Mapping[str, DataFrame],
@@ -54,6 +60,9 @@ def profile_tables(spark: SparkSession, tables: Mapping[str, DataFrame],
         out[f"{name}_schema"] = schema_rows(spark, df)
         if keys:
             out[f"{name}_profile"] = profile_table(df, keys, keys[0])
+        candidates = [k for k in CANDIDATE_KEYS.get(name, ()) if set(k) <= cols]
+        if candidates:
+            out[f"{name}_key_counts"] = key_counts(df, candidates)
         coded = [c for c in CODED_COLUMNS.get(name, ()) if c in cols]
         if coded:
             out[f"{name}_values"] = value_counts(df, coded)

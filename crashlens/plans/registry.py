@@ -18,7 +18,8 @@ from crashlens.operators.dedup import count_entities, dedup_by_key, distinct_ent
 from crashlens.operators.groups import (conditional_count, count_distinct_by, group_count,
                                         group_sum, groups_with_more_than, groups_without)
 from crashlens.operators.joins import join_on, restrict_to
-from crashlens.operators.profile import largest_keys, missing_counts, profile_table, value_counts
+from crashlens.operators.profile import (key_counts, largest_keys, missing_counts, profile_table,
+                                         value_counts)
 from crashlens.operators.ranking import rank_band, top_k, top_k_count, top_per_group
 from crashlens.plans import questions as Q
 from crashlens.sources.sample_views import sample_incidents
@@ -138,6 +139,11 @@ def q_profile_table(spark, sf_dir):
     return profile_table(_t(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], "l_orderkey")
 
 
+def q_key_counts(spark, sf_dir):
+    return key_counts(_t(spark, sf_dir, "lineitem"),
+                      [["l_orderkey", "l_linenumber"], ["l_orderkey"], ["l_orderkey", "l_linenumber", "l_partkey"]])
+
+
 def q_missing_counts(spark, sf_dir):
     return missing_counts(_t(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linenumber"], ["NA", "R"])
 
@@ -195,6 +201,7 @@ OPERATOR_QUERIES: dict[str, Query] = {
     "join_on": q_join_on,
     "three_way_join": q_three_way_join,
     "profile_table": q_profile_table,
+    "key_counts": q_key_counts,
     "missing_counts": q_missing_counts,
     "value_counts": q_value_counts,
     "profile_units": q_profile_units,

@@ -104,6 +104,9 @@ def test_profile_job(spark, tables, tmp_out):
     d = prof["damages_profile"].collect()[0]
     assert (d.n_rows, d.n_keys) == (4, 3)
     assert prof["units_vehicle_count"].collect()[0].n == 7
+    k = prof["units_key_counts"].collect()[0]
+    assert (k.n_rows, k.n_keys_crash_id_unit_nbr,
+            k.n_keys_veh_lic_state_id_vin_veh_mod_year_veh_make_id) == (9, 8, 7)
     vals = {(r.column, r.value): r.n for r in prof["units_values"].collect()}
     assert vals[("veh_make_id", "FORD")] == 3 and vals[("death_cnt", "1")] == 2
     assert [r.unit_nbr for r in prof["units_largest_unit_nbr"].collect()] == [3, 2, 1]
