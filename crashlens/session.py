@@ -43,13 +43,17 @@ def build_session(master: str | None = None, app_name: str = "crashlens",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for staged tables and checkpoints.
 
-    Read from ``spark.checkpoint.dir`` as set by the cluster. Only when it is unset (local
-    runs, tests) a fresh local folder is made and registered with the context, so every
-    later call sees the same folder.
+    Read from ``spark.checkpoint.dir`` as set by the cluster. Only when it is unset in
+    local mode (local runs, tests) a fresh local folder is made and registered with the
+    context, so every later call sees the same folder; on a cluster an unset folder is an
+    error.
     """
     sc = spark.sparkContext
     path = sc.getCheckpointDir() or sc.getConf().get(CHECKPOINT_CONF, None)
     if not path:
+        if not sc.master.startswith("local"):
+            # A driver-local folder is not shared with the executors of a cluster.
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder shared by the cluster")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="crashlens-ckpt-"))
         path = sc.getCheckpointDir()
     return path.rstrip("/")

@@ -90,9 +90,9 @@ def write_result(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwr
                  options: Mapping[str, str] | None = None) -> str:
     """Write a result with any ``DataFrameWriter`` format; CSV gets a header line.
 
-    An empty result still yields a file with the header. Row order is kept inside each
-    part file only; results of a top-k or sorted question are small and come out in one
-    part file.
+    An empty result still yields a file with the header. A sorted result is range
+    partitioned, so each part file is sorted and the part files follow one another in
+    sort order; a top-k result is a single part file.
     """
     writer = df.write.format(fmt).mode(mode)
     if fmt == "csv":
