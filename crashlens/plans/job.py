@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from crashlens.plans.questions import QUESTIONS
 from crashlens.plans.tables import Incidents
-from crashlens.session import checkpoint_dir
+from crashlens.session import staging_path
 from crashlens.sources.io import load_tables, result_path, write_result
 from crashlens.sources.schemas import CHARGE_KEY, DAMAGE_KEY, UNIT_KEY
 
@@ -42,7 +42,7 @@ def stage_deduped(spark: SparkSession, t: Incidents, folder: str | None = None,
     about 128-256 MB. Units and Person share the key and the bucket count, which is what
     makes their join co-located.
     """
-    folder = folder or os.path.join(checkpoint_dir(spark), "staged", uuid.uuid4().hex)
+    folder = folder or staging_path(spark, uuid.uuid4().hex)
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     jobs = {"units": (t.units_by_key, UNIT_KEY), "primary_person": (t.persons_by_key, UNIT_KEY)}
     if t.charges is not None:
