@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from crashlens.plans.questions import QUESTIONS
 from crashlens.plans.tables import Incidents
-from crashlens.session import staging_path
+from crashlens.session import apply_scale_conf, staging_path
 from crashlens.sources.io import load_tables, result_path, write_result
 from crashlens.sources.schemas import CHARGE_KEY, DAMAGE_KEY, UNIT_KEY
 
@@ -69,7 +69,11 @@ def run_questions(t: Incidents, out_dir: str, fmt: str = "csv",
 
 def run_job(spark: SparkSession, paths: dict[str, str], out_dir: str, in_fmt: str = "csv",
             out_fmt: str = "csv", stage: bool = True) -> dict[str, str]:
-    """Load the six tables, stage the deduped ones, answer and write all ten questions."""
+    """Load the six tables, stage the deduped ones, answer and write all ten questions.
+
+    Shuffle partitions and split sizes follow the input size unless set explicitly.
+    """
+    apply_scale_conf(spark, list(paths.values()))
     t = Incidents.from_mapping(load_tables(spark, paths, in_fmt))
     if stage:
         t = stage_deduped(spark, t)

@@ -62,3 +62,47 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def staging_path(spark: SparkSession, name: str) -> str:
     """A new sub-folder of the shared checkpoint folder for one staged table."""
     return os.path.join(checkpoint_dir(spark), "staged", name)
+
+
+# Target bytes per shuffle partition and per scan split at scale; AQE merges smaller ones.
+TARGET_PARTITION_BYTES = 512 * 1024 * 1024
+MAX_SHUFFLE_PARTITIONS = 100_000
+
+
+def input_bytes(spark: SparkSession, paths: list[str]) -> int:
+    """Total size of the input files (a metadata call to the file system, no data read)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    total = 0
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        total += path.getFileSystem(conf).getContentSummary(path).getLength()
+    return int(total)
+
+
+def scale_conf(total_bytes: int, cores: int, target_bytes: int = TARGET_PARTITION_BYTES) -> dict[str, str]:
+    """Shuffle and scan sizing for an input of ``total_bytes`` on ``cores`` task slots.
+
+    About one shuffle partition per ``target_bytes`` of input (at least three per core, at
+    most ``MAX_SHUFFLE_PARTITIONS``), so a partition fits an executor's memory share without
+    spilling much; AQE then merges partitions below the advisory size and splits skewed
+    join partitions above five times the median.
+    """
+    parts = max(3 * cores, -(-total_bytes // target_bytes))
+    parts = min(parts, MAX_SHUFFLE_PARTITIONS)
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(min(target_bytes, 256 * 1024 * 1024)),
+        "spark.sql.files.maxPartitionBytes": str(min(target_bytes, 256 * 1024 * 1024)),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+    }
+
+
+def apply_scale_conf(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """Size the session for the given inputs unless shuffle partitions were set explicitly."""
+    if spark.conf.get("spark.sql.shuffle.partitions", "200") != "200":
+        return {}
+    conf = scale_conf(input_bytes(spark, paths), spark.sparkContext.defaultParallelism)
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    return conf

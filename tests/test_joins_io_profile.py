@@ -117,3 +117,16 @@ def test_load_units_with_declared_schema(spark, tmp_out):
         f.write(",".join(["1", "2"] + ["X"] * 35) + "\n")
     with pytest.raises(Exception):
         load_table(spark, bad, schema=UNITS_SCHEMA).collect()
+
+
+def test_scale_conf_sizes_partitions(spark, tmp_out):
+    from crashlens.session import input_bytes, scale_conf
+    tb = 1024 ** 4
+    conf = scale_conf(100 * tb, cores=8000)
+    assert int(conf["spark.sql.shuffle.partitions"]) == 100_000
+    assert int(scale_conf(10 * tb, cores=1000)["spark.sql.shuffle.partitions"]) == 20_480
+    assert int(scale_conf(1000, cores=8)["spark.sql.shuffle.partitions"]) == 24
+    path = os.path.join(tmp_out, "f.csv")
+    with open(path, "w") as f:
+        f.write("a\n" * 100)
+    assert input_bytes(spark, [path]) == 200
