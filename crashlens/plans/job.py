@@ -81,17 +81,23 @@ def run_job(spark: SparkSession, paths: dict[str, str], out_dir: str, in_fmt: st
 
 
 def main(argv: list[str] | None = None) -> None:
-    """``spark-submit -m crashlens.plans.job out_dir fmt name=path ...``"""
+    """``[profile] OUT_DIR FORMAT name=path ...``: answer the ten questions, or with
+    ``profile`` first write the table checks instead."""
     import sys
 
+    from crashlens.plans.profile_job import run_profile
     from crashlens.session import build_session
 
     args = list(sys.argv[1:] if argv is None else argv)
+    profile = bool(args) and args[0] == "profile"
+    if profile:
+        args = args[1:]
     out_dir, fmt, pairs = args[0], args[1], args[2:]
     paths = dict(p.split("=", 1) for p in pairs)
     spark = build_session()
     try:
-        for name, path in run_job(spark, paths, out_dir, in_fmt=fmt).items():
+        run = run_profile if profile else run_job
+        for name, path in run(spark, paths, out_dir, in_fmt=fmt).items():
             print(name, path)
     finally:
         spark.stop()

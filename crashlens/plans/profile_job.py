@@ -81,3 +81,10 @@ def write_profiles(profiles: Mapping[str, DataFrame], out_dir: str, fmt: str = "
     """Write every check to ``<out_dir>/profile_<name>``."""
     return {name: write_result(df, result_path(out_dir, f"profile_{name}"), fmt)
             for name, df in profiles.items()}
+
+
+def run_profile(spark: SparkSession, paths: Mapping[str, str], out_dir: str, in_fmt: str = "csv",
+                out_fmt: str = "csv") -> dict[str, str]:
+    """Load the tables and write every check to ``<out_dir>/profile_<name>``."""
+    from crashlens.sources.io import load_tables
+    return write_profiles(profile_tables(spark, load_tables(spark, paths, in_fmt)), out_dir, out_fmt)

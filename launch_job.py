@@ -2,6 +2,7 @@
 
     zip -r crashlens.zip crashlens
     spark-submit --py-files crashlens.zip launch_job.py OUT_DIR FORMAT units=PATH primary_person=PATH ...
+    spark-submit --py-files crashlens.zip launch_job.py profile OUT_DIR FORMAT units=PATH ...
 """
 
 from crashlens.plans.job import main

@@ -113,3 +113,14 @@ def test_profile_job(spark, tables, tmp_out):
     assert prof["units_missing"].collect()[0].n_missing_veh_mod_year == 1
     written = write_profiles(prof, tmp_out)
     assert len(written) == len(prof)
+
+
+def test_profile_job_from_csv(spark, tmp_out):
+    from crashlens.plans.profile_job import run_profile
+    src = os.path.join(tmp_out, "in")
+    os.makedirs(src)
+    paths = {name: FX.write_csv(src, name) for name in FX.TABLES}
+    written = run_profile(spark, paths, os.path.join(tmp_out, "prof"))
+    assert "units_profile" in written and "endorse_values" in written
+    prof = spark.read.option("header", True).csv(written["units_profile"]).collect()[0]
+    assert (prof.n_rows, prof.n_keys) == ("9", "8")
