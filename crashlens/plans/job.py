@@ -58,13 +58,25 @@ def stage_deduped(spark: SparkSession, t: Incidents, folder: str | None = None,
     return t.with_tables(deduped=True, **staged)
 
 
-def run_questions(t: Incidents, out_dir: str, fmt: str = "csv",
-                  names: list[str] | None = None) -> dict[str, str]:
-    """Answer and write each question once (one action per question)."""
-    written = {}
-    for name in names or list(QUESTIONS):
-        written[name] = write_result(QUESTIONS[name](t), result_path(out_dir, f"analysis_{name}"), fmt)
-    return written
+def run_question(t: Incidents, name: str, out_dir: str, fmt: str = "csv") -> str:
+    """Answer and write one question (one action)."""
+    return write_result(QUESTIONS[name](t), result_path(out_dir, f"analysis_{name}"), fmt)
+
+
+def run_questions(t: Incidents, out_dir: str, fmt: str = "csv", names: list[str] | None = None,
+                  concurrency: int = 4) -> dict[str, str]:
+    """Answer and write each question once.
+
+    The questions are independent Spark jobs; up to ``concurrency`` of them are submitted
+    at a time, so the short final stages of one question overlap with the work of another
+    instead of leaving executors idle. ``concurrency=1`` runs them one after another.
+    """
+    names = names or list(QUESTIONS)
+    if concurrency <= 1 or len(names) == 1:
+        return {name: run_question(t, name, out_dir, fmt) for name in names}
+    with ThreadPoolExecutor(max_workers=concurrency) as pool:
+        futures = {name: pool.submit(run_question, t, name, out_dir, fmt) for name in names}
+        return {name: f.result() for name, f in futures.items()}
 
 
 def run_job(spark: SparkSession, paths: dict[str, str], out_dir: str, in_fmt: str = "csv",
