@@ -28,5 +28,6 @@ def test_entry_smoke(spark):
 @pytest.mark.skipif(not os.path.isdir(SF_SMALL), reason="test tables missing")
 def test_spark_equals_duckdb(report):
     bad = {k: v for k, v in report.items()
-           if not (v["values_equal"] and v["columns_equal"] and v["rows"] == v["oracle_rows"])}
+           if not (v["values_equal"] and v["columns_equal"] and v["types_equal"]
+                   and v["rows"] == v["oracle_rows"])}
     assert bad == {}
