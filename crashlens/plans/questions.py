@@ -23,15 +23,33 @@ from crashlens.plans.tables import Incidents
 from crashlens.sources.schemas import (CHARGE_KEY, COUNTER_COLS, CRASH_KEY, UNIT_KEY,
                                        VEHICLE_COLS)
 
-# The code words and limits the questions test for.
-ALCOHOL_WORDS = ("ALCOHOL", "DRINKING")
-FACTOR_COLS = ("contrib_factr_1_id", "contrib_factr_2_id", "contrib_factr_p1_id")
+# Fixed values, in question order: the code words each question tests for, the columns it
+# tests, and the names of its result columns.
+MALE, KILLED = "MALE", "KILLED"                                  # Q1
+Q1_COUNT = "count_of_males_killed"
+MOTORCYCLE = "MOTORCYCLE"                                        # Q2
+CAR, DRIVER, NOT_DEPLOYED = "CAR", "DRIVER", "NOT DEPLOYED"      # Q3
+Q3_COUNT = "count"
+HIT_AND_RUN = "Y"                                                # Q4
 LICENCE_WORDS = ("CLASS", "OTHER")
-BODY_PLACEHOLDERS = ("NA", "UNKNOWN", "NOT REPORTED")
+FEMALE = "FEMALE"                                                # Q5
+Q5_COUNT = "count_of_accidents"
+Q6_SUM = "death_plus_injry_cnt_per_veh_make_id"                  # Q6
+BODY_PLACEHOLDERS = ("NA", "UNKNOWN", "NOT REPORTED")            # Q7
 ETHNICITY_PLACEHOLDERS = ("NA", "UNKNOWN")
-NO_DAMAGE_WORDS = ("NONE", "NO DAMAGE")
+Q7_COUNT = "count"
+ZIP_PLACEHOLDERS = ("UNKNOWN",)                                  # Q8
+FACTOR_COLS = ("contrib_factr_1_id", "contrib_factr_2_id", "contrib_factr_p1_id")
+ALCOHOL_WORDS = ("ALCOHOL", "DRINKING")
+POSITIVE = "POSITIVE"
+Q8_COUNT = "crash_count"
+NO_DAMAGE_WORDS = ("NONE", "NO DAMAGE")                          # Q9
 GRADE_COLS = ("veh_dmag_scl_1_id", "veh_dmag_scl_2_id")
 GRADE_THRESHOLD = "DAMAGED 4"
+INSURANCE = "INSURANCE"
+CODE_PLACEHOLDERS = ("NA",)                                      # Q10, exact match
+SPEED = "SPEED"
+COLOUR_COUNT, STATE_COUNT, Q10_COUNT = "color_count", "state_count", "offence_count"
 
 # Entity dedup keeps the vehicle row of the smallest (crash_id, unit_nbr).
 ENTITY_ORDER = list(UNIT_KEY)
@@ -53,13 +71,12 @@ def q1(t: Incidents, more_than: int = 2) -> DataFrame:
     One person row per vehicle (the dedup by ``(crash_id, unit_nbr)``), as in the job.
     Columns: ``crash_id, count_of_males_killed``.
     """
-    cond = ieq("prsn_gndr_id", "MALE") & ieq("prsn_injry_sev_id", "KILLED")
-    return groups_with_more_than(t.persons_by_key(), "crash_id", cond, more_than,
-                                 "count_of_males_killed")
+    cond = ieq("prsn_gndr_id", MALE) & ieq("prsn_injry_sev_id", KILLED)
+    return groups_with_more_than(t.persons_by_key(), "crash_id", cond, more_than, Q1_COUNT)
 
 
 def _two_wheelers(t: Incidents) -> DataFrame:
-    return t.units_by_key().where(icontains("veh_body_styl_id", "MOTORCYCLE"))
+    return t.units_by_key().where(icontains("veh_body_styl_id", MOTORCYCLE))
 
 
 def q2(t: Incidents) -> DataFrame:
@@ -80,17 +97,17 @@ def q3(t: Incidents, k: int = 5) -> DataFrame:
     The make is part of the vehicle identity, so distinct vehicles per make need only the
     four identity columns (no full-row pick).
     """
-    units = t.units_by_key().where(icontains("veh_body_styl_id", "CAR"))
-    persons = t.persons_by_key().where(ieq("prsn_type_id", "DRIVER")
-                                       & ieq("prsn_airbag_id", "NOT DEPLOYED")
-                                       & ieq("prsn_injry_sev_id", "KILLED"))
+    units = t.units_by_key().where(icontains("veh_body_styl_id", CAR))
+    persons = t.persons_by_key().where(ieq("prsn_type_id", DRIVER)
+                                       & ieq("prsn_airbag_id", NOT_DEPLOYED)
+                                       & ieq("prsn_injry_sev_id", KILLED))
     joined = join_on(units.select(*UNIT_KEY, *VEHICLE_COLS), persons.select(*UNIT_KEY), UNIT_KEY)
-    return top_k_count(joined.select(*VEHICLE_COLS).distinct(), "veh_make_id", k, "count")
+    return top_k_count(joined.select(*VEHICLE_COLS).distinct(), "veh_make_id", k, Q3_COUNT)
 
 
 def _hit_and_run(t: Incidents) -> DataFrame:
-    units = t.units_by_key().where(ieq("veh_hnr_fl", "Y")).drop(*COUNTER_COLS)
-    persons = t.persons_by_key().where(icontains("prsn_type_id", "DRIVER")
+    units = t.units_by_key().where(ieq("veh_hnr_fl", HIT_AND_RUN)).drop(*COUNTER_COLS)
+    persons = t.persons_by_key().where(icontains("prsn_type_id", DRIVER)
                                        & icontains_any("drvr_lic_cls_id", LICENCE_WORDS))
     return join_on(units, persons, UNIT_KEY, collisions="drop_left")
 
@@ -122,14 +139,14 @@ def q5(t: Incidents, k: int = 1, placeholders: tuple[str, ...] = ()) -> DataFram
     female = "__crashlens_females"
     per_state = (t.persons_by_key().where(F.col("crash_id").isNotNull())
                  .groupBy("crash_id", "drvr_lic_state_id")
-                 .agg(F.count_if(ieq("prsn_gndr_id", "FEMALE")).alias(female)))
+                 .agg(F.count_if(ieq("prsn_gndr_id", FEMALE)).alias(female)))
     no_female = (per_state
                  .withColumn(female, F.sum(female).over(Window.partitionBy("crash_id")))
                  .where(F.col(female) == 0))
     if placeholders:
         no_female = no_female.where(not_placeholder("drvr_lic_state_id", placeholders))
-    counted = group_count(no_female, "drvr_lic_state_id", "count_of_accidents")
-    return top_k(counted, "count_of_accidents", k, "drvr_lic_state_id")
+    counted = group_count(no_female, "drvr_lic_state_id", Q5_COUNT)
+    return top_k(counted, Q5_COUNT, k, "drvr_lic_state_id")
 
 
 def q6(t: Incidents, first: int = 3, last: int = 5) -> DataFrame:
@@ -138,10 +155,9 @@ def q6(t: Incidents, first: int = 3, last: int = 5) -> DataFrame:
     Columns: ``veh_make_id, death_plus_injry_cnt_per_veh_make_id``. A row with a NULL
     counter adds nothing (NULL + n is NULL, and ``sum`` skips it).
     """
-    measure = "death_plus_injry_cnt_per_veh_make_id"
     summed = group_sum(t.units_by_key(), "veh_make_id",
-                       F.col("tot_injry_cnt") + F.col("death_cnt"), measure)
-    return rank_band(summed, measure, first, last, "veh_make_id")
+                       F.col("tot_injry_cnt") + F.col("death_cnt"), Q6_SUM)
+    return rank_band(summed, Q6_SUM, first, last, "veh_make_id")
 
 
 def q7(t: Incidents) -> DataFrame:
@@ -153,9 +169,9 @@ def q7(t: Incidents) -> DataFrame:
     persons = t.persons_by_key().where(not_placeholder("prsn_ethnicity_id", ETHNICITY_PLACEHOLDERS))
     joined = join_on(units.select(*UNIT_KEY, "veh_body_styl_id"),
                      persons.select(*UNIT_KEY, "prsn_ethnicity_id"), UNIT_KEY)
-    counted = group_count(joined, ["veh_body_styl_id", "prsn_ethnicity_id"], "count")
-    best = top_per_group(counted, "veh_body_styl_id", "count", "prsn_ethnicity_id")
-    return best.orderBy(F.col("count").desc(), F.col("veh_body_styl_id").asc_nulls_last())
+    counted = group_count(joined, ["veh_body_styl_id", "prsn_ethnicity_id"], Q7_COUNT)
+    best = top_per_group(counted, "veh_body_styl_id", Q7_COUNT, "prsn_ethnicity_id")
+    return best.orderBy(F.col(Q7_COUNT).desc(), F.col("veh_body_styl_id").asc_nulls_last())
 
 
 def q8(t: Incidents, k: int = 5, body_style: str | None = None) -> DataFrame:
@@ -166,21 +182,21 @@ def q8(t: Incidents, k: int = 5, body_style: str | None = None) -> DataFrame:
     ``body_style`` names a word the body style must contain (``"CAR"`` for cars only).
     """
     persons = t.persons_by_key().where(F.col("drvr_zip").isNotNull()
-                                       & not_placeholder("drvr_zip", ("UNKNOWN",)))
+                                       & not_placeholder("drvr_zip", ZIP_PLACEHOLDERS))
     units = t.units_by_key()
     if body_style:
         units = units.where(icontains("veh_body_styl_id", body_style))
     joined = join_on(units.select(*UNIT_KEY, *FACTOR_COLS),
                      persons.select(*UNIT_KEY, "drvr_zip", "prsn_alc_rslt_id"), UNIT_KEY)
     alcohol = joined.where(icontains_any(FACTOR_COLS, ALCOHOL_WORDS)
-                           | icontains("prsn_alc_rslt_id", "POSITIVE"))
-    counted = count_distinct_by(alcohol, "drvr_zip", "crash_id", "crash_count")
-    return top_k(counted, "crash_count", k, "drvr_zip")
+                           | icontains("prsn_alc_rslt_id", POSITIVE))
+    counted = count_distinct_by(alcohol, "drvr_zip", "crash_id", Q8_COUNT)
+    return top_k(counted, Q8_COUNT, k, "drvr_zip")
 
 
 def _q9_sides(t: Incidents, damage_match: str) -> tuple[DataFrame, DataFrame]:
     units = t.units_by_key().where(grade_above(GRADE_COLS, GRADE_THRESHOLD)
-                                   & icontains("fin_resp_type_id", "INSURANCE"))
+                                   & icontains("fin_resp_type_id", INSURANCE))
     no_damage = icontains_any("damaged_property", NO_DAMAGE_WORDS)
     if damage_match == "first":
         damages = t.damages_by_key().where(no_damage)
@@ -231,17 +247,17 @@ def q10(t: Incidents, k: int = 5, top_colours: int = 10, top_states: int = 25,
     speeding charge.
     """
     units = t.units_by_key()
-    colours = top_k_count(units.where(not_placeholder("veh_color_id", ("NA",), case_insensitive=False)
+    colours = top_k_count(units.where(not_placeholder("veh_color_id", CODE_PLACEHOLDERS, case_insensitive=False)
                                       & non_numeric("veh_color_id")),
-                          "veh_color_id", top_colours, "color_count")
-    states = top_k_count(units.where(not_placeholder("veh_lic_state_id", ("NA",), case_insensitive=False)
+                          "veh_color_id", top_colours, COLOUR_COUNT)
+    states = top_k_count(units.where(not_placeholder("veh_lic_state_id", CODE_PLACEHOLDERS, case_insensitive=False)
                                      & non_numeric("veh_lic_state_id")),
-                         "veh_lic_state_id", top_states, "state_count")
+                         "veh_lic_state_id", top_states, STATE_COUNT)
     units = restrict_to(units, colours, "veh_color_id", max_rows=top_colours)
     units = restrict_to(units, states, "veh_lic_state_id", max_rows=top_states)
-    persons = t.persons_by_key().where(icontains("prsn_type_id", "DRIVER")
+    persons = t.persons_by_key().where(icontains("prsn_type_id", DRIVER)
                                        & icontains_any("drvr_lic_cls_id", LICENCE_WORDS))
-    speeding = icontains("charge", "SPEED")
+    speeding = icontains("charge", SPEED)
     if charge_match == "first":
         charges = t.charges_by_key().where(speeding)
     elif charge_match == "any":
@@ -251,7 +267,7 @@ def q10(t: Incidents, k: int = 5, top_colours: int = 10, top_states: int = 25,
     joined = join_on(units.select(*UNIT_KEY, "veh_make_id"),
                      persons.select(*CHARGE_KEY), UNIT_KEY)
     joined = join_on(joined, charges.select(*CHARGE_KEY), CHARGE_KEY)
-    return top_k_count(joined, "veh_make_id", k, "offence_count")
+    return top_k_count(joined, "veh_make_id", k, Q10_COUNT)
 
 
 QUESTIONS = {
