@@ -1,5 +1,6 @@
 """Run the fixture questions in a session that retries failed tasks, with the first attempt of
-every map task over Units failing on purpose; print the answers as JSON. Used by test_retry.py."""
+every map task over Units failing on purpose, directly and over staged tables; print the
+answers as JSON. Used by test_retry.py."""
 
 import json
 import os
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from pyspark.sql import types as T  # noqa: E402
 
 from crashlens.plans import questions as Q  # noqa: E402
+from crashlens.plans.job import stage_deduped  # noqa: E402
 from crashlens.plans.tables import Incidents  # noqa: E402
 from tests import incident_fixture as FX  # noqa: E402
 from tests.test_questions import _types  # noqa: E402
@@ -35,6 +37,9 @@ def main() -> None:
     sc = spark.sparkContext
     sc.setJobGroup("retry-probe", "questions with injected task failures")
     out = {name: sorted([list(r) for r in getattr(Q, name)(t).collect()], key=str) for name in FX.EXPECTED}
+    staged = stage_deduped(spark, t)  # the bucketed writes see the failures too
+    out_staged = {name: sorted([list(r) for r in getattr(Q, name)(staged).collect()], key=str)
+                  for name in FX.EXPECTED}
     tracker = sc.statusTracker()
     failed = 0
     for job in tracker.getJobIdsForGroup("retry-probe"):
@@ -44,6 +49,7 @@ def main() -> None:
             failed += st.numFailedTasks if st else 0
     print("FAILED_TASKS " + str(failed))
     print("ANSWERS " + json.dumps(out))
+    print("STAGED " + json.dumps(out_staged))
     spark.stop()
 
 

@@ -16,5 +16,7 @@ def test_answers_survive_task_retries():
     got = json.loads(lines[-1][len("ANSWERS "):])
     failed = [int(ln.split()[1]) for ln in proc.stdout.splitlines() if ln.startswith("FAILED_TASKS ")]
     assert failed and failed[0] > 0, "no task failure was injected"
+    staged = json.loads([ln for ln in proc.stdout.splitlines() if ln.startswith("STAGED ")][-1][7:])
     for name, expected in FX.EXPECTED.items():
         assert got[name] == sorted([list(r) for r in expected], key=str), name
+        assert staged[name] == got[name], name
