@@ -31,6 +31,16 @@ def join_on(left: DataFrame, right: DataFrame, on: Sequence[str | tuple[str, str
     right_keys = {r.lower() for _, r in pairs}
     lnames = {c.lower(): c for c in left.columns if c.lower() not in left_keys}
     rnames = {c.lower(): c for c in right.columns if c.lower() not in right_keys}
+    # A right non-key column named like a left key would sit next to the kept key: the
+    # right copy goes (or is renamed), never the key.
+    key_clash = sorted(left_keys & set(rnames))
+    if key_clash:
+        if collisions == "error":
+            raise ValueError(f"right columns named like left keys: {key_clash}")
+        for c in key_clash:
+            right = (right.withColumnRenamed(rnames[c], f"r_{rnames[c]}") if collisions == "prefix"
+                     else right.drop(rnames[c]))
+            del rnames[c]
     clash = sorted(set(lnames) & set(rnames))
     if clash:
         if collisions == "error":

@@ -130,3 +130,15 @@ def test_scale_conf_sizes_partitions(spark, tmp_out):
     with open(path, "w") as f:
         f.write("a\n" * 100)
     assert input_bytes(spark, [path]) == 200
+
+
+def test_join_on_right_column_named_like_left_key(spark):
+    s = spark.createDataFrame([(1, 10)], "s_suppkey long, s_nationkey int")
+    n = spark.createDataFrame([(10, 99, "X")], "n_nationkey int, s_nationkey int, n_name string")
+    with pytest.raises(ValueError):
+        join_on(s, n, [("s_nationkey", "n_nationkey")])
+    out = join_on(s, n, [("s_nationkey", "n_nationkey")], collisions="drop_right")
+    assert out.columns == ["s_nationkey", "s_suppkey", "n_name"] and rows(out) == [(10, 1, "X")]
+    pre = join_on(s, n, [("s_nationkey", "n_nationkey")], collisions="prefix")
+    assert pre.columns == ["s_nationkey", "s_suppkey", "r_s_nationkey", "n_name"]
+    assert rows(pre) == [(10, 1, 99, "X")]
