@@ -142,3 +142,14 @@ def test_join_on_right_column_named_like_left_key(spark):
     pre = join_on(s, n, [("s_nationkey", "n_nationkey")], collisions="prefix")
     assert pre.columns == ["s_nationkey", "s_suppkey", "r_s_nationkey", "n_name"]
     assert rows(pre) == [(10, 1, 99, "X")]
+
+
+def test_load_csv_quoted_commas_and_empty_fields(spark, tmp_out):
+    path = os.path.join(tmp_out, "units_q.csv")
+    with open(path, "w") as f:
+        f.write("CRASH_ID,UNIT_NBR,VEH_BODY_STYL_ID,VEH_TRANSP_DEST,DEATH_CNT\n")
+        f.write('1,1,"PASSENGER CAR, 4-DOOR","21822 FRANZ RD. KATY, TX 77449",0\n')
+        f.write('2,1,PICKUP,,\n')
+    got = rows(load_table(spark, path))
+    assert got == [(1, 1, "PASSENGER CAR, 4-DOOR", "21822 FRANZ RD. KATY, TX 77449", 0),
+                   (2, 1, "PICKUP", None, None)]
