@@ -40,7 +40,7 @@ NUMERIC_TYPES: dict[str, T.DataType] = {
     **{c: T.IntegerType() for c in COUNTER_COLS},
 }
 
-# Units columns in file order (37 fields), all text except keys and counters.
+# The Units columns in file order (37 fields), all text except keys and counters.
 UNITS_COLUMNS = (
     "crash_id", "unit_nbr", "unit_desc_id", "veh_parked_fl", "veh_hnr_fl", "veh_lic_state_id",
     "vin", "veh_mod_year", "veh_color_id", "veh_make_id", "veh_mod_id", "veh_body_styl_id",
