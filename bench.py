@@ -5,7 +5,8 @@ answers and writes the ten questions as CSV, as the surveyed job does, four ques
 time (as ``run_job`` does). Prints one JSON line: total wall seconds (stage + ten
 questions), the stage time, each question's own latency, and the questions' wall time.
 
-Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8).
+Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
+BENCH_CONCURRENCY (questions at a time, default 4; 1 gives clean per-question times).
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from crashlens.plans.questions import QUESTIONS  # noqa: E402
 from crashlens.session import build_session  # noqa: E402
 from crashlens.sources.sample_views import sample_incidents  # noqa: E402
 
-CONCURRENCY = 4
+CONCURRENCY = int(os.environ.get("BENCH_CONCURRENCY", "4"))
 
 
 def main() -> None:
