@@ -244,6 +244,64 @@ ORDER BY offence_count DESC, veh_make_id ASC NULLS LAST
 LIMIT 5""",
 }
 
+_CHARGES_ANY = """
+charges_any AS (
+  SELECT * FROM (
+    SELECT l_orderkey AS crash_id,
+           l_linenumber AS unit_nbr,
+           CAST(1 + l_partkey % 2 AS INTEGER) AS prsn_nbr,
+           CASE l_suppkey % 3 WHEN 0 THEN 'SPEEDING - 10% OVER' WHEN 1 THEN 'Unsafe Speed'
+                ELSE 'NO DRIVER LICENSE' END AS charge,
+           'CIT' || CAST(l_suppkey AS VARCHAR) AS citation_nbr
+    FROM lineitem)
+  WHERE contains(upper(charge), 'SPEED')
+  QUALIFY row_number() OVER (PARTITION BY crash_id, unit_nbr, prsn_nbr
+                             ORDER BY charge ASC NULLS LAST, citation_nbr ASC NULLS LAST) = 1
+)"""
+
+_DAMAGES_ANY = """
+damages_any AS (
+  SELECT * FROM (
+    SELECT l_orderkey AS crash_id,
+           CASE l_partkey % 5 WHEN 0 THEN 'NONE' WHEN 1 THEN 'No Damages to Pole' WHEN 2 THEN 'FENCE'
+                WHEN 3 THEN 'MAILBOX' END AS damaged_property
+    FROM lineitem)
+  WHERE contains(upper(damaged_property), 'NONE') OR contains(upper(damaged_property), 'NO DAMAGE')
+  QUALIFY row_number() OVER (PARTITION BY crash_id ORDER BY damaged_property ASC NULLS LAST) = 1
+)"""
+
+MATCH_MODE_SQL = {
+    "q9_any_damage": _with(_UNITS, _DAMAGES_ANY) + """
+SELECT count(DISTINCT crash_id) AS n
+FROM units_k u JOIN damages_any d USING (crash_id)
+WHERE ((upper(u.veh_dmag_scl_1_id) > 'DAMAGED 4'
+        AND upper(u.veh_dmag_scl_1_id) NOT IN ('NA', 'NO DAMAGE', 'INVALID VALUE'))
+    OR (upper(u.veh_dmag_scl_2_id) > 'DAMAGED 4'
+        AND upper(u.veh_dmag_scl_2_id) NOT IN ('NA', 'NO DAMAGE', 'INVALID VALUE')))
+  AND contains(upper(u.fin_resp_type_id), 'INSURANCE')""",
+
+    "q10_any_charge": _with(_UNITS, _PERSONS, _CHARGES_ANY) + """,
+colours AS (
+  SELECT veh_color_id FROM units_k
+  WHERE NOT veh_color_id IN ('NA') AND TRY_CAST(veh_color_id AS INTEGER) IS NULL
+  GROUP BY veh_color_id ORDER BY count(*) DESC, veh_color_id ASC LIMIT 10),
+states AS (
+  SELECT veh_lic_state_id FROM units_k
+  WHERE NOT veh_lic_state_id IN ('NA') AND TRY_CAST(veh_lic_state_id AS INTEGER) IS NULL
+  GROUP BY veh_lic_state_id ORDER BY count(*) DESC, veh_lic_state_id ASC LIMIT 25)
+SELECT u.veh_make_id, count(*) AS offence_count
+FROM charges_any c
+JOIN persons_k p USING (crash_id, unit_nbr, prsn_nbr)
+JOIN units_k u USING (crash_id, unit_nbr)
+WHERE u.veh_color_id IN (SELECT veh_color_id FROM colours)
+  AND u.veh_lic_state_id IN (SELECT veh_lic_state_id FROM states)
+  AND contains(upper(p.prsn_type_id), 'DRIVER')
+  AND (contains(upper(p.drvr_lic_cls_id), 'CLASS') OR contains(upper(p.drvr_lic_cls_id), 'OTHER'))
+GROUP BY u.veh_make_id
+ORDER BY offence_count DESC, veh_make_id ASC NULLS LAST
+LIMIT 5""",
+}
+
 _LP = "lp AS (SELECT * FROM lineitem JOIN part ON l_partkey = p_partkey)"
 _CODE = """coded AS (
   SELECT CASE p_size % 3 WHEN 0 THEN CAST(p_size AS VARCHAR) WHEN 1 THEN 'na' ELSE p_brand END AS code
@@ -383,4 +441,4 @@ UNION ALL
 SELECT 'tot_injry_cnt', CAST(tot_injry_cnt AS VARCHAR), count(*) FROM units GROUP BY tot_injry_cnt""",
 }
 
-ORACLE_SQL = {**QUESTIONS_SQL, **OPERATORS_SQL, **PROFILE_SQL}
+ORACLE_SQL = {**QUESTIONS_SQL, **MATCH_MODE_SQL, **OPERATORS_SQL, **PROFILE_SQL}

@@ -179,6 +179,8 @@ QUESTION_QUERIES: dict[str, Query] = {
     "q9": _question(Q.q9_count),
     "q9_rows": _question(Q.q9),
     "q10": _question(Q.q10),
+    "q9_any_damage": _question(lambda t: Q.q9_count(t, damage_match="any")),
+    "q10_any_charge": _question(lambda t: Q.q10(t, charge_match="any")),
 }
 
 OPERATOR_QUERIES: dict[str, Query] = {
