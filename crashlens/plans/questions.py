@@ -247,13 +247,21 @@ def q10(t: Incidents, k: int = 5, top_colours: int = 10, top_states: int = 25,
     speeding charge.
     """
     units = t.units_by_key()
-    colours = top_k_count(units.where(not_placeholder("veh_color_id", CODE_PLACEHOLDERS, case_insensitive=False)
+    # The joins below need a key, and Catalyst pushes that not-NULL test under the dedup,
+    # which would make the joined branch a second dedup of Units. Splitting Units into
+    # rows with and without a key (together exactly Units) lets the rankings and the join
+    # share one dedup shuffle; only the rows without a key are deduped apart, and their
+    # filter reaches the scan.
+    has_key = F.col("crash_id").isNotNull() & F.col("unit_nbr").isNotNull()
+    keyed = units.where(has_key)
+    ranked = keyed.unionByName(units.where(~has_key))
+    colours = top_k_count(ranked.where(not_placeholder("veh_color_id", CODE_PLACEHOLDERS, case_insensitive=False)
                                       & non_numeric("veh_color_id")),
                           "veh_color_id", top_colours, COLOUR_COUNT)
-    states = top_k_count(units.where(not_placeholder("veh_lic_state_id", CODE_PLACEHOLDERS, case_insensitive=False)
+    states = top_k_count(ranked.where(not_placeholder("veh_lic_state_id", CODE_PLACEHOLDERS, case_insensitive=False)
                                      & non_numeric("veh_lic_state_id")),
                          "veh_lic_state_id", top_states, STATE_COUNT)
-    units = restrict_to(units, colours, "veh_color_id", max_rows=top_colours)
+    units = restrict_to(keyed, colours, "veh_color_id", max_rows=top_colours)
     units = restrict_to(units, states, "veh_lic_state_id", max_rows=top_states)
     persons = t.persons_by_key().where(icontains("prsn_type_id", DRIVER)
                                        & icontains_any("drvr_lic_cls_id", LICENCE_WORDS))

@@ -76,3 +76,24 @@ def test_q5_hot_crash_is_reduced_before_the_crash_window(spark):
     records = _shuffle_records(Q.q5(t))
     # the hot crash reaches the crash-level window as at most one row per state per map task
     assert max(records) <= ROWS - ROWS // 3 + 7 * MAP_TASKS
+
+
+def test_q10_dedups_units_once(spark):
+    """Q10 uses the deduped Units three times (two rankings and the join); the rankings and
+    the join share one dedup shuffle, so only two unit-key shuffles carry rows: Units and
+    Person (the rows without a key are deduped apart, and the test tables have none)."""
+    from crashlens.sources.sample_views import sample_incidents
+    from tests.conftest import SF_SMALL
+    df = Q.q10(sample_incidents(spark, SF_SMALL))
+    qe = df._jdf.queryExecution()
+    qe.toRdd().count()
+    loaded = []
+    for node in _walk(qe.executedPlan()):
+        if node.nodeName() != "Exchange":
+            continue
+        part = node.outputPartitioning().toString()
+        if part.startswith("hashpartitioning(crash_id") and "prsn_nbr" not in part:
+            written = node.metrics().apply("shuffleRecordsWritten").value()
+            if written > 0:
+                loaded.append(written)
+    assert len(loaded) == 2, loaded
