@@ -39,8 +39,13 @@ def _lp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_on(_t(spark, sf_dir, "lineitem"), _t(spark, sf_dir, "part"), [("l_partkey", "p_partkey")])
 
 
-def _oc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join_on(_t(spark, sf_dir, "orders"), _t(spark, sf_dir, "customer"), [("o_custkey", "c_custkey")])
+def _brand_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines per brand (``p_brand, n_lines``). Lines are counted per part first (partial
+    aggregation inside each task), so only one count per part meets ``part`` in the join,
+    not every line."""
+    per_part = group_count(_t(spark, sf_dir, "lineitem"), "l_partkey", "n_lines")
+    with_brand = join_on(per_part, _t(spark, sf_dir, "part"), [("l_partkey", "p_partkey")])
+    return group_sum(with_brand, "p_brand", "n_lines", "n_lines")
 
 
 def _coded_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,17 +77,26 @@ def q_groups_without(spark, sf_dir):
     return groups_without(_t(spark, sf_dir, "lineitem"), "l_orderkey", ieq("l_returnflag", "R"))
 
 
+def _with_customer(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_on(df, _t(spark, sf_dir, "customer"), [("o_custkey", "c_custkey")])
+
+
 def q_conditional_count(spark, sf_dir):
-    return conditional_count(_oc(spark, sf_dir), "c_mktsegment",
-                             icontains("o_orderpriority", "urgent"), "n_urgent")
+    # Orders are counted per customer first, so only one row per customer meets customer.
+    per_customer = conditional_count(_t(spark, sf_dir, "orders"), "o_custkey",
+                                     icontains("o_orderpriority", "urgent"), "n_urgent")
+    return group_sum(_with_customer(per_customer, spark, sf_dir), "c_mktsegment", "n_urgent", "n_urgent")
 
 
 def q_top_k_count(spark, sf_dir):
-    return top_k_count(_lp(spark, sf_dir), "p_brand", 5, "n_lines")
+    return top_k(_brand_lines(spark, sf_dir), "n_lines", 5, "p_brand")
 
 
 def q_top_k_distinct(spark, sf_dir):
-    ocn = join_on(_oc(spark, sf_dir), _t(spark, sf_dir, "nation"), [("c_nationkey", "n_nationkey")])
+    # Distinct ordering customers first (partial aggregation), then their nation.
+    buyers = _t(spark, sf_dir, "orders").select("o_custkey").distinct()
+    ocn = join_on(_with_customer(buyers, spark, sf_dir), _t(spark, sf_dir, "nation"),
+                  [("c_nationkey", "n_nationkey")])
     return top_k(count_distinct_by(ocn, "n_name", "o_custkey", "n_customers"), "n_customers", 5, "n_name")
 
 
@@ -92,18 +106,19 @@ def q_group_sum(spark, sf_dir):
 
 
 def q_rank_band(spark, sf_dir):
-    return rank_band(group_count(_lp(spark, sf_dir), "p_brand", "n_lines"), "n_lines", 3, 5, "p_brand")
+    return rank_band(_brand_lines(spark, sf_dir), "n_lines", 3, 5, "p_brand")
 
 
 def q_top_per_group(spark, sf_dir):
-    counted = group_count(_oc(spark, sf_dir), ["c_mktsegment", "o_orderpriority"], "n_orders")
+    per_customer = group_count(_t(spark, sf_dir, "orders"), ["o_custkey", "o_orderpriority"], "n_orders")
+    counted = group_sum(_with_customer(per_customer, spark, sf_dir), ["c_mktsegment", "o_orderpriority"],
+                        "n_orders", "n_orders")
     return top_per_group(counted, "c_mktsegment", "n_orders", "o_orderpriority")
 
 
 def q_restrict_to_top(spark, sf_dir):
-    lp = _lp(spark, sf_dir)
-    top = top_k_count(lp, "p_brand", 10, "n_lines")
-    return group_count(restrict_to(lp, top, "p_brand", max_rows=10), "l_returnflag", "n_lines")
+    top = top_k(_brand_lines(spark, sf_dir), "n_lines", 10, "p_brand")
+    return group_count(restrict_to(_lp(spark, sf_dir), top, "p_brand", max_rows=10), "l_returnflag", "n_lines")
 
 
 def q_icontains_any(spark, sf_dir):
