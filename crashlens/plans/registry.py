@@ -146,8 +146,11 @@ def q_join_on(spark, sf_dir):
 
 
 def q_three_way_join(spark, sf_dir):
-    lpo = join_on(_lp(spark, sf_dir), _t(spark, sf_dir, "orders"), [("l_orderkey", "o_orderkey")])
-    return group_count(lpo, ["p_brand", "o_orderstatus"], "n_lines")
+    # Lines meet their order, are counted per (part, status), and only those counts meet part.
+    lo = join_on(_t(spark, sf_dir, "lineitem"), _t(spark, sf_dir, "orders"), [("l_orderkey", "o_orderkey")])
+    per_part = group_count(lo, ["l_partkey", "o_orderstatus"], "n_lines")
+    lpo = join_on(per_part, _t(spark, sf_dir, "part"), [("l_partkey", "p_partkey")])
+    return group_sum(lpo, ["p_brand", "o_orderstatus"], "n_lines", "n_lines")
 
 
 def q_profile_table(spark, sf_dir):
