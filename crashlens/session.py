@@ -26,6 +26,11 @@ def build_session(master: str | None = None, app_name: str = "crashlens",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Parquet and ORC sizes are compressed; rows in a broadcast hash table take several
+        # times as much memory. Scaling the file-size estimate keeps the planner from
+        # broadcasting a table that only looks small on disk; AQE can still broadcast at run
+        # time from the measured size of a shuffle.
+        "spark.sql.sources.fileCompressionFactor": "4",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
