@@ -20,7 +20,7 @@ from crashlens.operators.groups import (conditional_count, count_distinct_by, gr
 from crashlens.operators.joins import join_on, restrict_to
 from crashlens.operators.profile import (key_counts, largest_keys, missing_counts, profile_table,
                                          value_counts)
-from crashlens.operators.ranking import rank_band, top_k, top_k_count, top_per_group
+from crashlens.operators.ranking import rank_band, top_k, top_per_group
 from crashlens.plans import questions as Q
 from crashlens.sources.sample_views import sample_incidents
 

@@ -2,7 +2,6 @@ import glob
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from crashlens.operators.joins import join_on, restrict_to
 from crashlens.operators.profile import (largest_keys, missing_counts, profile_table,
