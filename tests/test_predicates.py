@@ -1,4 +1,3 @@
-
 from crashlens.functions.predicates import (grade_above, icontains, icontains_any, ieq,
                                             non_numeric, not_placeholder, null_or_placeholder)
 
