@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from crashlens.llm import toxicity_grammar, window_packing
+from crashlens.llm import language_id, minhash_dedup, toxicity_grammar, window_packing
 from crashlens.llm.common import read_table
 
 
@@ -17,6 +17,20 @@ def crc_mod(column, n: int):
     return F.crc32(column.cast("string").cast("binary")) % n
 
 
+def op1_language_id(spark, sf_dir):
+    """Network trained on the rows that are not held out, applied to every document."""
+    docs = read_table(spark, sf_dir, "documents")
+    network = language_id.learn_languages(docs.where(crc_mod(F.col("doc_id"), 4) != 2))
+    found = language_id.identify_language(docs.select("doc_id", "text"), network)
+    return found.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"),
+                        "lang_pred", F.col("lang_score").alias("score"))
+
+
+def op3_minhash_dedup(spark, sf_dir):
+    """Near-duplicate groups of all documents: 4-word shingles, similarity 0.8."""
+    return minhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
 def op6_window_packing(spark, sf_dir):
     """Every piece of every document, packed by the window program."""
     pieces = window_packing.pack_documents(read_table(spark, sf_dir, "documents"),
@@ -37,6 +51,8 @@ def op8_toxicity_grammar(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op3_minhash_dedup": op3_minhash_dedup,
     "op6_window_packing": op6_window_packing,
     "op8_toxicity_grammar": op8_toxicity_grammar,
 }
