@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from crashlens.llm import language_id, minhash_dedup, toxicity_grammar, window_packing
+from crashlens.llm import embedding_dedup, language_id, minhash_dedup, toxicity_grammar, window_packing
 from crashlens.llm.common import read_table
 
 
@@ -50,11 +50,17 @@ def op8_toxicity_grammar(spark, sf_dir):
                          (F.col("tox_score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_projection_collisions(spark, sf_dir):
+    """Links and groups of all vectors at cosine 0.9."""
+    return embedding_dedup.near_vectors(read_table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_minhash_dedup": op3_minhash_dedup,
     "op6_window_packing": op6_window_packing,
     "op8_toxicity_grammar": op8_toxicity_grammar,
+    "op9_projection_collisions": op9_projection_collisions,
 }
 
 ORACLE_SQL: dict[str, str] = {}
