@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from crashlens.llm import embedding_dedup, language_id, minhash_dedup, toxicity_grammar, window_packing
+from crashlens.llm import (embedding_dedup, language_id, license_scan, minhash_dedup, quality_ledger, secret_forest,
+                           toxicity_grammar, window_packing)
 from crashlens.llm.common import read_table
 
 
@@ -26,6 +27,11 @@ def op1_language_id(spark, sf_dir):
                         "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op2_license_digests(spark, sf_dir):
+    """Every unit of every document that is a known licence."""
+    return license_scan.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def op3_minhash_dedup(spark, sf_dir):
     """Near-duplicate groups of all documents: 4-word shingles, similarity 0.8."""
     return minhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), k=4, percent=80)
@@ -39,6 +45,14 @@ def op6_window_packing(spark, sf_dir):
                          "doc_tokens", "sequence_id", "offset")
 
 
+def op7_quality_ledger(spark, sf_dir):
+    """The ledger of all documents under policy 2."""
+    book = quality_ledger.apply_policy(quality_ledger.ledger(read_table(spark, sf_dir, "documents")), 2)
+    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                       (F.col("failures").bitwiseAND(F.lit(quality_ledger.BASE)) != 0).alias("base_failed"),
+                       "kept", "failures")
+
+
 def op8_toxicity_grammar(spark, sf_dir):
     """Grammar learned from the rows that are not held out, applied to every document."""
     docs = read_table(spark, sf_dir, "documents")
@@ -55,12 +69,22 @@ def op9_projection_collisions(spark, sf_dir):
     return embedding_dedup.near_vectors(read_table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def op10_secret_forest(spark, sf_dir):
+    """Every candidate of every document, judged by the forest."""
+    docs = read_table(spark, sf_dir, "documents")
+    forest = secret_forest.learn_secrets(docs, path_col="source")
+    return secret_forest.scan_secrets(docs, forest, path_col="source")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_license_digests": op2_license_digests,
     "op3_minhash_dedup": op3_minhash_dedup,
     "op6_window_packing": op6_window_packing,
+    "op7_quality_ledger": op7_quality_ledger,
     "op8_toxicity_grammar": op8_toxicity_grammar,
     "op9_projection_collisions": op9_projection_collisions,
+    "op10_secret_forest": op10_secret_forest,
 }
 
 ORACLE_SQL: dict[str, str] = {}
