@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from crashlens.llm import (embedding_dedup, language_id, license_scan, minhash_dedup, quality_ledger, secret_forest,
-                           toxicity_grammar, window_packing)
+                           token_matrix, toxicity_grammar, unigram_pieces, window_packing)
 from crashlens.llm.common import read_table
 
 
@@ -37,6 +37,23 @@ def op3_minhash_dedup(spark, sf_dir):
     return minhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op4_token_matrix(spark, sf_dir):
+    """All documents as rows of a token matrix, packed best-fit-decreasing."""
+    return token_matrix.pack_matrix(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op5_unigram_pieces(spark, sf_dir):
+    """Every whole text encoded and decoded again: ids by count and checksum, and whether the
+    text came back."""
+    path = tokenizer_path("piece_bpe_32k.model")
+    model = unigram_pieces.shared_model(spark, path)
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    encoded = unigram_pieces.encode_pieces(docs, path, model)
+    back = unigram_pieces.decode_pieces(encoded, path, model, out_col="back")
+    return back.select("doc_id", (F.octet_length("piece_ids") / 4).cast("long").alias("n_pieces"),
+                       F.crc32("piece_ids").alias("ids_crc32"), (F.col("back") == F.col("text")).alias("round_trip"))
+
+
 def op6_window_packing(spark, sf_dir):
     """Every piece of every document, packed by the window program."""
     pieces = window_packing.pack_documents(read_table(spark, sf_dir, "documents"),
@@ -80,6 +97,8 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_license_digests": op2_license_digests,
     "op3_minhash_dedup": op3_minhash_dedup,
+    "op4_token_matrix": op4_token_matrix,
+    "op5_unigram_pieces": op5_unigram_pieces,
     "op6_window_packing": op6_window_packing,
     "op7_quality_ledger": op7_quality_ledger,
     "op8_toxicity_grammar": op8_toxicity_grammar,
