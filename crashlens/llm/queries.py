@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from crashlens.llm import (embedding_dedup, language_id, license_scan, minhash_dedup, quality_ledger, secret_forest,
                            token_matrix, toxicity_grammar, unigram_pieces, window_packing)
 from crashlens.llm.common import read_table
+from crashlens.llm.oracle_sql import ORACLE_SQL  # noqa: F401
 
 
 def tokenizer_path(name: str) -> str:
@@ -105,5 +106,3 @@ QUERIES = {
     "op9_projection_collisions": op9_projection_collisions,
     "op10_secret_forest": op10_secret_forest,
 }
-
-ORACLE_SQL: dict[str, str] = {}
