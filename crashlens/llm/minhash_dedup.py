@@ -8,8 +8,7 @@ position can be lowered by an offer of j or more, so long sets stop after a roun
 1. Documents with equal sets form a class, stood for by its smallest id.
 2. Class signatures are cut into bands; classes that share a band meet in a bucket. Buckets
    with the same members are one bucket.
-3. Each bucket's members are compared with its leader (the member first by a hash of the id)
-   on full sets, and links are closed to components.
+3. Each bucket's members are compared with its leader (the smallest id) on full sets, and links are closed to components.
 4. Where a bucket still holds several components, every member outside its largest component
    is compared with all the others, in blocks of bounded size; no link is left unchecked.
 5. Components are closed again over all links.
@@ -80,7 +79,7 @@ def signatures(sets: list[np.ndarray], m: int = BANDS * ROWS) -> np.ndarray:
     e = np.concatenate(sets)
     perm = None
     for j in range(m):
-        r = mix(e + np.uint64(j + 1) * _GOLD)
+        r = mix(e + np.uint64((j + 1) * int(_GOLD) & 0xFFFFFFFFFFFFFFFF))
         k = j + ((r & np.uint64(0xFFFFFFFF)) % np.uint64(m - j)).astype(np.int64)
         offer = (np.uint32(j) << np.uint32(25)) | (r >> np.uint64(39)).astype(np.uint32)
         if perm is None:
@@ -239,18 +238,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text_col: st
                                     F.col("m.n_shingles").alias("n"), F.col("m.bands").alias("bands")), "classes")
 
     rows = classes.select(F.col("rep").alias("id"), "n", F.explode("bands").alias("key"))
-    order = F.struct(F.xxhash64("id", F.lit(3)).alias("h"), "id")
     buckets = (rows.groupBy("key")
-               .agg(F.count("*").alias("size"), F.min(order).alias("first"),
+               .agg(F.count("*").alias("size"), F.min("id").alias("leader"),
                     F.bit_xor(F.xxhash64("id")).alias("f1"), F.sum(F.hash("id").cast("long")).alias("f2"))
                .where("size > 1")
                # buckets of the same members: one of them
-               .groupBy("size", "first", "f1", "f2").agg(F.min("key").alias("key"))
-               .select("key", "size", F.col("first.id").alias("leader")))
+               .groupBy("size", "leader", "f1", "f2").agg(F.min("key").alias("key"))
+               .select("key", "size", "leader"))
     met = staging.write(rows.join(buckets, "key"), "met")
 
-    sets = staging.write(full_sets(narrow.join(met.select(F.col("id").alias("doc_id")).distinct(),
-                                               "doc_id", "left_semi"), k), "sets")
+    # The ids grow with the corpus: a merge join at every size, not a broadcast at small ones.
+    wanted = met.select(F.col("id").alias("doc_id")).distinct().hint("merge")
+    sets = staging.write(full_sets(narrow.join(wanted, "doc_id", "left_semi"), k), "sets")
     near = ("100 * least(na, nb) >= {0} * greatest(na, nb)").format(percent)  # sizes alone allow it
     sizes = met.select("id", "n").distinct()
     pairs = (met.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"),
