@@ -5,7 +5,6 @@ Layout:
   functions/  column predicates (case-insensitive, placeholder-aware)
   operators/  reusable DataFrame operators (dedup, joins, group tests, ranking, profiling)
   plans/      the ten questions and the run-all job
-  streaming/  nothing: the surveyed job has no streams (see README)
 """
 
 from crashlens.session import build_session, checkpoint_dir

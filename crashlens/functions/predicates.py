@@ -14,8 +14,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Placeholder words the questions treat as "no value".
-PLACEHOLDERS = ("NA", "UNKNOWN", "NOT REPORTED")
+# Words that are no grade.
 NON_GRADES = ("NA", "NO DAMAGE", "INVALID VALUE")
 
 
@@ -28,11 +27,6 @@ def any_of(conds: Iterable[Column]) -> Column:
     return reduce(operator.or_, list(conds))
 
 
-def all_of(conds: Iterable[Column]) -> Column:
-    """AND of the given conditions."""
-    return reduce(operator.and_, list(conds))
-
-
 def ieq(c: str | Column, value: str) -> Column:
     """Case-insensitive equality: ``upper(c) = upper(value)``."""
     return F.upper(_col(c)) == value.upper()
@@ -52,7 +46,7 @@ def icontains_any(cols: str | Column | Iterable[str | Column], words: str | Iter
     return any_of(icontains(c, w) for c in cols for w in words)
 
 
-def not_placeholder(c: str | Column, placeholders: Iterable[str] = PLACEHOLDERS,
+def not_placeholder(c: str | Column, placeholders: Iterable[str],
                     case_insensitive: bool = True) -> Column:
     """``NOT upper(c) IN (placeholders)``; NULL stays NULL, so ``where`` drops it too.
 
@@ -76,27 +70,31 @@ def null_or_placeholder(c: str | Column, placeholders: Iterable[str] = ("NA",))
     return col.isNull() | col.cast("string").isin(*list(placeholders))
 
 
-# Every text ``try_cast(... as int)`` accepts matches this (blanks or control characters
-# around an optional sign and digits); most codes fail it at once.
-_MAYBE_INT = r"^[\s\p{Cntrl}\p{Z}]*[+-]?[0-9]+(\.[0-9]*)?[\s\p{Cntrl}\p{Z}]*$"
+_BLANK = r"[\s\p{Cntrl}\p{Z}]*"
+_WHOLE = rf"^{_BLANK}[+-]?[0-9]+{_BLANK}$"
+# Blanks around an optional sign and digits with an optional fraction; group 1 is the whole part.
+_NUMBER = rf"^{_BLANK}([+-]?[0-9]*)(?:(?<=[0-9])\.?|\.(?=[0-9]))[0-9]*{_BLANK}$"
 
 
 def int_or_null(c: str | Column, to: str = "int") -> Column:
-    """``try_cast(c as <to>)`` for an integral type, with the same cheap guard as
-    :func:`non_numeric` so that placeholder words never reach the slow failing cast."""
+    """The whole number that a text holds, or NULL; a cheap pattern keeps words from the slow
+    failing cast."""
     col = _col(c)
-    return F.when(col.rlike(_MAYBE_INT), col.try_cast(to))
+    return F.when(col.rlike(_WHOLE), col.try_cast(to))
 
 
 def non_numeric(c: str | Column) -> Column:
-    """True for codes that do not parse as an integer (NULL counts as non-numeric).
+    """True for codes that are not a number (NULL counts as non-numeric).
 
-    Same answer as ``try_cast(c as int) IS NULL``, but a failing ``try_cast`` is slow
-    (about ten times a regex test per row), so a cheap pattern that every castable text
-    matches decides first and ``try_cast`` only confirms the candidates.
+    A number is an optional sign and digits with an optional fraction (``1``, ``-1.5``,
+    ``.5``, ``1.``), blanks around it allowed, whose whole part is in the range of a 32-bit
+    integer. Exponents (``1e3``) and longer numbers are not.
     """
     col = _col(c)
-    return ~col.rlike(_MAYBE_INT) | col.try_cast("int").isNull()
+    whole = F.regexp_extract(col, _NUMBER, 1)
+    value = F.when(whole.rlike("[0-9]"), whole.try_cast("decimal(38,0)")).otherwise(F.lit(0).cast("decimal(38,0)"))
+    fits = F.coalesce(value.between(-(2 ** 31), 2 ** 31 - 1), F.lit(False))
+    return F.coalesce(~(col.rlike(_NUMBER) & fits), F.lit(True))
 
 
 def grade_above(cols: str | Column | Iterable[str | Column], threshold: str,

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crashlens.operators.joins import _quoted
+
 _RN = "__crashlens_rn"
 
 
@@ -16,7 +18,7 @@ def _order_cols(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
         order = [c for c in df.columns if c.lower() not in key_set]
     out = []
     for o in order:
-        out.append(F.col(o).asc_nulls_last() if isinstance(o, str) else o)
+        out.append(_quoted(o).asc_nulls_last() if isinstance(o, str) else o)
     return out
 
 
@@ -34,8 +36,8 @@ def dedup_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colum
     order_cols = _order_cols(df, keys, order)
     if not order_cols:
         # Every column is a key: rows with equal keys are equal, so distinct is enough.
-        return df.dropDuplicates(keys)
-    w = Window.partitionBy(*keys).orderBy(*order_cols)
+        return df.distinct()
+    w = Window.partitionBy(*map(_quoted, keys)).orderBy(*order_cols)
     return df.withColumn(_RN, F.row_number().over(w)).where(F.col(_RN) == 1).drop(_RN)
 
 
@@ -51,4 +53,4 @@ def count_entities(df: DataFrame, cols: Sequence[str], name: str = "n") -> DataF
     """Number of distinct entities in one row; which row represents an entity does not
     matter for a count, so only the identity columns are read and aggregated
     (partial aggregation before the shuffle)."""
-    return df.select(*cols).distinct().agg(F.count(F.lit(1)).alias(name))
+    return df.select(*map(_quoted, cols)).distinct().agg(F.count(F.lit(1)).alias(name))

@@ -40,7 +40,7 @@ def profile_table(df: DataFrame, keys: Sequence[str], missing_col: str | None =
     rows = (df.withColumn(m, null_or_placeholder(missing_col, placeholders))
             .groupBy(*df.columns, m).agg(F.count(F.lit(1)).alias(c)))
     return rows.agg(
-        F.sum(c).alias("n_rows"),
+        F.coalesce(F.sum(c), F.lit(0)).cast("long").alias("n_rows"),
         F.count(F.lit(1)).alias("n_distinct_rows"),
         F.count_distinct(F.struct(*[F.col(k) for k in keys])).alias("n_keys"),
         F.coalesce(F.sum(F.when(F.col(m), F.col(c))), F.lit(0)).cast("long").alias("n_missing"),
@@ -52,14 +52,22 @@ def key_counts(df: DataFrame, candidates: Sequence[Sequence[str]]) -> DataFrame:
     distinct tuples of those columns (NULL counted as a value), to see which column set
     identifies a row.
 
-    One aggregate for all candidates; each candidate is reduced inside the map tasks
-    before its shuffle.
+    Each candidate is a ``distinct`` of its own columns, taken from the ``distinct`` of a wider
+    candidate where there is one; the counts meet as single rows. (Several distinct counts in
+    one aggregate would send each row once per candidate.)
     """
-    aggs = [F.count(F.lit(1)).alias("n_rows")]
-    for cols in candidates:
-        name = "n_keys_" + "_".join(cols)
-        aggs.append(F.count_distinct(F.struct(*[F.col(c) for c in cols])).alias(name))
-    return df.agg(*aggs)
+    distinct: dict[tuple[str, ...], DataFrame] = {}
+    for cols in sorted({tuple(c) for c in candidates}, key=lambda c: (-len(c), c)):
+        wider = [w for w in distinct if set(cols) < set(w)]
+        source = distinct[min(wider, key=len)] if wider else df
+        distinct[cols] = source.select(*[F.col(f"`{c}`") for c in cols]).distinct()
+    names = ["n_rows"] + ["n_keys_" + "_".join(c) for c in candidates]
+    counted = [df, *[distinct[tuple(c)] for c in candidates]]
+    rows = None
+    for name, d in zip(names, counted):
+        one = d.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+        rows = one if rows is None else rows.union(one)
+    return rows.agg(*[F.max(F.when(F.col("name") == name, F.col("n"))).alias(name) for name in names])
 
 
 def missing_counts(df: DataFrame, cols: Sequence[str], placeholders: Iterable[str] = ("NA",)) -> DataFrame:
@@ -85,5 +93,15 @@ def largest_keys(df: DataFrame, key: str, n: int = 20) -> DataFrame:
 
 
 def sample_entities(df: DataFrame, cols: Sequence[str], n: int = 20) -> DataFrame:
-    """``n`` deduplicated entities, for a look at what the identity columns collapse."""
-    return distinct_entities(df, cols).limit(n)
+    """``n`` deduplicated entities, for a look at what the identity columns collapse: those that
+    come first by the identity columns (ascending, NULLs last), each with its first row.
+
+    Only identity columns are ranked; the whole rows of the ``n`` entities alone are deduplicated.
+    """
+    quoted = [F.col(f"`{c}`") for c in cols]
+    chosen = df.select(*quoted).distinct().orderBy(*[c.asc_nulls_last() for c in quoted]).limit(n)
+    marked = chosen.select(*[c.alias(f"__crashlens_{i}") for i, c in enumerate(quoted)])
+    same = F.lit(True)
+    for i, c in enumerate(quoted):
+        same &= c.eqNullSafe(F.col(f"__crashlens_{i}"))
+    return distinct_entities(df.join(marked, same, "left_semi"), cols)

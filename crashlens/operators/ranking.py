@@ -39,7 +39,8 @@ def rank_band(df: DataFrame, measure: str, first: int, last: int,
               ties: str | Sequence[str] = ()) -> DataFrame:
     """Rows ranked ``first`` to ``last`` (1-based, inclusive) by ``measure`` descending.
 
-    Limit then offset: only the top ``last`` rows are ever sorted globally.
+    Limit then offset: each task keeps its own top ``last`` rows, and those are merged in one
+    task, which therefore holds ``last`` rows per task at most. Meant for bands near the top.
     """
     return df.orderBy(*_ordering(measure, _names(ties))).limit(last).offset(first - 1)
 

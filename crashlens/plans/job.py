@@ -10,19 +10,21 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
 from crashlens.plans.questions import QUESTIONS
 from crashlens.plans.tables import Incidents
-from crashlens.session import apply_scale_conf, staging_path
+from crashlens.session import apply_scale_conf, input_bytes, partitions_for, staging_path
 from crashlens.sources.io import load_tables, result_path, write_result
-from crashlens.sources.schemas import CHARGE_KEY, DAMAGE_KEY, UNIT_KEY
+from crashlens.sources.schemas import (CHARGE_KEY, CHARGES, DAMAGE_KEY, DAMAGES, PERSON,
+                                       QUESTION_COLUMNS, UNIT_KEY, UNITS)
 
 
 def _stage(spark: SparkSession, df: DataFrame, keys: tuple[str, ...], buckets: int,
-           folder: str, name: str) -> DataFrame:
+           folder: str, name: str) -> tuple[str, DataFrame]:
     table = f"crashlens_{name}_{uuid.uuid4().hex[:12]}"
     # No sortBy: bucketed scans do not report a sort order, so the join sorts anyway and
     # a write-side sort would only cost time.
@@ -30,20 +32,23 @@ def _stage(spark: SparkSession, df: DataFrame, keys: tuple[str, ...], buckets: i
        .bucketBy(buckets, *keys)
        .option("path", os.path.join(folder, name))
        .saveAsTable(table))
-    return spark.table(table)
+    return table, spark.table(table)
 
 
 def stage_deduped(spark: SparkSession, t: Incidents, folder: str | None = None,
-                  buckets: int | None = None) -> Incidents:
+                  buckets: Mapping[str, int] | None = None) -> Incidents:
     """Write Units, Person, Charges and Damages one row per key, bucketed on that key.
 
-    ``folder`` defaults to a new sub-folder of the shared checkpoint folder. ``buckets``
-    defaults to ``spark.sql.shuffle.partitions``; on a cluster size it so a bucket is
-    about 128-256 MB. Units and Person share the key and the bucket count, which is what
-    makes their join co-located.
+    ``folder`` defaults to a new sub-folder of the shared checkpoint folder. ``buckets`` gives
+    a table's bucket count (``spark.sql.shuffle.partitions`` for one not listed), so that a
+    narrow table is not cut into as many files as a wide one. Units and Person share the key
+    and get the larger of their two counts, which is what makes their join co-located.
+    The result's ``staged`` names the catalog tables; :func:`release` drops them.
     """
     folder = folder or staging_path(spark, uuid.uuid4().hex)
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    default = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    count = {name: (buckets or {}).get(name, default) for name in (UNITS, PERSON, CHARGES, DAMAGES)}
+    count[UNITS] = count[PERSON] = max(count[UNITS], count[PERSON])
     jobs = {"units": (t.units_by_key, UNIT_KEY), "primary_person": (t.persons_by_key, UNIT_KEY)}
     if t.charges is not None:
         jobs["charges"] = (t.charges_by_key, CHARGE_KEY)
@@ -52,10 +57,22 @@ def stage_deduped(spark: SparkSession, t: Incidents, folder: str | None = None,
     # The four writes are independent Spark jobs; submitted together they share the
     # executors instead of leaving cores idle at each job's tail.
     with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
-        futures = {name: pool.submit(_stage, spark, fn(), keys, buckets, folder, name)
+        futures = {name: pool.submit(_stage, spark, fn(), keys, count[name], folder, name)
                    for name, (fn, keys) in jobs.items()}
         staged = {name: f.result() for name, f in futures.items()}
-    return t.with_tables(deduped=True, **staged)
+    return t.with_tables(deduped=True, staged=(folder, tuple(table for table, _ in staged.values())),
+                         **{name: df for name, (_, df) in staged.items()})
+
+
+def release(spark: SparkSession, t: Incidents) -> None:
+    """Drop the catalog tables of :func:`stage_deduped` and delete their folder."""
+    if t.staged is None:
+        return
+    folder, tables = t.staged
+    for table in tables:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def run_question(t: Incidents, name: str, out_dir: str, fmt: str = "csv") -> str:
@@ -83,18 +100,26 @@ def run_job(spark: SparkSession, paths: dict[str, str], out_dir: str, in_fmt: st
             out_fmt: str = "csv", stage: bool = True) -> dict[str, str]:
     """Load the six tables, stage the deduped ones, answer and write all ten questions.
 
-    Shuffle partitions and split sizes follow the input size unless set explicitly.
+    Shuffle partitions, split sizes and bucket counts follow the input size unless set
+    explicitly. Paths may be patterns. A table without a column that a question reads stops
+    the job before any question runs. Staged tables and their files are removed at the end.
     """
     apply_scale_conf(spark, list(paths.values()))
-    t = Incidents.from_mapping(load_tables(spark, paths, in_fmt))
-    if stage:
-        t = stage_deduped(spark, t)
-    return run_questions(t, out_dir, out_fmt)
+    t = Incidents.from_mapping(load_tables(spark, paths, in_fmt, required=QUESTION_COLUMNS))
+    if not stage:
+        return run_questions(t, out_dir, out_fmt)
+    cores = spark.sparkContext.defaultParallelism
+    staged = stage_deduped(spark, t, buckets={
+        name: partitions_for(input_bytes(spark, [path]), cores) for name, path in paths.items()})
+    try:
+        return run_questions(staged, out_dir, out_fmt)
+    finally:
+        release(spark, staged)
 
 
 def main(argv: list[str] | None = None) -> None:
-    """``[profile] OUT_DIR FORMAT name=path ...``: answer the ten questions, or with
-    ``profile`` first write the table checks instead."""
+    """``[profile] OUT_DIR IN_FORMAT[:OUT_FORMAT] name=path ...``: answer the ten questions, or
+    with ``profile`` first write the table checks instead. The output format is CSV unless given."""
     import sys
 
     from crashlens.plans.profile_job import run_profile
@@ -105,11 +130,12 @@ def main(argv: list[str] | None = None) -> None:
     if profile:
         args = args[1:]
     out_dir, fmt, pairs = args[0], args[1], args[2:]
+    in_fmt, _, out_fmt = fmt.partition(":")
     paths = dict(p.split("=", 1) for p in pairs)
     spark = build_session()
     try:
         run = run_profile if profile else run_job
-        for name, path in run(spark, paths, out_dir, in_fmt=fmt).items():
+        for name, path in run(spark, paths, out_dir, in_fmt=in_fmt, out_fmt=out_fmt or "csv").items():
             print(name, path)
     finally:
         spark.stop()

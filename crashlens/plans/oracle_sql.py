@@ -70,7 +70,9 @@ persons AS (
          'ST' || CAST(c_nationkey AS VARCHAR) AS drvr_lic_state_id,
          CASE o_custkey % 50 WHEN 0 THEN 'UNKNOWN' WHEN 1 THEN NULL
               ELSE CAST(78000 + o_custkey % 50 AS VARCHAR) END AS drvr_zip,
-         CASE WHEN o_orderstatus = 'F' THEN 'Positive' ELSE 'NA' END AS prsn_alc_rslt_id
+         CASE WHEN o_orderstatus = 'F' THEN 'Positive' ELSE 'NA' END AS prsn_alc_rslt_id,
+         CAST(l_quantity AS INTEGER) % 3 AS tot_injry_cnt,
+         CASE WHEN CAST(l_quantity AS INTEGER) % 3 = 0 THEN 1 ELSE 0 END AS death_cnt
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
 ),
 persons_k AS (
@@ -79,7 +81,8 @@ persons_k AS (
     prsn_nbr ASC NULLS LAST, prsn_type_id ASC NULLS LAST, prsn_gndr_id ASC NULLS LAST,
     prsn_injry_sev_id ASC NULLS LAST, prsn_airbag_id ASC NULLS LAST,
     prsn_ethnicity_id ASC NULLS LAST, drvr_lic_cls_id ASC NULLS LAST,
-    drvr_lic_state_id ASC NULLS LAST, drvr_zip ASC NULLS LAST, prsn_alc_rslt_id ASC NULLS LAST) = 1
+    drvr_lic_state_id ASC NULLS LAST, drvr_zip ASC NULLS LAST, prsn_alc_rslt_id ASC NULLS LAST,
+    tot_injry_cnt ASC NULLS LAST, death_cnt ASC NULLS LAST) = 1
 )"""
 
 _CHARGES = """
@@ -304,9 +307,20 @@ LIMIT 5""",
 
 _LP = "lp AS (SELECT * FROM lineitem JOIN part ON l_partkey = p_partkey)"
 _CODE = """coded AS (
-  SELECT CASE p_size % 3 WHEN 0 THEN CAST(p_size AS VARCHAR) WHEN 1 THEN 'na' ELSE p_brand END AS code
+  SELECT CASE p_partkey % 29 WHEN 0 THEN '1.5' WHEN 1 THEN '.5' WHEN 2 THEN '1.' WHEN 3 THEN '1e3' WHEN 4 THEN ' 12 '
+              WHEN 5 THEN '99999999999' WHEN 6 THEN '-7' WHEN 7 THEN '+.' WHEN 8 THEN ''
+         ELSE CASE p_size % 3 WHEN 0 THEN CAST(p_size AS VARCHAR) WHEN 1 THEN 'na' ELSE p_brand END END AS code
   FROM part)"""
 
+# A number: sign, digits, fraction; its whole part (text before the point) fits 32 bits.
+_NUMBER = r"""(regexp_matches(trim(code), '^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)$')
+       AND abs(coalesce(TRY_CAST(split_part(trim(code), '.', 1) AS DECIMAL(38, 0)),
+                        CASE WHEN length(split_part(trim(code), '.', 1)) > 1 THEN 9999999999 ELSE 0 END)) <= 2147483647)"""
+
+_SIDES = """l AS (SELECT s_nationkey AS nation, s_suppkey AS id, s_name AS name, 's' AS r_name FROM supplier),
+r AS (SELECT c_nationkey AS nation, min(c_custkey) AS id, min(c_name) AS name, count(*) AS n
+      FROM customer GROUP BY c_nationkey)"""
+
 OPERATORS_SQL = {
     "dedup_by_key": """
 SELECT * FROM lineitem
@@ -377,7 +391,7 @@ WHERE upper(code) NOT IN ('NA', 'UNKNOWN') GROUP BY code""",
 
     "non_numeric": "WITH " + _CODE + """
 SELECT code, count(*) AS n FROM coded
-WHERE TRY_CAST(code AS INTEGER) IS NULL GROUP BY code""",
+WHERE NOT """ + _NUMBER + """ GROUP BY code""",
 
     "grade_above": """
 SELECT o_orderpriority, count(*) AS n_orders FROM orders
@@ -388,6 +402,19 @@ GROUP BY o_orderpriority""",
 SELECT s.s_suppkey, s.s_name, s.s_nationkey, s.s_acctbal, n.n_name, n.n_regionkey
 FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey""",
 
+    "join_on_collision": "WITH " + _SIDES + """
+SELECT l.nation, l.r_name, r.id, r.name, r.n FROM l JOIN r ON l.nation = r.nation""",
+
+    "join_on_prefix": "WITH " + _SIDES + """
+SELECT l.nation, l.id, l.name, l.r_name, r.id AS r_id, r.name AS r_r_name, r.n FROM l JOIN r ON l.nation = r.nation""",
+
+    "sample_entities": """
+SELECT p_brand, p_size, p_name, p_partkey FROM (
+  SELECT *, dense_rank() OVER (ORDER BY p_brand ASC NULLS LAST, p_size ASC NULLS LAST) AS d,
+         row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_name ASC NULLS LAST, p_partkey ASC NULLS LAST) AS r
+  FROM part)
+WHERE d <= 20 AND r = 1""",
+
     "three_way_join": """
 SELECT p_brand, o_orderstatus, count(*) AS n_lines
 FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey

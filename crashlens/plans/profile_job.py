@@ -1,6 +1,6 @@
 """The exploratory checks of the six incident tables as one profiling job.
 
-For each table: its schema, one aggregate with row count, exact-copy count, key count and
+For each table: its schema, a preview, one aggregate with row count, exact-copy count, key count and
 missing-key count, distinct counts of candidate keys, value counts of its coded columns in long form, the largest unit
 numbers, NULL-or-``NA`` counts of the vehicle identity parts, and a sample of deduplicated
 vehicles. Every result is a DataFrame; nothing is collected to the driver.
@@ -8,6 +8,7 @@ vehicles. Every result is a DataFrame; nothing is collected to the driver.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
 
@@ -17,7 +18,8 @@ from crashlens.operators.dedup import count_entities
 from crashlens.operators.profile import (key_counts, largest_keys, missing_counts,
                                          profile_table, sample_entities, schema_rows,
                                          value_counts)
-from crashlens.sources.io import result_path, write_result
+from crashlens.session import apply_scale_conf, staging_path
+from crashlens.sources.io import load_tables, preview, result_path, write_result
 from crashlens.sources.schemas import (CHARGE_KEY, CHARGES, DAMAGES, ENDORSE, PERSON, RESTRICT,
                                        UNIT_KEY, UNITS, VEHICLE_COLS)
 
@@ -36,7 +38,7 @@ CODED_COLUMNS = {
              "prsn_gndr_id", "prsn_ejct_id", "prsn_rest_id", "prsn_airbag_id", "prsn_helmet_id",
              "prsn_alc_rslt_id", "drvr_lic_type_id", "drvr_lic_state_id", "drvr_lic_cls_id"),
     RESTRICT: ("drvr_lic_restric_id",),
-    UNITS: ("unit_desc_id", "veh_hnr_fl", "veh_lic_state_id", "veh_mod_year", "veh_color_id",
+    UNITS: ("unit_desc_id", "veh_hnr_fl", "veh_lic_state_id", "vin", "veh_mod_year", "veh_color_id",
             "veh_make_id", "veh_mod_id", "veh_body_styl_id", "fin_resp_type_id",
             "veh_dmag_scl_1_id", "veh_dmag_scl_2_id", "contrib_factr_1_id", "contrib_factr_2_id",
             "contrib_factr_p1_id", "tot_injry_cnt", "death_cnt"),
@@ -59,6 +61,7 @@ def profile_tables(spark: SparkSession, tables: Mapping[str, DataFrame],
         cols = set(df.columns)
         keys = [k for k in KEYS.get(name, ("crash_id",)) if k in cols]
         out[f"{name}_schema"] = schema_rows(spark, df)
+        out[f"{name}_preview"] = preview(df, sample_rows)
         if keys:
             out[f"{name}_profile"] = profile_table(df, keys, keys[0])
         candidates = [k for k in CANDIDATE_KEYS.get(name, ()) if set(k) <= cols]
@@ -92,6 +95,19 @@ def write_profiles(profiles: Mapping[str, DataFrame], out_dir: str, fmt: str = "
 
 def run_profile(spark: SparkSession, paths: Mapping[str, str], out_dir: str, in_fmt: str = "csv",
                 out_fmt: str = "csv") -> dict[str, str]:
-    """Load the tables and write every check to ``<out_dir>/profile_<name>``."""
-    from crashlens.sources.io import load_tables
-    return write_profiles(profile_tables(spark, load_tables(spark, paths, in_fmt)), out_dir, out_fmt)
+    """Load the tables and write every check to ``<out_dir>/profile_<name>``.
+
+    The session is sized for the input as in the run-all job. Each raw table is parsed once:
+    it is written as Parquet to the shared staging folder, and all checks read that.
+    """
+    apply_scale_conf(spark, list(paths.values()))
+    folder = staging_path(spark, uuid.uuid4().hex)
+    staged = {}
+    for name, df in load_tables(spark, paths, in_fmt).items():
+        df.write.parquet(f"{folder}/{name}")
+        staged[name] = spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+    try:
+        return write_profiles(profile_tables(spark, staged), out_dir, out_fmt)
+    finally:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

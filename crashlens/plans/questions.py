@@ -17,7 +17,7 @@ from crashlens.functions.predicates import (grade_above, icontains, icontains_an
 from crashlens.operators.dedup import count_entities, dedup_by_key, distinct_entities
 from crashlens.operators.groups import (count_distinct_by, group_count, group_sum,
                                         groups_with_more_than)
-from crashlens.operators.joins import join_on, restrict_to
+from crashlens.operators.joins import join_on, semi_join_rows
 from crashlens.operators.ranking import rank_band, top_k, top_k_count, top_per_group
 from crashlens.plans.tables import Incidents
 from crashlens.sources.schemas import (CHARGE_KEY, COUNTER_COLS, CRASH_KEY, UNIT_KEY,
@@ -49,7 +49,7 @@ GRADE_THRESHOLD = "DAMAGED 4"
 INSURANCE = "INSURANCE"
 CODE_PLACEHOLDERS = ("NA",)                                      # Q10, exact match
 SPEED = "SPEED"
-COLOUR_COUNT, STATE_COUNT, Q10_COUNT = "color_count", "state_count", "offence_count"
+Q10_COUNT = "offence_count"
 
 # Entity dedup keeps the vehicle row of the smallest (crash_id, unit_nbr).
 ENTITY_ORDER = list(UNIT_KEY)
@@ -75,6 +75,13 @@ def q1(t: Incidents, more_than: int = 2) -> DataFrame:
     return groups_with_more_than(t.persons_by_key(), "crash_id", cond, more_than, Q1_COUNT)
 
 
+def _one_per_vehicle(rows: DataFrame, null_keys: bool = True) -> DataFrame:
+    """One row per vehicle. The row is chosen on identity and key columns alone; the whole
+    rows are then fetched by their key, which is unique after the keyed dedup."""
+    narrow = rows.select(*UNIT_KEY, *VEHICLE_COLS)
+    return semi_join_rows(rows, distinct_entities(narrow, VEHICLE_COLS, ENTITY_ORDER), UNIT_KEY, null_keys)
+
+
 def _two_wheelers(t: Incidents) -> DataFrame:
     return t.units_by_key().where(icontains("veh_body_styl_id", MOTORCYCLE))
 
@@ -82,7 +89,7 @@ def _two_wheelers(t: Incidents) -> DataFrame:
 def q2(t: Incidents) -> DataFrame:
     """Two-wheelers booked for crashes: one Units row per distinct vehicle whose body
     style mentions MOTORCYCLE (the row of the smallest ``(crash_id, unit_nbr)``)."""
-    return distinct_entities(_two_wheelers(t), VEHICLE_COLS, ENTITY_ORDER)
+    return _one_per_vehicle(_two_wheelers(t))
 
 
 def q2_count(t: Incidents) -> DataFrame:
@@ -116,7 +123,7 @@ def q4(t: Incidents) -> DataFrame:
     """Vehicles with a licensed driver involved in hit and run: the joined Units/Person
     rows, one per distinct vehicle. The Units copies of the injury counters are dropped so
     the written result has unique column names."""
-    return distinct_entities(_hit_and_run(t), VEHICLE_COLS, ENTITY_ORDER)
+    return _one_per_vehicle(_hit_and_run(t), null_keys=False)
 
 
 def q4_count(t: Incidents) -> DataFrame:
@@ -220,7 +227,7 @@ def q9(t: Incidents, damage_match: str = "first") -> DataFrame:
     very many units is reduced inside the map tasks first.
     """
     units, damages = _q9_sides(t, damage_match)
-    one_per_crash = dedup_by_key(units, CRASH_KEY)
+    one_per_crash = dedup_by_key(units, CRASH_KEY, ["unit_nbr"])  # unique within a crash
     return join_on(one_per_crash, damages, CRASH_KEY).orderBy(F.col("crash_id").desc())
 
 
@@ -232,37 +239,51 @@ def q9_count(t: Incidents, damage_match: str = "first") -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
 
 
+def _best_codes(units: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """One row and column: the most common codes of each code column as ``column=code`` texts,
+    numbers and placeholders left out (ties by code)."""
+    codes = (units.select(*limits).unpivot([], list(limits), "column", "code")
+             .where(not_placeholder("code", CODE_PLACEHOLDERS, case_insensitive=False)))
+    counted = group_count(codes, ["column", "code"], "n").where(non_numeric("code"))
+    order = Window.partitionBy("column").orderBy(F.col("n").desc(), F.col("code").asc())
+    wanted = F.lit(False)
+    for column, k in limits.items():
+        wanted |= (F.col("column") == column) & (F.col("rank") <= k)
+    top = (counted.withColumn("rank", F.row_number().over(order))
+           .where(F.col("rank") <= max(limits.values())).where(wanted))
+    return top.agg(F.collect_list(F.concat_ws("=", "column", "code")).alias("best"))
+
+
 def q10(t: Incidents, k: int = 5, top_colours: int = 10, top_states: int = 25,
         charge_match: str = "first") -> DataFrame:
     """Top ``k`` makes by speeding charges of licensed drivers, for vehicles with one of the
     ``top_colours`` most common colours and licensed in one of the ``top_states`` states
     with most vehicles. Columns: ``veh_make_id, offence_count``.
 
-    Colour and state codes that parse as numbers, and the exact code ``NA``, are left out
-    of the two rankings. The two allow-lists are top-k results, so their size is bounded by
-    k; they are broadcast into semi joins within the same plan (no collect to the driver).
+    Colour and state codes that are numbers, and the exact code ``NA``, are left out of the
+    two rankings. Both rankings come from one pass: the two code columns are stacked and
+    counted in one aggregate, and the best codes of each become one short list (at most
+    ``top_colours + top_states`` values) in a one-row scalar subquery of the same plan.
     Units and persons are joined first (both are already partitioned on the unit key by
     their dedup), then charges on the three person keys. ``charge_match="first"`` (the
     job's rule) tests the one charge kept per person; ``"any"`` counts a person with any
     speeding charge.
     """
     units = t.units_by_key()
-    # The joins below need a key, and Catalyst pushes that not-NULL test under the dedup,
-    # which would make the joined branch a second dedup of Units. Splitting Units into
-    # rows with and without a key (together exactly Units) lets the rankings and the join
-    # share one dedup shuffle; only the rows without a key are deduped apart, and their
-    # filter reaches the scan.
-    has_key = F.col("crash_id").isNotNull() & F.col("unit_nbr").isNotNull()
-    keyed = units.where(has_key)
-    ranked = keyed.unionByName(units.where(~has_key))
-    colours = top_k_count(ranked.where(not_placeholder("veh_color_id", CODE_PLACEHOLDERS, case_insensitive=False)
-                                      & non_numeric("veh_color_id")),
-                          "veh_color_id", top_colours, COLOUR_COUNT)
-    states = top_k_count(ranked.where(not_placeholder("veh_lic_state_id", CODE_PLACEHOLDERS, case_insensitive=False)
-                                     & non_numeric("veh_lic_state_id")),
-                         "veh_lic_state_id", top_states, STATE_COUNT)
-    units = restrict_to(keyed, colours, "veh_color_id", max_rows=top_colours)
-    units = restrict_to(units, states, "veh_lic_state_id", max_rows=top_states)
+    ranked = units
+    if not t.deduped:
+        # The joins below need a key, and Catalyst pushes that not-NULL test under the dedup,
+        # which would make the joined branch a second dedup of Units. Splitting Units into
+        # rows with and without a key (together exactly Units) lets the ranking and the join
+        # share one dedup shuffle; only the rows without a key are deduped apart.
+        has_key = F.col("crash_id").isNotNull() & F.col("unit_nbr").isNotNull()
+        units, without = units.where(has_key), units.where(~has_key)
+        ranked = units.unionByName(without)
+    limits = {"veh_color_id": top_colours, "veh_lic_state_id": top_states}
+    own = F.array(*[F.concat(F.lit(f"{name}="), F.col(name)) for name in limits])
+    best = _best_codes(ranked, limits).scalar()
+    # One reference to the subquery, so that it is planned once.
+    units = units.where(F.size(F.array_intersect(best, own)) == len(limits))
     persons = t.persons_by_key().where(icontains("prsn_type_id", DRIVER)
                                        & icontains_any("drvr_lic_cls_id", LICENCE_WORDS))
     speeding = icontains("charge", SPEED)

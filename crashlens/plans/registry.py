@@ -19,7 +19,7 @@ from crashlens.operators.groups import (conditional_count, count_distinct_by, gr
                                         group_sum, groups_with_more_than, groups_without)
 from crashlens.operators.joins import join_on, restrict_to
 from crashlens.operators.profile import (key_counts, largest_keys, missing_counts, profile_table,
-                                         value_counts)
+                                         sample_entities, value_counts)
 from crashlens.operators.ranking import rank_band, top_k, top_per_group
 from crashlens.plans import questions as Q
 from crashlens.sources.sample_views import sample_incidents
@@ -48,11 +48,18 @@ def _brand_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_sum(with_brand, "p_brand", "n_lines", "n_lines")
 
 
+# Texts at the edge of what counts as a number.
+ODD_CODES = ("1.5", ".5", "1.", "1e3", " 12 ", "99999999999", "-7", "+.", "")
+
+
 def _coded_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A mixed code column: the size as text, the word ``na``, or the brand."""
+    """A mixed code column: the size as text, the word ``na``, the brand, or one of a few
+    number-like texts."""
     size3 = F.col("p_size") % 3
     code = (F.when(size3 == 0, F.col("p_size").cast("string"))
             .when(size3 == 1, F.lit("na")).otherwise(F.col("p_brand")))
+    for i, text in enumerate(ODD_CODES):
+        code = F.when(F.col("p_partkey") % 29 == i, F.lit(text)).otherwise(code)
     return _t(spark, sf_dir, "part").select(code.alias("code"))
 
 
@@ -118,7 +125,7 @@ def q_top_per_group(spark, sf_dir):
 
 def q_restrict_to_top(spark, sf_dir):
     top = top_k(_brand_lines(spark, sf_dir), "n_lines", 10, "p_brand")
-    return group_count(restrict_to(_lp(spark, sf_dir), top, "p_brand", max_rows=10), "l_returnflag", "n_lines")
+    return group_count(restrict_to(_lp(spark, sf_dir), top, "p_brand"), "l_returnflag", "n_lines")
 
 
 def q_icontains_any(spark, sf_dir):
@@ -145,6 +152,29 @@ def q_join_on(spark, sf_dir):
     return join_on(_t(spark, sf_dir, "supplier"), _t(spark, sf_dir, "nation"), [("s_nationkey", "n_nationkey")])
 
 
+def _collision_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Supplier and customer under shared names, keyed by nation (one customer per nation)."""
+    left = _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("id"),
+                                                F.col("s_name").alias("name"), F.lit("s").alias("r_name"))
+    right = (_t(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("nation"))
+             .agg(F.min("c_custkey").alias("id"), F.min("c_name").alias("name"), F.count("*").alias("n")))
+    return left, right
+
+
+def q_join_on_collision(spark, sf_dir):
+    left, right = _collision_sides(spark, sf_dir)
+    return join_on(left, right, ["nation"], collisions="drop_left")
+
+
+def q_join_on_prefix(spark, sf_dir):
+    left, right = _collision_sides(spark, sf_dir)
+    return join_on(left, right, ["nation"], collisions="prefix")
+
+
+def q_sample_entities(spark, sf_dir):
+    return sample_entities(_t(spark, sf_dir, "part").select("p_brand", "p_size", "p_name", "p_partkey"), ["p_brand", "p_size"], 20)
+
+
 def q_three_way_join(spark, sf_dir):
     # Lines meet their order, are counted per (part, status), and only those counts meet part.
     lo = join_on(_t(spark, sf_dir, "lineitem"), _t(spark, sf_dir, "orders"), [("l_orderkey", "o_orderkey")])
@@ -219,6 +249,9 @@ OPERATOR_QUERIES: dict[str, Query] = {
     "non_numeric": q_non_numeric,
     "grade_above": q_grade_above,
     "join_on": q_join_on,
+    "join_on_collision": q_join_on_collision,
+    "join_on_prefix": q_join_on_prefix,
+    "sample_entities": q_sample_entities,
     "three_way_join": q_three_way_join,
     "profile_table": q_profile_table,
     "key_counts": q_key_counts,

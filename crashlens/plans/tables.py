@@ -28,6 +28,7 @@ class Incidents:
     endorse: DataFrame | None = None
     restrict: DataFrame | None = None
     deduped: bool = False
+    staged: tuple[str, tuple[str, ...]] | None = None  # folder and catalog tables to release
 
     @classmethod
     def from_mapping(cls, tables: Mapping[str, DataFrame]) -> "Incidents":

@@ -71,7 +71,6 @@ def staging_path(spark: SparkSession, name: str) -> str:
 
 # Target bytes per shuffle partition and per scan split at scale; AQE merges smaller ones.
 TARGET_PARTITION_BYTES = 512 * 1024 * 1024
-MAX_SHUFFLE_PARTITIONS = 100_000
 
 
 def input_bytes(spark: SparkSession, paths: list[str]) -> int:
@@ -81,31 +80,39 @@ def input_bytes(spark: SparkSession, paths: list[str]) -> int:
     total = 0
     for p in paths:
         path = jvm.org.apache.hadoop.fs.Path(p)
-        total += path.getFileSystem(conf).getContentSummary(path).getLength()
+        fs = path.getFileSystem(conf)
+        # A path may be a pattern, as in spark.read.
+        for status in fs.globStatus(path) or ():
+            total += fs.getContentSummary(status.getPath()).getLength()
     return int(total)
 
 
+def partitions_for(total_bytes: int, cores: int, target_bytes: int = TARGET_PARTITION_BYTES) -> int:
+    """Partitions (or buckets) for an input: one per ``target_bytes``, at least three per core."""
+    return max(3 * cores, -(-total_bytes // target_bytes))
+
+
 def scale_conf(total_bytes: int, cores: int, target_bytes: int = TARGET_PARTITION_BYTES) -> dict[str, str]:
     """Shuffle and scan sizing for an input of ``total_bytes`` on ``cores`` task slots.
 
-    About one shuffle partition per ``target_bytes`` of input (at least three per core, at
-    most ``MAX_SHUFFLE_PARTITIONS``), so a partition fits an executor's memory share without
-    spilling much; AQE then merges partitions below the advisory size and splits skewed
-    join partitions above five times the median.
+    About one shuffle partition per ``target_bytes`` of input, at least three per core, so a
+    partition fits an executor's memory share without spilling much; AQE then merges
+    partitions below the advisory size and splits skewed join partitions above five times the
+    median. Scans are cut into at least one split per core.
     """
-    parts = max(3 * cores, -(-total_bytes // target_bytes))
-    parts = min(parts, MAX_SHUFFLE_PARTITIONS)
+    parts = partitions_for(total_bytes, cores, target_bytes)
     return {
         "spark.sql.shuffle.partitions": str(parts),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(min(target_bytes, 256 * 1024 * 1024)),
         "spark.sql.files.maxPartitionBytes": str(min(target_bytes, 256 * 1024 * 1024)),
+        "spark.sql.files.minPartitionNum": str(cores),
         "spark.sql.adaptive.skewJoin.enabled": "true",
     }
 
 
 def apply_scale_conf(spark: SparkSession, paths: list[str]) -> dict[str, str]:
     """Size the session for the given inputs unless shuffle partitions were set explicitly."""
-    if spark.conf.get("spark.sql.shuffle.partitions", "200") != "200":
+    if "spark.sql.shuffle.partitions" in spark.conf.getAll:
         return {}
     conf = scale_conf(input_bytes(spark, paths), spark.sparkContext.defaultParallelism)
     for k, v in conf.items():

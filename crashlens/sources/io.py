@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,53 +13,70 @@ from crashlens.functions.predicates import int_or_null
 from crashlens.sources.schemas import NUMERIC_TYPES
 
 
-def apply_types(df: DataFrame, types: Mapping[str, T.DataType] = NUMERIC_TYPES) -> DataFrame:
-    """Cast the named columns (matched case-insensitively) and keep every other column.
+KEY_COLUMNS = ("crash_id", "unit_nbr", "prsn_nbr")
 
-    ``try_cast`` turns a malformed number into NULL instead of failing the whole job under
-    ANSI mode; a plain projection, so it fuses into the scan's codegen stage.
+
+def _strict(col: Column, name: str, to: str) -> Column:
+    """The cast value; a text that is not a number of that type stops the job and is named."""
+    value = int_or_null(col, to)
+    message = F.concat(F.lit(f"column {name}: not a {to}: "), col)
+    return F.when(col.isNotNull() & value.isNull(), F.raise_error(message).cast(to)).otherwise(value)
+
+
+def apply_types(df: DataFrame, types: Mapping[str, T.DataType] = NUMERIC_TYPES,
+                bad_counters: str = "error") -> DataFrame:
+    """Cast the named columns (matched case-insensitively), lower all names, keep every column.
+
+    A key that is not a number raises an error naming column and value: as NULL it would join
+    the group of all NULL keys, and the dedup would drop its row. ``bad_counters="null"``
+    turns malformed values of the other numeric columns into NULL; by default they raise too.
+    A plain projection, so it fuses into the scan's codegen stage.
     """
+    if bad_counters not in ("error", "null"):
+        raise ValueError(f"bad_counters must be 'error' or 'null', not {bad_counters!r}")
     lowered = {k.lower(): v for k, v in types.items()}
     cols = []
     for f in df.schema.fields:
-        want = lowered.get(f.name.lower())
+        name = f.name.lower()
+        want = lowered.get(name)
         col = F.col(f"`{f.name}`")
         if want is None or f.dataType == want:
-            cols.append(col.alias(f.name.lower()))
+            cast = col
         elif isinstance(f.dataType, T.StringType) and isinstance(want, (T.IntegerType, T.LongType)):
-            cols.append(int_or_null(col, want.simpleString()).alias(f.name.lower()))
+            strict = name in KEY_COLUMNS or bad_counters == "error"
+            cast = _strict(col, name, want.simpleString()) if strict else int_or_null(col, want.simpleString())
+        elif name in KEY_COLUMNS or bad_counters == "error":
+            # From another number type; what does not fit must not become NULL either.
+            cast = F.when(col.isNotNull() & col.try_cast(want).isNull(), F.raise_error(
+                F.concat(F.lit(f"column {name}: not a {want.simpleString()}: "), col.cast("string"))
+            ).cast(want)).otherwise(col.try_cast(want))
         else:
-            cols.append(col.try_cast(want).alias(f.name.lower()))
+            cast = col.try_cast(want)
+        cols.append(cast.alias(name))
     return df.select(*cols)
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin a scan that arrives in fewer partitions than the cluster has cores.
-
-    A gzip CSV or a parquet file with a single row group is read by one task, and every
-    narrow step after it (projections, the map side of the dedup) would run in that task.
-    Large inputs come in many splits and are returned unchanged, so no extra shuffle is
-    added where the scan is already parallel.
-    """
-    try:
-        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # a session without the RDD API (Spark Connect): leave the plan alone
-        return df
-    return df.repartition(want) if have < want else df
+def check_columns(df: DataFrame, name: str, required: Sequence[str]) -> None:
+    """Raise, before any data is read, if a table lacks a column that is needed."""
+    missing = [c for c in required if c.lower() not in {x.lower() for x in df.columns}]
+    if missing:
+        raise ValueError(f"table {name!r} has no column {', '.join(missing)}; it has {', '.join(df.columns)}")
 
 
 def load_table(spark: SparkSession, path: str, fmt: str = "csv",
                schema: T.StructType | None = None,
                types: Mapping[str, T.DataType] = NUMERIC_TYPES,
-               options: Mapping[str, str] | None = None) -> DataFrame:
+               options: Mapping[str, str] | None = None, bad_counters: str = "error",
+               spread: int | None = None) -> DataFrame:
     """Read one incident table.
 
     CSV: header line, no schema inference (inference is a full extra pass over the files).
     With ``schema`` the header names are checked against it (``enforceSchema=false``);
     without it every column is read as text and the known numeric columns are cast.
     Any other ``DataFrameReader`` format (parquet, orc, json, ...) is read as is and cast
-    the same way. Column names come out lower case.
+    the same way. Column names come out lower case. ``bad_counters`` as in
+    :func:`apply_types`. ``spread`` is for a file that cannot be split (gzip): its rows are
+    dealt over that many partitions; by default nothing is moved.
     """
     reader = spark.read.format(fmt)
     if fmt == "csv":
@@ -70,15 +87,21 @@ def load_table(spark: SparkSession, path: str, fmt: str = "csv",
         reader = reader.schema(schema)
     for k, v in (options or {}).items():
         reader = reader.option(k, v)
-    return apply_types(spread(reader.load(path)), types)
+    df = reader.load(path)
+    return apply_types(df.repartition(spread) if spread else df, types, bad_counters)
 
 
 def load_tables(spark: SparkSession, paths: Mapping[str, str], fmt: str = "csv",
-                schemas: Mapping[str, T.StructType] | None = None) -> dict[str, DataFrame]:
-    """A name -> DataFrame map from a name -> path map (the table set)."""
+                schemas: Mapping[str, T.StructType] | None = None,
+                required: Mapping[str, Sequence[str]] | None = None) -> dict[str, DataFrame]:
+    """A name -> DataFrame map from a name -> path map (the table set); ``required`` columns
+    are checked by name before any data is read."""
     schemas = schemas or {}
-    return {name: load_table(spark, path, fmt, schema=schemas.get(name))
-            for name, path in paths.items()}
+    tables = {name: load_table(spark, path, fmt, schema=schemas.get(name))
+              for name, path in paths.items()}
+    for name, df in tables.items():
+        check_columns(df, name, (required or {}).get(name, ()))
+    return tables
 
 
 def result_path(out_dir: str, name: str) -> str:

@@ -17,19 +17,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crashlens.plans.tables import Incidents
-from crashlens.sources.io import spread
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def _read_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``lineitem``, the table every view is built on, spread over the cores if its scan
-    is narrower than the cluster (the test files hold one row group each)."""
-    return spread(_read(spark, sf_dir, "lineitem"))
-
-
 def _code(expr: Column, mapping: dict[int, str], default: Column | None = None) -> Column:
     """``CASE expr WHEN k THEN v ... ELSE default END`` (default NULL)."""
     out = None
@@ -60,7 +53,7 @@ PROPERTIES = {0: "NONE", 1: "No Damages to Pole", 2: "FENCE", 3: "MAILBOX"}
 
 def sample_units(spark: SparkSession, sf_dir: str, li: DataFrame | None = None,
                  part: DataFrame | None = None) -> DataFrame:
-    li = li if li is not None else _read_facts(spark, sf_dir)
+    li = li if li is not None else _read(spark, sf_dir, "lineitem")
     part = part if part is not None else _read(spark, sf_dir, "part")
     qty = F.col("l_quantity").cast("int")
     disc = F.round(F.col("l_discount") * 100).cast("int")
@@ -92,7 +85,7 @@ def sample_units(spark: SparkSession, sf_dir: str, li: DataFrame | None = None,
 
 def sample_persons(spark: SparkSession, sf_dir: str, li: DataFrame | None = None,
                    orders: DataFrame | None = None, cust: DataFrame | None = None) -> DataFrame:
-    li = li if li is not None else _read_facts(spark, sf_dir)
+    li = li if li is not None else _read(spark, sf_dir, "lineitem")
     orders = orders if orders is not None else _read(spark, sf_dir, "orders")
     cust = cust if cust is not None else _read(spark, sf_dir, "customer")
     qty = F.col("l_quantity").cast("int")
@@ -112,11 +105,13 @@ def sample_persons(spark: SparkSession, sf_dir: str, li: DataFrame | None = None
         F.when(zip50 == 0, F.lit("UNKNOWN")).when(zip50 == 1, F.lit(None).cast("string"))
          .otherwise((F.lit(78000) + zip50).cast("string")).alias("drvr_zip"),
         F.when(F.col("o_orderstatus") == "F", "Positive").otherwise("NA").alias("prsn_alc_rslt_id"),
+        (qty % 3).alias("tot_injry_cnt"),
+        F.when(qty % 3 == 0, 1).otherwise(0).alias("death_cnt"),
     ))
 
 
 def sample_charges(spark: SparkSession, sf_dir: str, li: DataFrame | None = None) -> DataFrame:
-    return (li if li is not None else _read_facts(spark, sf_dir)).select(
+    return (li if li is not None else _read(spark, sf_dir, "lineitem")).select(
         F.col("l_orderkey").alias("crash_id"),
         F.col("l_linenumber").alias("unit_nbr"),
         (F.lit(1) + F.col("l_partkey") % 2).cast("int").alias("prsn_nbr"),
@@ -126,7 +121,7 @@ def sample_charges(spark: SparkSession, sf_dir: str, li: DataFrame | None = None
 
 
 def sample_damages(spark: SparkSession, sf_dir: str, li: DataFrame | None = None) -> DataFrame:
-    return (li if li is not None else _read_facts(spark, sf_dir)).select(
+    return (li if li is not None else _read(spark, sf_dir, "lineitem")).select(
         F.col("l_orderkey").alias("crash_id"),
         _code(F.col("l_partkey") % 5, PROPERTIES).alias("damaged_property"),
     )
@@ -137,7 +132,7 @@ def sample_incidents(spark: SparkSession, sf_dir: str) -> Incidents:
 
     Each source table is read once (one footer read) and shared by the views that use it.
     """
-    li = _read_facts(spark, sf_dir)
+    li = _read(spark, sf_dir, "lineitem")
     return Incidents(units=sample_units(spark, sf_dir, li),
                      primary_person=sample_persons(spark, sf_dir, li),
                      charges=sample_charges(spark, sf_dir, li),

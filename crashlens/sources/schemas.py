@@ -32,6 +32,17 @@ VEHICLE_COLS = ("veh_lic_state_id", "vin", "veh_mod_year", "veh_make_id")
 COUNTER_COLS = ("death_cnt", "incap_injry_cnt", "non_injry_cnt", "nonincap_injry_cnt",
                 "poss_injry_cnt", "tot_injry_cnt", "unkn_injry_cnt")
 
+# Columns that the questions read, by table.
+QUESTION_COLUMNS: dict[str, tuple[str, ...]] = {
+    UNITS: (*UNIT_KEY, *VEHICLE_COLS, "veh_color_id", "veh_body_styl_id", "veh_hnr_fl", "fin_resp_type_id",
+            "veh_dmag_scl_1_id", "veh_dmag_scl_2_id", "contrib_factr_1_id", "contrib_factr_2_id",
+            "contrib_factr_p1_id", "tot_injry_cnt", "death_cnt"),
+    PERSON: (*CHARGE_KEY, "prsn_type_id", "prsn_gndr_id", "prsn_injry_sev_id", "prsn_airbag_id",
+             "prsn_ethnicity_id", "drvr_lic_cls_id", "drvr_lic_state_id", "drvr_zip", "prsn_alc_rslt_id"),
+    CHARGES: (*CHARGE_KEY, "charge"),
+    DAMAGES: ("crash_id", "damaged_property"),
+}
+
 # Columns with a numeric type; every other column stays a string.
 NUMERIC_TYPES: dict[str, T.DataType] = {
     "crash_id": T.LongType(),

@@ -44,7 +44,7 @@ def test_join_on_pairs_keeps_left_key(spark):
 def test_restrict_to_is_broadcast_semi_join(spark):
     df = spark.createDataFrame([(c, i) for i, c in enumerate("aabbbcd")], "c string, i int")
     top = top_k_count(df, "c", 2, "n")
-    out = restrict_to(df, top, "c", max_rows=2)
+    out = restrict_to(df, top, "c")
     assert sorted(r.c for r in out.collect()) == ["a", "a", "b", "b", "b"]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "LeftSemi" in plan and "BroadcastExchange" in plan and "TakeOrderedAndProject" in plan
@@ -55,13 +55,36 @@ def test_load_table_csv_header_and_types(spark, tmp_out):
     with open(path, "w") as f:
         f.write("CRASH_ID,UNIT_NBR,VEH_MOD_YEAR,DEATH_CNT,VEH_COLOR_ID\n")
         f.write("15307513,1,NA,0,BRO\n15307513,2,2007,x,98\n")
-    df = load_table(spark, path)
+    with pytest.raises(Exception, match="column death_cnt: not a int: x"):
+        load_table(spark, path).collect()
+    df = load_table(spark, path, bad_counters="null")
     assert df.columns == ["crash_id", "unit_nbr", "veh_mod_year", "death_cnt", "veh_color_id"]
     assert dict(df.dtypes) == {"crash_id": "bigint", "unit_nbr": "int", "veh_mod_year": "string",
                                "death_cnt": "int", "veh_color_id": "string"}
     assert rows(df) == [(15307513, 1, "NA", 0, "BRO"), (15307513, 2, "2007", None, "98")]
     tables = load_tables(spark, {"units": path})
     assert tables["units"].count() == 2
+    assert load_table(spark, path, bad_counters="null", spread=3).rdd.getNumPartitions() == 3
+    with pytest.raises(ValueError, match="no column vin"):
+        load_tables(spark, {"units": path}, required={"units": ("crash_id", "vin")})
+
+
+@pytest.mark.parametrize("bad", ["2x", "99999999999999999999", "1.5"])
+def test_malformed_keys_raise_and_never_merge_rows(spark, tmp_out, bad):
+    from crashlens.operators.dedup import dedup_by_key
+    path = os.path.join(tmp_out, "units.csv")
+    with open(path, "w") as f:
+        f.write(f"CRASH_ID,UNIT_NBR,VEH_MAKE_ID\n1,1,FORD\n{bad},1,HONDA\n,1,KIA\n")
+    df = load_table(spark, path)
+    with pytest.raises(Exception, match="column crash_id: not a bigint: " + bad):
+        dedup_by_key(df, ["crash_id", "unit_nbr"]).collect()
+
+
+def test_empty_keys_are_null_keys(spark, tmp_out):
+    path = os.path.join(tmp_out, "units.csv")
+    with open(path, "w") as f:
+        f.write("CRASH_ID,UNIT_NBR,VEH_MAKE_ID\n1,1,FORD\n,1,KIA\n")
+    assert rows(load_table(spark, path)) == [(1, 1, "FORD"), (None, 1, "KIA")]
 
 
 def test_write_result_empty_keeps_header_and_overwrites(spark, tmp_out):
@@ -122,13 +145,58 @@ def test_scale_conf_sizes_partitions(spark, tmp_out):
     from crashlens.session import input_bytes, scale_conf
     tb = 1024 ** 4
     conf = scale_conf(100 * tb, cores=8000)
-    assert int(conf["spark.sql.shuffle.partitions"]) == 100_000
+    assert int(conf["spark.sql.shuffle.partitions"]) == 204_800
+    assert conf["spark.sql.files.minPartitionNum"] == "8000"
     assert int(scale_conf(10 * tb, cores=1000)["spark.sql.shuffle.partitions"]) == 20_480
     assert int(scale_conf(1000, cores=8)["spark.sql.shuffle.partitions"]) == 24
     path = os.path.join(tmp_out, "f.csv")
     with open(path, "w") as f:
         f.write("a\n" * 100)
     assert input_bytes(spark, [path]) == 200
+    assert input_bytes(spark, [os.path.join(tmp_out, "*.csv")]) == 200
+
+
+def test_prefixed_names_stay_unique_and_keys_may_swap(spark):
+    left = spark.createDataFrame([(1, 2, 3)], "k int, x int, r_x int")
+    right = spark.createDataFrame([(1, 9)], "k int, x int")
+    out = join_on(left, right, ["k"], collisions="prefix")
+    assert out.columns == ["k", "x", "r_x", "r_r_x"] and rows(out) == [(1, 2, 3, 9)]
+    a = spark.createDataFrame([(1, 2, "l")], "a int, b int, v string")
+    b = spark.createDataFrame([(2, 1, "r"), (1, 2, "no")], "a int, b int, w string")
+    out = join_on(a, b, [("a", "b"), ("b", "a")])
+    assert out.columns == ["a", "b", "v", "w"] and rows(out) == [(1, 2, "l", "r")]
+
+
+def test_semi_join_rows_matches_null_keys(spark):
+    from crashlens.operators.joins import semi_join_rows
+    wide = spark.createDataFrame([(1, 1, "a"), (None, 1, "b"), (None, None, "c"), (2, None, "d")], "k int, u int, v string")
+    chosen = spark.createDataFrame([(1, 1), (None, 1), (2, None), (3, 3)], "k int, u int")
+    assert sorted(r.v for r in semi_join_rows(wide, chosen, ["k", "u"]).collect()) == ["a", "b", "d"]
+
+
+def test_profile_of_empty_tables_and_key_counts_plan(spark):
+    from crashlens.operators.profile import key_counts
+    empty = spark.createDataFrame([], "a int, b int, c int")
+    r = profile_table(empty, ["a"]).collect()[0]
+    assert (r.n_rows, r.n_distinct_rows, r.n_keys, r.n_missing) == (0, 0, 0, 0)
+    keys = [["a", "b"], ["a"], ["c"]]
+    assert rows(key_counts(empty, keys)) == [(0, 0, 0, 0)]
+    df = spark.createDataFrame([(1, 1, None), (1, 2, None), (1, 2, 3), (None, None, 3)], "a int, b int, c int")
+    counted = key_counts(df, keys)
+    assert rows(counted) == [(4, 3, 2, 2)] and counted.columns == ["n_rows", "n_keys_a_b", "n_keys_a", "n_keys_c"]
+    assert "Expand" not in counted._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sample_entities_is_the_same_for_any_partitioning(spark):
+    df = spark.range(500).selectExpr("cast(id % 50 as int) as e", "id as v", "if(id % 7 = 0, null, id % 3) as f")
+    base = rows(sample_entities(df, ["f", "e"], 7))
+    assert len(base) == 7 and base == rows(sample_entities(df.repartition(9), ["f", "e"], 7))
+
+
+def test_names_with_a_dot(spark):
+    from crashlens.operators.dedup import dedup_by_key
+    df = spark.createDataFrame([(1, 5), (1, 4)], ["a.b", "c.d"])
+    assert rows(dedup_by_key(df, ["a.b"])) == [(1, 4)]
 
 
 def test_join_on_right_column_named_like_left_key(spark):

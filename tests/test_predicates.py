@@ -42,6 +42,9 @@ def test_null_or_placeholder_on_int_column_does_not_fail(spark):
 
 def test_non_numeric(spark):
     assert _flags(spark, ["98", "TX", "NA", None, " 7 "], non_numeric) == [False, True, True, True, False]
+    numbers = ["1.5", ".5", "1.", "-7", "+3", " 12 ", "2147483647.9", "-2147483648"]
+    words = ["1e3", "99999999999", "2147483648", "+.", ".", "", "1 2", "1.2.3"]
+    assert _flags(spark, numbers + words, non_numeric) == [False] * len(numbers) + [True] * len(words)
 
 
 def test_grade_above(spark):

@@ -1,3 +1,4 @@
+import csv
 import glob
 import os
 
@@ -69,6 +70,7 @@ def test_job_end_to_end_from_csv(spark, tmp_out):
     loaded = load_tables(spark, paths)
     assert dict(loaded["units"].dtypes)["crash_id"] == "bigint"
     out = os.path.join(tmp_out, "out")
+    before = {t.name for t in spark.catalog.listTables()}
     written = run_job(spark, paths, out)
     assert sorted(written) == sorted(Q.QUESTIONS)
     q1 = spark.read.option("header", True).csv(os.path.join(out, "analysis_q1"))
@@ -76,7 +78,22 @@ def test_job_end_to_end_from_csv(spark, tmp_out):
     assert [tuple(r) for r in q1.collect()] == [("100", "3")]
     q10 = spark.read.option("header", True).csv(os.path.join(out, "analysis_q10"))
     assert sorted(tuple(r) for r in q10.collect()) == [("FORD", "2"), ("HONDA", "1")]
-    assert glob.glob(os.path.join(out, "analysis_q9", "part-*"))
+    # Sorted results read back in order, part file after part file.
+    for name, measure in (("q7", "count"), ("q9", "crash_id")):
+        values = [int(r[measure]) for part in sorted(glob.glob(os.path.join(out, f"analysis_{name}", "part-*")))
+                  for r in csv.DictReader(open(part, newline=""))]
+        assert values and values == sorted(values, reverse=True)
+    assert {t.name for t in spark.catalog.listTables()} == before
+    # Path patterns, another output format, and a missing column.
+    patterns = {name: os.path.join(src, f"{name}*.csv") for name in paths}
+    again = run_job(spark, patterns, os.path.join(tmp_out, "pq"), out_fmt="parquet")
+    assert [tuple(r) for r in spark.read.parquet(again["q1"]).collect()] == [(100, 3)]
+    with open(paths["damages"]) as f:
+        text = f.read()
+    with open(paths["damages"], "w") as f:
+        f.write(text.replace("DAMAGED_PROPERTY", "DAMAGED"))
+    with pytest.raises(ValueError, match="'damages' has no column damaged_property"):
+        run_job(spark, paths, out)
 
 
 def test_match_modes_and_options(tables):
@@ -121,6 +138,6 @@ def test_profile_job_from_csv(spark, tmp_out):
     os.makedirs(src)
     paths = {name: FX.write_csv(src, name) for name in FX.TABLES}
     written = run_profile(spark, paths, os.path.join(tmp_out, "prof"))
-    assert "units_profile" in written and "endorse_values" in written
+    assert "units_profile" in written and "endorse_values" in written and "damages_preview" in written
     prof = spark.read.option("header", True).csv(written["units_profile"]).collect()[0]
     assert (prof.n_rows, prof.n_keys) == ("9", "8")
