@@ -54,9 +54,7 @@ def main() -> None:
         counts = [len(re.findall(pat, text)) for _, pat in CHECKS]
         print(f"| {name} | " + " | ".join(str(c) for c in counts) + " |")
     print("\n## Staging dedup of Units (one shuffle, rows limited before it)\n")
-    print("The view joins lineitem and part first. The round-robin exchange under the scan is")
-    print("`spread`: the test file is a single row group; a large input arrives in many splits")
-    print("and skips it.\n")
+    print("The view joins lineitem and part first.\n")
     print("```")
     print(plan_text(dedup_by_key(sample.units, ["crash_id", "unit_nbr"])))
     print("```")
