@@ -240,8 +240,9 @@ def learn_languages(docs: DataFrame, label_col: str = "lang", text_col: str = "t
                  np.array([langs.index(label_of[i]) for i, _ in data]), langs)
 
 
-def identify_language(docs: DataFrame, network: Network | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``lang_score`` (mean probability of that language).
+def identify_language(docs: DataFrame, network: Network | None, text_col: str = "text",
+                      lang_col: str = "lang_pred", score_col: str = "lang_score") -> DataFrame:
+    """``docs`` with ``lang_col`` and ``score_col`` (mean probability of that language).
 
     Texts that are null or hold no letter get ``und`` with score 0, as does every text when
     there is no network. Columns already called so are replaced; repeated rows and null ids
@@ -262,5 +263,5 @@ def identify_language(docs: DataFrame, network: Network | None, text_col: str =
             score[known] = np.clip(probs.max(axis=1), 0.0, 1.0)
         return pd.DataFrame({"lang": lang, "score": score})
 
-    found = docs.withColumn("lang_pred", predict(F.col(text_col).cast("string")))
-    return found.withColumns({"lang_score": F.col("lang_pred.score"), "lang_pred": F.col("lang_pred.lang")})
+    found = docs.withColumn(lang_col, predict(F.col(text_col).cast("string")))
+    return found.withColumns({score_col: F.col(lang_col)["score"], lang_col: F.col(lang_col)["lang"]})

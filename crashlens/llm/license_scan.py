@@ -40,7 +40,8 @@ def paragraphs(text):
 
 def known_digests(spark: SparkSession, known: dict[str, str] = KNOWN_LICENSES) -> DataFrame:
     """``license, digest, n_paragraphs`` of the known texts (a fixed table of the library)."""
-    rows = spark.createDataFrame(sorted(known.items()), "license string, text string")
+    entries = [F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in sorted(known.items())]
+    rows = spark.range(1).select(F.explode(F.array(*entries)).alias("k")).select("k.*")
     return rows.select("license", canonical(F.col("text")).alias("t")).select(
         "license", F.md5(flat(F.col("t"))).alias("digest"), F.size(paragraphs(F.col("t"))).alias("n_paragraphs"))
 

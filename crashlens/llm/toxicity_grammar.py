@@ -304,8 +304,9 @@ def learn_grammar(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_PO
     return grammar
 
 
-def score_toxicity(docs: DataFrame, grammar: Grammar, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``tox_score`` (0 to 1) and ``tox_channels`` (array<double>, in the order
+def score_toxicity(docs: DataFrame, grammar: Grammar, text_col: str = "text", score_col: str = "tox_score",
+                   channels_col: str = "tox_channels") -> DataFrame:
+    """``docs`` with ``score_col`` (0 to 1) and ``channels_col`` (array<double>, in the order
     of ``CHANNELS``) added.
 
     Every whole text is scored; null and empty texts have no clause and get the score of no
@@ -329,6 +330,5 @@ def score_toxicity(docs: DataFrame, grammar: Grammar, text_col: str = "text") ->
             rows.append((1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z)))) if w else 0.0, c))
         return pd.DataFrame(rows, columns=["score", "channels"])
 
-    scored = docs.withColumn("tox_score", score(F.col(text_col).cast("string")))
-    return scored.withColumns({"tox_channels": F.col("tox_score.channels"),
-                               "tox_score": F.col("tox_score.score")})
+    scored = docs.withColumn(score_col, score(F.col(text_col).cast("string")))
+    return scored.withColumns({channels_col: F.col(score_col)["channels"], score_col: F.col(score_col)["score"]})
