@@ -24,14 +24,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored toxic by the clause grammar (operator 8) go. The grammar is learned
     from the labelled documents."""
     grammar = toxicity_grammar.learn_grammar(docs, read_table(spark, sf_dir, "labels"))
-    scored = toxicity_grammar.score_toxicity(docs, grammar)
-    return scored.where(F.col("tox_score") < TOXIC).select(*docs.columns)
+    scored = toxicity_grammar.score_toxicity(docs, grammar, score_col="__score", channels_col="__channels")
+    return scored.where(F.col("__score") < TOXIC).select(*docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or whose language the network (operator 1) cannot tell, go."""
-    found = language_id.identify_language(docs, language_id.learn_languages(docs))
-    return (found.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("lang_score") >= LANGUAGE_SCORE))
+    found = language_id.identify_language(docs, language_id.learn_languages(docs), lang_col="__lang", score_col="__score")
+    return (found.where((F.col("__lang") != language_id.UNDETERMINED) & (F.col("__score") >= LANGUAGE_SCORE))
             .select(*docs.columns))
 
 
