@@ -9,13 +9,30 @@ from tests.conftest import SF_SMALL
 
 @pytest.fixture(scope="module")
 def report(spark):
+    from crashlens.plans.registry import QUERIES
     from tools.oracle_check import compare
-    return compare(spark, SF_SMALL)
+    return compare(spark, SF_SMALL, sorted(QUERIES))
 
 
 def test_every_query_has_an_oracle():
     import __spark_entry__ as E
-    assert set(E.queries()) == set(E.oracle_sql())
+    from crashlens.plans.oracle_sql import ORACLE_SQL
+    from crashlens.plans.registry import QUERIES
+    assert set(QUERIES) == set(ORACLE_SQL)
+    assert set(QUERIES) <= set(E.queries()) and set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_entry_works_without_the_optional_parts(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copy(os.path.join(top, "__spark_entry__.py"), tmp_path)
+    shutil.copytree(os.path.join(top, "crashlens"), tmp_path / "crashlens",
+                    ignore=lambda d, names: {n for n in names if n in ("llm", "__pycache__")})
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as E; print(len(E.queries()), len(E.oracle_sql()))"],
+                         cwd=tmp_path, capture_output=True, text=True, check=True).stdout.split()
+    assert out[0] == out[1] and int(out[0]) >= 43
 
 
 def test_entry_smoke(spark):
