@@ -44,9 +44,10 @@ def main() -> None:
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     print("# Physical plans of the ten questions\n")
     print("Generated by `tools/plan_report.py`: questions over the staged (deduped, bucketed) tables,")
-    print("automatic broadcast off, as for tables too large to broadcast. Broadcasts left are the")
-    print("explicit ones of top-k allow-lists (k rows). Shuffles on the unit key are absent: the")
-    print("Units and Person buckets are joined in place.\n")
+    print("automatic broadcast off, as for tables too large to broadcast; nothing forces one. Shuffles of")
+    print("Units and Person on the unit key are absent: their buckets are joined in place. Q2 and Q4 shuffle")
+    print("the keys of the chosen vehicles (and Q2 the few rows with a NULL in the key); Q10 counts its")
+    print("ranking subquery.\n")
     print("| question | " + " | ".join(c for c, _ in CHECKS) + " |")
     print("|---|" + "---|" * len(CHECKS))
     for name, fn in Q.QUESTIONS.items():
