@@ -6,8 +6,6 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,21 +57,20 @@ class Staging:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = staging_path(spark, f"{name}-{uuid.uuid4().hex}")
-        self.n = 0
+        self.tables: list[tuple[DataFrame, str]] = []
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        self.n += 1
-        path = f"{self.root}/{self.n:03d}-{name}"
-        schema = df.schema
+        path = f"{self.root}/{len(self.tables):03d}-{name}"
         df.write.parquet(path)
-        return self.spark.read.schema(schema).parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((table, path))
+        return table
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a staged table that nothing reads any more (none is kept in memory)."""
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if path.startswith(self.root) or self.root.split(":", 1)[-1].lstrip("/") in path:
-                hpath = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-                hpath.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+    def drop(self, table: DataFrame) -> None:
+        """Delete the files of a table made here that nothing reads any more."""
+        place = next(p for t, p in self.tables if t is table)
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
@@ -86,5 +83,3 @@ def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:
         [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type)
          for c, f in zip(columns, schema)], schema=schema)
 
-
-Batches = Iterator[pa.RecordBatch]
