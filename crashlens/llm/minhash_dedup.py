@@ -8,7 +8,8 @@ position can be lowered by an offer of j or more, so long sets stop after a roun
 1. Documents with equal sets form a class, stood for by its smallest id.
 2. Class signatures are cut into bands; classes that share a band meet in a bucket. Buckets
    with the same members are one bucket.
-3. Each bucket's members are compared with its leader (the smallest id) on full sets, and links are closed to components.
+3. Each bucket's members are compared with its leader (the smallest id)
+   on full sets, and links are closed to components.
 4. Where a bucket still holds several components, every member outside its largest component
    is compared with all the others, in blocks of bounded size; no link is left unchecked.
 5. Components are closed again over all links.
@@ -269,6 +270,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text_col: st
              .where("n_comps > 1")
              .select("key", "total", F.col("largest.comp").alias("main"),
                      (F.col("total") - F.col("largest.c")).alias("outside")))
+    # Written first: a join straight after the aggregation would take over its partitioning and
+    # keep a large bucket in one task; between two tables a skewed key is split.
+    mixed = staging.write(mixed, "mixed")
     blocks = F.ceil(F.col("total") / BLOCK).cast("int")
     pblocks = F.ceil(F.col("outside") / BLOCK).cast("int")
     open_rows = inside.join(mixed, "key").withColumns({"mblocks": blocks, "pblocks": pblocks})
