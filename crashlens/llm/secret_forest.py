@@ -1,6 +1,8 @@
 """Secret scan (operator 10): candidates, then a random forest that removes false positives.
 
-Every run of ``MIN_LENGTH`` or more characters that keys are made of is a candidate. Its length,
+Every run of ``MIN_LENGTH`` or more characters that keys are made of is a candidate; '=' ends a run
+(only padding stays), so the name in ``KEY=value`` is text before it, and segments joined by
+single dots are one run. Its length,
 character transitions, dictionary coverage, path-like surroundings and neighbouring words
 become small whole numbers (bins). The forest is grown level by level: one grouped aggregate
 gives the label counts of all trees, nodes, features and bins, the driver picks each node's
@@ -21,7 +23,10 @@ from pyspark.sql.window import Window
 from crashlens.llm.common import Staging
 
 MIN_LENGTH = 16
-CANDIDATE = r"[A-Za-z0-9+/=_-]{%d,}" % MIN_LENGTH
+# Possessive throughout: no backtracking and no recursion on long texts. Group 1 is what the match
+# begins with, group 2 the candidate; matches with a shorter candidate are left out.
+CANDIDATE = (r"()((?=[A-Za-z0-9+/_.-]{%d})[A-Za-z0-9+/_-]++(?:\.[A-Za-z0-9+/_-]++)*+(?:=++(?![A-Za-z0-9+/_-]))?)"
+             % MIN_LENGTH)
 CONTEXT = 40
 
 # Word pieces of ordinary text, words beside secrets, words beside harmless keys.
@@ -55,18 +60,28 @@ def find_candidates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t"), path.alias("path"))
     rows = rows.where(F.col("t").rlike(CANDIDATE)).withColumn("row", F.monotonically_increasing_id())
-    rows = rows.select("doc_id", "path", "row", F.regexp_extract_all("t", F.lit(CANDIDATE), F.lit(0)).alias("c"),
+    rows = rows.select("doc_id", "path", "row", F.regexp_extract_all("t", F.lit(CANDIDATE), F.lit(0)).alias("m"),
+                       F.regexp_extract_all("t", F.lit(CANDIDATE), F.lit(1)).alias("lead"),
+                       F.regexp_extract_all("t", F.lit(CANDIDATE), F.lit(2)).alias("c"),
                        F.split("t", CANDIDATE, -1).alias("gap"))
+
+    def tail(parts: str, i):
+        """The end of an element; nothing for the one before the first."""
+        return F.coalesce(F.right(F.get(parts, i), F.lit(CONTEXT)), F.lit(""))
+
+    # The match before belongs to the context too: it may be the name that the candidate is given to.
     rows = rows.select("doc_id", "path", "row", F.posexplode(F.transform("c", lambda c, i: F.struct(
         c.alias("candidate"), F.char_length(F.get("gap", i)).alias("skip"),
-        F.right(F.get("gap", i), F.lit(CONTEXT)).alias("before"),
+        F.char_length(F.get("lead", i)).alias("into"), F.char_length(F.get("m", i)).alias("long"),
+        F.right(F.concat(tail("gap", i - 1), tail("m", i - 1), tail("gap", i), F.get("lead", i)),
+                F.lit(CONTEXT)).alias("before"),
         F.left(F.get("gap", i + 1), F.lit(CONTEXT)).alias("after")))).alias("pos", "f"))
     rows = rows.select("doc_id", "path", "row", "pos", "f.*")
     upto = Window.partitionBy("row").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select(
-        "doc_id", (F.sum(F.col("skip") + F.char_length("candidate")).over(upto)
-                   - F.char_length("candidate")).cast("long").alias("start"),
-        "candidate", "before", "after", "path")
+    rows = rows.withColumn("start", (F.sum(F.col("skip") + F.col("long")).over(upto)
+                                     - F.col("long") + F.col("into")).cast("long"))
+    return rows.where(F.char_length("candidate") >= MIN_LENGTH).select(
+        "doc_id", "start", "candidate", "before", "after", "path")
 
 
 def features(found: DataFrame) -> DataFrame:

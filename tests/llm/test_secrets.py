@@ -1,0 +1,25 @@
+"""Operator 10: the forms in which secrets stand in texts."""
+
+from pyspark.sql import functions as F
+
+from crashlens.llm import secret_forest
+
+HEX = "9c8b43d07f1ae25569b0c3d4e5f60718293a4b5c"
+JWT = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dBjftJeZ4CVP-mB92K27uhbUJU1p1r_wW1gFWFOEjXk"
+
+
+def _found(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = secret_forest.features(secret_forest.find_candidates(docs)).collect()
+    assert all(texts[r.doc_id][r.start:r.start + len(r.candidate)] == r.candidate for r in rows)
+    return {(r.doc_id, r.candidate): (r.key_word, r.assigned) for r in rows}
+
+
+def test_assignments_and_dotted_tokens(spark):
+    texts = [f"token={HEX}", "export API_KEY=sk_live_abcdef1234567890", "https://x.org/a?api_key=abcdef0123456789abcd&b=1",
+             f'token = "{JWT}"', f"AWS_SECRET_TOKEN={HEX}", "secret=QUJDREVGR0hJSktMTU5PUA==", f"the end {HEX}."]
+    found = _found(spark, texts)
+    for key in [(0, HEX), (1, "sk_live_abcdef1234567890"), (2, "abcdef0123456789abcd"), (3, JWT), (4, HEX),
+                (5, "QUJDREVGR0hJSktMTU5PUA==")]:
+        assert found[key] == (1, 1), key
+    assert found[6, HEX] == (0, 0)
