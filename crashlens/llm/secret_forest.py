@@ -35,12 +35,29 @@ DICTIONARY = ("the", "and", "ing", "tion", "that", "with", "ment", "ness", "able
               "ver", "gen", "ber", "ado", "ara", "ión", "cion", "mente", "dad", "los", "las", "test", "example",
               "name", "user", "file", "data", "type", "value", "http", "www", "com", "org", "html")
 KEY_WORDS = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "api-key", "access_key", "auth",
-             "credential", "private", "bearer")
+             "credential", "private", "bearer", "private key", "privatekey", "secretkey", "accesskey", "_key", "-key",
+             "_pass", "passphrase")
 HARMLESS_WORDS = ("commit", "sha1", "sha256", "md5", "checksum", "digest", "hash", "uuid", "revision", "example",
                   "integrity", "phone", "card")
 
+# Formats that settle a finding by itself: keys of known issuers, and what is no key.
+KEY_FORMATS = (r"^(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|glpat-[A-Za-z0-9_-]{20,}"
+               r"|[sr]k_(?:live|test)_[A-Za-z0-9]{10,}|xox[abeoprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}|npm_[A-Za-z0-9]{36}"
+               r"|hf_[A-Za-z0-9]{30,}|SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}"
+               r"|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*)$")
+HARMLESS_FORMATS = (r"^(?:[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9]{4}-[0-9]{2}-[0-9]{2}[T_-][0-9._-]*Z?"
+                    r"|[/._+-]*+(?:(?:[a-z]{2,}|[A-Z][a-z]+|[A-Z]{2,})[0-9]{0,3}[/._+-]++)++"
+                    r"(?:[a-z]{2,}|[A-Z][a-z]+|[A-Z]{2,})?[0-9]{0,3})$")
+PEM_HEAD = r"PRIVATE KEY-----\s*$"
+PEM_BODY = r"((?<=PRIVATE KEY-----)\s*+)((?s:(?:(?!\s{0,4}+-----).){%d,}+)(?=\s{0,4}+-----END))" % MIN_LENGTH
+#: What candidates are found by, each with the least length of its candidates.
+FORMS = ((CANDIDATE, MIN_LENGTH), (PEM_BODY, MIN_LENGTH))
+
 FEATURES = ("length", "transitions", "digits", "capitals", "variety", "dictionary", "vowels", "path_like", "doc_path",
             "key_word", "assigned", "quoted", "harmless_word")
+#: Flags that labels follow from. Some trees do not see them, and every positive finding is also
+#: learned without them, as it would look in plain text.
+DECIDING = ("key_word", "assigned", "quoted", "harmless_word")
 BINS = 16
 
 PER_LABEL = 4000
@@ -59,28 +76,37 @@ def find_candidates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     """
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t"), path.alias("path"))
-    rows = rows.where(F.col("t").rlike(CANDIDATE)).withColumn("row", F.monotonically_increasing_id())
-    rows = rows.select("doc_id", "path", "row", F.regexp_extract_all("t", F.lit(CANDIDATE), F.lit(0)).alias("m"),
-                       F.regexp_extract_all("t", F.lit(CANDIDATE), F.lit(1)).alias("lead"),
-                       F.regexp_extract_all("t", F.lit(CANDIDATE), F.lit(2)).alias("c"),
-                       F.split("t", CANDIDATE, -1).alias("gap"))
-
-    def tail(parts: str, i):
+    rows = rows.where(F.greatest(F.lit(0), *[F.col("t").rlike(p).cast("int") for p, _ in FORMS]) == 1)
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    # Matches of each form, and the text between them, as columns of their own: evaluated once.
+    parts = []
+    for n, (p, _) in enumerate(FORMS):
+        parts += [F.regexp_extract_all("t", F.lit(p), F.lit(g)).alias(f"{c}{n}") for g, c in enumerate(("m", "lead", "c"))]
+        parts += [F.split("t", p, -1).alias(f"gap{n}")]
+    rows = rows.select("doc_id", "path", "row", *parts)
+
+    def tail(col: str, i):
         """The end of an element; nothing for the one before the first."""
-        return F.coalesce(F.right(F.get(parts, i), F.lit(CONTEXT)), F.lit(""))
-
-    # The match before belongs to the context too: it may be the name that the candidate is given to.
-    rows = rows.select("doc_id", "path", "row", F.posexplode(F.transform("c", lambda c, i: F.struct(
-        c.alias("candidate"), F.char_length(F.get("gap", i)).alias("skip"),
-        F.char_length(F.get("lead", i)).alias("into"), F.char_length(F.get("m", i)).alias("long"),
-        F.right(F.concat(tail("gap", i - 1), tail("m", i - 1), tail("gap", i), F.get("lead", i)),
-                F.lit(CONTEXT)).alias("before"),
-        F.left(F.get("gap", i + 1), F.lit(CONTEXT)).alias("after")))).alias("pos", "f"))
-    rows = rows.select("doc_id", "path", "row", "pos", "f.*")
-    upto = Window.partitionBy("row").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("start", (F.sum(F.col("skip") + F.col("long")).over(upto)
-                                     - F.col("long") + F.col("into")).cast("long"))
-    return rows.where(F.char_length("candidate") >= MIN_LENGTH).select(
+        return F.coalesce(F.when(i >= 0, F.right(F.get(col, i), F.lit(CONTEXT))), F.lit(""))
+
+    def matches(n: int, least: int) -> Column:
+        # The match before belongs to the context too: it may be the name that the candidate is given to.
+        m, lead, gap = f"m{n}", f"lead{n}", f"gap{n}"
+        return F.transform(f"c{n}", lambda c, i: F.struct(
+            F.lit(n).alias("form"), i.alias("pos"), c.alias("candidate"), (F.char_length(c) >= least).alias("whole"),
+            F.char_length(F.get(gap, i)).alias("skip"), F.char_length(F.get(lead, i)).alias("into"),
+            F.char_length(F.get(m, i)).alias("long"),
+            F.right(F.concat(tail(gap, i - 1), tail(m, i - 1), tail(gap, i), F.get(lead, i)), F.lit(CONTEXT)).alias("before"),
+            F.left(F.get(gap, i + 1), F.lit(CONTEXT)).alias("after")))
+
+    rows = rows.select("doc_id", "path", "row", F.explode(F.concat(*[
+        matches(n, least) for n, (_, least) in enumerate(FORMS)])).alias("f")).select("doc_id", "path", "row", "f.*")
+    # One exchange serves both windows. What several forms find at one place is one candidate.
+    upto = Window.partitionBy("row", "form").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.repartition("row").withColumn("start", (
+        F.sum(F.col("skip") + F.col("long")).over(upto) - F.col("long") + F.col("into")).cast("long")).where("whole")
+    same = Window.partitionBy("row", "start", "candidate").orderBy("form")
+    return rows.withColumn("nth", F.row_number().over(same)).where("nth = 1").select(
         "doc_id", "start", "candidate", "before", "after", "path")
 
 
@@ -121,15 +147,33 @@ def features(found: DataFrame) -> DataFrame:
     })
 
 
+def is_known_key() -> Column:
+    """Whether a finding is a secret by its format alone."""
+    return F.col("candidate").rlike(KEY_FORMATS) | F.col("before").rlike(PEM_HEAD)
+
+
 def label_findings(found: DataFrame) -> DataFrame:
-    """Findings whose surroundings settle them, with ``label``: 1 if a key word is assigned the
-    candidate, 0 if it holds letters only, digits only, or stands beside a harmless word with no
-    key word. The others are not returned."""
-    f = features(found)
+    """The distinct findings that are settled: ``candidate`` (a digest), the features, ``label``.
+
+    The evidence is that of the value, not of the place: 1 if the value has the format of a known
+    issuer's key, or a key word is assigned it anywhere; 0 if it is neither and consists of
+    letters only, digits only or words, is a UUID or a date, or stands beside a harmless word, and
+    no key word is assigned it here. Positive findings are returned once more without the flags
+    in ``DECIDING``. The others are not returned.
+    """
     plain = ~F.col("candidate").rlike("[0-9]") | ~F.col("candidate").rlike("[A-Za-z]")
-    label = (F.when((F.col("key_word") == 1) & (F.col("assigned") == 1) & ~plain, 1)
-             .when((F.col("key_word") == 0) & (plain | (F.col("harmless_word") == 1)), 0))
-    return f.withColumn("label", label).where("label is not null")
+    given = (F.col("key_word") == 1) & (F.col("assigned") == 1)
+    f = features(found).select(
+        F.md5(F.col("candidate").cast("binary")).alias("candidate"), *FEATURES,
+        (is_known_key() | (given & ~plain)).alias("strong"),
+        ((plain | F.col("candidate").rlike(HARMLESS_FORMATS) | (F.col("harmless_word") == 1)) & ~given).alias("harmless"))
+    # Distinct first: a value has few different surroundings, so no value is too large for a task.
+    f = f.distinct().withColumn("strong", F.max("strong").over(Window.partitionBy("candidate")))
+    f = f.withColumn("label", F.when(F.col("strong"), 1).when(F.col("harmless"), 0)).where("label is not null")
+    f = f.withColumn("bare", F.explode(F.when(F.col("label") == 1, F.array(F.lit(False), F.lit(True)))
+                                       .otherwise(F.array(F.lit(False)))))
+    return f.select("candidate", *[F.when(F.col("bare"), 0).otherwise(F.col(c)).alias(c) if c in DECIDING else c
+                                   for c in FEATURES], "label")
 
 
 @dataclass
@@ -199,6 +243,7 @@ def train_forest(labelled: DataFrame, per_label: int = PER_LABEL, trees: int = T
         .withColumn("weight", F.pmod(F.xxhash64("h", "tree", F.lit(seed)), F.lit(3))).where("weight > 0"), "sample")
     draw = random.Random(seed)
     forest = [Node(0.5) for _ in range(trees)]
+    shape = [f for f in FEATURES if f not in DECIDING]
     open_nodes = {t: [forest[t]] for t in range(trees)}
     for _ in range(depth):
         # Which open node a row of a tree has reached; null: a closed one.
@@ -223,7 +268,7 @@ def train_forest(labelled: DataFrame, per_label: int = PER_LABEL, trees: int = T
                 pos = sum(c[1] for (f, _), c in here.items() if f == FEATURES[0])
                 if n:
                     node.share = (pos + 0.5) / (n + 1)
-                split = _best_split(here, draw.sample(FEATURES, TRIED))
+                split = _best_split(here, draw.sample(FEATURES if t % 3 else shape, TRIED))
                 if split is None:
                     continue
                 _, node.feature, node.at, (ln, lp), (rn, rp) = split
@@ -234,15 +279,16 @@ def train_forest(labelled: DataFrame, per_label: int = PER_LABEL, trees: int = T
 
 
 def score_findings(found: DataFrame, forest: list[Node]) -> DataFrame:
-    """``found`` with ``probability`` (mean leaf share) and ``is_secret`` (0.5 or more). Without
-    a forest every candidate is kept, with probability 1."""
+    """``found`` with ``probability`` (mean leaf share; 1 for a known key format) and ``is_secret``
+    (0.5 or more). Without a forest every candidate is kept, with probability 1."""
     if not forest:
         return found.withColumns({"probability": F.lit(1.0), "is_secret": F.lit(True)})
     keep = [c for c in found.columns if c not in ("probability", "is_secret")]
     total = F.lit(0.0)
     for tree in forest:
         total = total + as_condition(tree, lambda leaf: F.lit(float(leaf.share)))
-    scored = features(found.select(*keep)).withColumn("probability", F.round(total / len(forest), 6))
+    scored = features(found.select(*keep)).withColumn(
+        "probability", F.when(is_known_key(), F.lit(1.0)).otherwise(F.round(total / len(forest), 6)))
     return scored.select(*keep, "probability").withColumn("is_secret", F.col("probability") >= 0.5)
 
 
