@@ -2,7 +2,8 @@
 
 Every run of ``MIN_LENGTH`` or more characters that keys are made of is a candidate; '=' ends a run
 (only padding stays), so the name in ``KEY=value`` is text before it, and segments joined by
-single dots are one run. Its length,
+single dots are one run. What a key word is given with an assignment sign, and the password in
+``//user:password@host``, is a candidate from ``MIN_GIVEN`` characters on, whatever it is made of. Its length,
 character transitions, dictionary coverage, path-like surroundings and neighbouring words
 become small whole numbers (bins). The forest is grown level by level: one grouped aggregate
 gives the label counts of all trees, nodes, features and bins, the driver picks each node's
@@ -22,11 +23,12 @@ from pyspark.sql.window import Window
 
 from crashlens.llm.common import Staging
 
-MIN_LENGTH = 16
+MIN_LENGTH, MIN_GIVEN = 16, 6
 # Possessive throughout: no backtracking and no recursion on long texts. Group 1 is what the match
-# begins with, group 2 the candidate; matches with a shorter candidate are left out.
-CANDIDATE = (r"()((?=[A-Za-z0-9+/_.-]{%d})[A-Za-z0-9+/_-]++(?:\.[A-Za-z0-9+/_-]++)*+(?:=++(?![A-Za-z0-9+/_-]))?)"
+# begins with, group 2 the candidate; it has an unbroken run of that length (as no host name has).
+CANDIDATE = (r"()((?=[A-Za-z0-9+/=_.-]{%d})[A-Za-z0-9+/_-]++(?:\.[A-Za-z0-9+/_-]++)*+(?:=++(?![A-Za-z0-9+/_-]))?)"
              % MIN_LENGTH)
+UNBROKEN = r"[A-Za-z0-9+/=_-]{%d}" % MIN_LENGTH
 CONTEXT = 40
 
 # Word pieces of ordinary text, words beside secrets, words beside harmless keys.
@@ -40,6 +42,11 @@ KEY_WORDS = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key"
 HARMLESS_WORDS = ("commit", "sha1", "sha256", "md5", "checksum", "digest", "hash", "uuid", "revision", "example",
                   "integrity", "phone", "card")
 
+
+def alternatives(words) -> str:
+    return "(" + "|".join(sorted(words, key=lambda w: (-len(w), w))) + ")"
+
+
 # Formats that settle a finding by itself: keys of known issuers, and what is no key.
 KEY_FORMATS = (r"^(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|glpat-[A-Za-z0-9_-]{20,}"
                r"|[sr]k_(?:live|test)_[A-Za-z0-9]{10,}|xox[abeoprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}|npm_[A-Za-z0-9]{36}"
@@ -50,8 +57,15 @@ HARMLESS_FORMATS = (r"^(?:[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[
                     r"(?:[a-z]{2,}|[A-Z][a-z]+|[A-Z]{2,})?[0-9]{0,3})$")
 PEM_HEAD = r"PRIVATE KEY-----\s*$"
 PEM_BODY = r"((?<=PRIVATE KEY-----)\s*+)((?s:(?:(?!\s{0,4}+-----).){%d,}+)(?=\s{0,4}+-----END))" % MIN_LENGTH
-#: What candidates are found by, each with the least length of its candidates.
-FORMS = ((CANDIDATE, MIN_LENGTH), (PEM_BODY, MIN_LENGTH))
+# A value behind a key word (the end of a name) and a sign: in quotes, or up to a blank or separator.
+GIVEN = (r"((?<![A-Za-z0-9_-])[A-Za-z0-9_-]*?(?i:%s)[\"'`\])]{0,2}[ \t]{0,8}(?:=>|:=|=(?!=)|:(?!//))[ \t]{0,8}[\"'`]?)"
+         r"((?<=\")[^\"\r\n]{%d,}+(?=\")|(?<=')[^'\r\n]{%d,}+(?=')|(?<=`)[^`\r\n]{%d,}+(?=`)"
+         r"|(?:[^\s\"'`<>&,;]|&(?![A-Za-z0-9_.-]{1,64}=)|[,;](?!\s|$)){%d,}+)"
+         % ((alternatives(KEY_WORDS).replace("(", "(?:"),) + (MIN_GIVEN,) * 4))
+USER = r"(?:://[^\s/:@\"'`]*|^[^\s/:@\"'`]{%d}):$" % (CONTEXT - 1)
+URL_PASSWORD = r"(://[^\s/:@\"'`]*+:)([^\s/@\"'`]{%d,}+(?=@))" % MIN_GIVEN
+#: What candidates are found by, each with what its candidates must contain.
+FORMS = ((CANDIDATE, UNBROKEN), (PEM_BODY, ""), (GIVEN, ""), (URL_PASSWORD, ""))
 
 FEATURES = ("length", "transitions", "digits", "capitals", "variety", "dictionary", "vowels", "path_like", "doc_path",
             "key_word", "assigned", "quoted", "harmless_word")
@@ -64,10 +78,6 @@ PER_LABEL = 4000
 TREES, DEPTH, TRIED, LEAST_ROWS = 10, 4, 5, 4
 
 
-def alternatives(words) -> str:
-    return "(" + "|".join(sorted(words, key=lambda w: (-len(w), w))) + ")"
-
-
 def find_candidates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                     path_col: str | None = None) -> DataFrame:
     """Every candidate of every whole text: ``doc_id, start, candidate, before, after, path``.
@@ -89,18 +99,18 @@ def find_candidates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
         """The end of an element; nothing for the one before the first."""
         return F.coalesce(F.when(i >= 0, F.right(F.get(col, i), F.lit(CONTEXT))), F.lit(""))
 
-    def matches(n: int, least: int) -> Column:
+    def matches(n: int, holds: str) -> Column:
         # The match before belongs to the context too: it may be the name that the candidate is given to.
         m, lead, gap = f"m{n}", f"lead{n}", f"gap{n}"
         return F.transform(f"c{n}", lambda c, i: F.struct(
-            F.lit(n).alias("form"), i.alias("pos"), c.alias("candidate"), (F.char_length(c) >= least).alias("whole"),
+            F.lit(n).alias("form"), i.alias("pos"), c.alias("candidate"), c.rlike(holds).alias("whole"),
             F.char_length(F.get(gap, i)).alias("skip"), F.char_length(F.get(lead, i)).alias("into"),
             F.char_length(F.get(m, i)).alias("long"),
             F.right(F.concat(tail(gap, i - 1), tail(m, i - 1), tail(gap, i), F.get(lead, i)), F.lit(CONTEXT)).alias("before"),
             F.left(F.get(gap, i + 1), F.lit(CONTEXT)).alias("after")))
 
     rows = rows.select("doc_id", "path", "row", F.explode(F.concat(*[
-        matches(n, least) for n, (_, least) in enumerate(FORMS)])).alias("f")).select("doc_id", "path", "row", "f.*")
+        matches(n, holds) for n, (_, holds) in enumerate(FORMS)])).alias("f")).select("doc_id", "path", "row", "f.*")
     # One exchange serves both windows. What several forms find at one place is one candidate.
     upto = Window.partitionBy("row", "form").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.repartition("row").withColumn("start", (
@@ -140,7 +150,7 @@ def features(found: DataFrame) -> DataFrame:
         "vowels": share(left_by(low, "[aeiou]+")),
         "path_like": flag(c.contains("/")) + flag(beside.rlike(r"[/\\.@]")),
         "doc_path": flag(F.lower("path").rlike("test|example|fixture|sample|doc")),
-        "key_word": flag(before.rlike(alternatives(KEY_WORDS) + r"[^a-z0-9]{0,8}$")),
+        "key_word": flag(before.rlike(alternatives(KEY_WORDS) + r"[^a-z0-9]{0,8}$") | before.rlike(USER)),
         "assigned": flag(before.rlike(r"(=|:|:=|=>)[\s\"'`]*$")),
         "quoted": flag(before.rlike("[\"'`]$") & after.rlike("^[\"'`]")),
         "harmless_word": flag(F.concat(before, F.lit(" "), after).rlike(alternatives(HARMLESS_WORDS))),

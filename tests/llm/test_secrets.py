@@ -1,6 +1,7 @@
 """Operator 10: the forms in which secrets stand in texts."""
 
 import hashlib
+import itertools
 
 from crashlens.llm import secret_forest
 
@@ -17,12 +18,13 @@ def _found(spark, texts):
 
 def test_assignments_and_dotted_tokens(spark):
     texts = [f"token={HEX}", "export API_KEY=sk_live_abcdef1234567890", "https://x.org/a?api_key=abcdef0123456789abcd&b=1",
-             f'token = "{JWT}"', f"AWS_SECRET_TOKEN={HEX}", "secret=QUJDREVGR0hJSktMTU5PUA==", f"the end {HEX}."]
+             f'token = "{JWT}"', f"AWS_SECRET_TOKEN={HEX}", "secret=QUJDREVGR0hJSktMTU5PUA==", f"the end {HEX}.",
+             "secret=QUJDREVGR0hJSg==", "at mail.db.example.org now"]
     found = _found(spark, texts)
     for key in [(0, HEX), (1, "sk_live_abcdef1234567890"), (2, "abcdef0123456789abcd"), (3, JWT), (4, HEX),
                 (5, "QUJDREVGR0hJSktMTU5PUA==")]:
         assert found[key] == (1, 1), key
-    assert found[6, HEX] == (0, 0)
+    assert found[6, HEX] == (0, 0) and found[7, "QUJDREVGR0hJSg=="] == (1, 1) and not any(i == 8 for i, _ in found)
 
 
 def _hex(i):
@@ -43,3 +45,22 @@ def test_bare_keys(spark):
     assert {*bare, pem, _hex(5001), _hex(5002)} <= secret
     assert not any("internationalization" in c for c in secret)
     assert not secret & {_hex(i) for i in range(100, 160)}
+
+
+def test_short_values_behind_key_words(spark):
+    texts = ['password = "hunter2x9"', "pwd: 'S3cret!pass'", "see postgres://bob:pa55w0rd!x@db.example.org/t",
+             "MY_DATABASE_PASSWORD=hunter2x9!foo, next", '{"passwd": "p,w d;1 2"}', "a?pwd=abc12345&x=1 b",
+             "nothing is short12 here", "token: https://x.org/a"]
+    found = _found(spark, texts)
+    for key in [(0, "hunter2x9"), (1, "S3cret!pass"), (2, "pa55w0rd!x"), (3, "hunter2x9!foo"), (4, "p,w d;1 2"),
+                (5, "abc12345")]:
+        assert found[key] == (1, 1), key
+    assert not any(i == 6 for i, _ in found)
+    docs = spark.createDataFrame(
+        [(i, f'token = "{_hex(i)}" here') for i in range(60)] + [(i, f"fixed in commit {_hex(i)} now") for i in range(100, 160)]
+        + [(160 + i, f"the {a}_{b}_{c} of it") for i, (a, b, c) in enumerate(itertools.permutations(
+            ("LONG", "names", "without", "numbers"), 3))] + [(200 + i, t) for i, t in enumerate(texts[:6])], "doc_id long, text string")
+    clean = secret_forest.redact_secrets(docs, secret_forest.learn_secrets(docs)).where("doc_id >= 200").orderBy("doc_id")
+    assert [r.text for r in clean.collect()] == [
+        'password = "[secret]"', "pwd: '[secret]'", "see postgres://bob:[secret]@db.example.org/t",
+        "MY_DATABASE_PASSWORD=[secret], next", '{"passwd": "[secret]"}', "a?pwd=[secret]&x=1 b"]
