@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 from crashlens.llm.common import Staging
 
 MIN_LENGTH, MIN_GIVEN = 16, 6
-# Possessive throughout: no backtracking and no recursion on long texts. Group 1 is what the match
+# Possessive throughout: no backtracking and no recursion on long texts. Group 1 is what a match
 # begins with, group 2 the candidate; it has an unbroken run of that length (as no host name has).
 CANDIDATE = (r"()((?=[A-Za-z0-9+/=_.-]{%d})[A-Za-z0-9+/_-]++(?:\.[A-Za-z0-9+/_-]++)*+(?:=++(?![A-Za-z0-9+/_-]))?)"
              % MIN_LENGTH)
@@ -56,9 +56,10 @@ HARMLESS_FORMATS = (r"^(?:[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[
                     r"|[/._+-]*+(?:(?:[a-z]{2,}|[A-Z][a-z]+|[A-Z]{2,})[0-9]{0,3}[/._+-]++)++"
                     r"(?:[a-z]{2,}|[A-Z][a-z]+|[A-Z]{2,})?[0-9]{0,3})$")
 PEM_HEAD = r"PRIVATE KEY-----\s*$"
-PEM_BODY = r"((?<=PRIVATE KEY-----)\s*+)((?s:(?:(?!\s{0,4}+-----).){%d,}+)(?=\s{0,4}+-----END))" % MIN_LENGTH
+PEM_BODY = r"(PRIVATE KEY-----\s*+)((?s:(?:(?!\s{0,4}+-----).){%d,}+)(?=\s{0,4}+-----END))" % MIN_LENGTH
 # A value behind a key word (the end of a name) and a sign: in quotes, or up to a blank or separator.
-GIVEN = (r"((?<![A-Za-z0-9_-])[A-Za-z0-9_-]*?(?i:%s)[\"'`\])]{0,2}[ \t]{0,8}(?:=>|:=|=(?!=)|:(?!//))[ \t]{0,8}[\"'`]?)"
+# The sign comes first and the key word is looked for behind it: signs are rare, words are not.
+GIVEN = (r"([=:](?<=(?i:%s)[\"'`\])]{0,2}[ \t]{0,8}[=:])(?!//)[=>]?[ \t]{0,8}[\"'`]?)"
          r"((?<=\")[^\"\r\n]{%d,}+(?=\")|(?<=')[^'\r\n]{%d,}+(?=')|(?<=`)[^`\r\n]{%d,}+(?=`)"
          r"|(?:[^\s\"'`<>&,;]|&(?![A-Za-z0-9_.-]{1,64}=)|[,;](?!\s|$)){%d,}+)"
          % ((alternatives(KEY_WORDS).replace("(", "(?:"),) + (MIN_GIVEN,) * 4))
@@ -86,28 +87,33 @@ def find_candidates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     """
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t"), path.alias("path"))
-    rows = rows.where(F.greatest(F.lit(0), *[F.col("t").rlike(p).cast("int") for p, _ in FORMS]) == 1)
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
-    # Matches of each form, and the text between them, as columns of their own: evaluated once.
+    rows = rows.withColumns({f"has{n}": F.col("t").rlike(p) for n, (p, _) in enumerate(FORMS)})
+    rows = rows.where(" or ".join(f"has{n}" for n in range(len(FORMS)))).withColumn("row", F.monotonically_increasing_id())
+    # Matches of each form, and the text between them, as columns of their own: evaluated once, and
+    # only for texts that have the form. The first form's matches are its candidates.
     parts = []
     for n, (p, _) in enumerate(FORMS):
-        parts += [F.regexp_extract_all("t", F.lit(p), F.lit(g)).alias(f"{c}{n}") for g, c in enumerate(("m", "lead", "c"))]
-        parts += [F.split("t", p, -1).alias(f"gap{n}")]
+        for group, name in enumerate(("m", "lead", "c") if n else ("m",)):
+            parts += [F.when(F.col(f"has{n}"), F.regexp_extract_all("t", F.lit(p), F.lit(group))).alias(f"{name}{n}")]
+        parts += [F.when(F.col(f"has{n}"), F.split("t", p, -1)).alias(f"gap{n}")]
     rows = rows.select("doc_id", "path", "row", *parts)
 
     def tail(col: str, i):
         """The end of an element; nothing for the one before the first."""
         return F.coalesce(F.when(i >= 0, F.right(F.get(col, i), F.lit(CONTEXT))), F.lit(""))
 
+    def lead(n: int, i) -> Column:
+        return F.get(f"lead{n}", i) if n else F.lit("")
+
     def matches(n: int, holds: str) -> Column:
         # The match before belongs to the context too: it may be the name that the candidate is given to.
-        m, lead, gap = f"m{n}", f"lead{n}", f"gap{n}"
-        return F.transform(f"c{n}", lambda c, i: F.struct(
+        m, gap = f"m{n}", f"gap{n}"
+        return F.coalesce(F.transform(f"c{n}" if n else m, lambda c, i: F.struct(
             F.lit(n).alias("form"), i.alias("pos"), c.alias("candidate"), c.rlike(holds).alias("whole"),
-            F.char_length(F.get(gap, i)).alias("skip"), F.char_length(F.get(lead, i)).alias("into"),
+            F.char_length(F.get(gap, i)).alias("skip"), F.char_length(lead(n, i)).alias("into"),
             F.char_length(F.get(m, i)).alias("long"),
-            F.right(F.concat(tail(gap, i - 1), tail(m, i - 1), tail(gap, i), F.get(lead, i)), F.lit(CONTEXT)).alias("before"),
-            F.left(F.get(gap, i + 1), F.lit(CONTEXT)).alias("after")))
+            F.right(F.concat(tail(gap, i - 1), tail(m, i - 1), tail(gap, i), lead(n, i)), F.lit(CONTEXT)).alias("before"),
+            F.left(F.get(gap, i + 1), F.lit(CONTEXT)).alias("after"))), F.array())
 
     rows = rows.select("doc_id", "path", "row", F.explode(F.concat(*[
         matches(n, holds) for n, (_, holds) in enumerate(FORMS)])).alias("f")).select("doc_id", "path", "row", "f.*")
