@@ -125,9 +125,39 @@ SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(component_id, vec_id) AS comp
 FROM embeddings LEFT JOIN components ON id = vec_id LEFT JOIN degrees ON a = vec_id
 """
 
+_LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP13 = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format('text')}, '[.,;:!?\x0A-\x0D]')) AS p
+  FROM documents),
+words AS (SELECT lang, list_filter(regexp_split_to_array(p, '[ \t]+'), lambda x: x <> '') AS w FROM pieces),
+grams AS (
+  SELECT lang, k, w[i:i + k - 1] AS g
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (VALUES (1), (2), (3), (4)) v(k))),
+counts AS (SELECT lang, k, array_to_string(g, ' ') AS phrase, g, count(*) AS f FROM grams GROUP BY lang, k, g),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE k = 1 GROUP BY lang),
+frequent AS (SELECT * FROM counts WHERE f >= 30),
+cuts AS (SELECT lang, phrase, g, k, f AS a, unnest(range(1, k)) AS cut FROM frequent WHERE k > 1),
+scored AS (
+  SELECT c.lang, c.phrase, a, cut, x.f AS l, y.f AS r,
+         CAST(CAST(2000000 AS HUGEINT) * a // (CAST(x.f AS HUGEINT) + y.f) AS BIGINT) AS score
+  FROM cuts c JOIN frequent x ON x.lang = c.lang AND x.phrase = array_to_string(c.g[1:cut], ' ')
+              JOIN frequent y ON y.lang = c.lang AND y.phrase = array_to_string(c.g[cut + 1:c.k], ' ')),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_phrases AS (
+  SELECT lang, array_to_string(g[i:i + m - 1], ' ') AS phrase, max(f) AS longer
+  FROM (SELECT lang, g, f, m, unnest(range(1, k - m + 2)) AS i FROM frequent, (VALUES (2), (3)) v(m) WHERE m < k) GROUP BY 1, 2),
+kept AS (SELECT s.* FROM lowest s LEFT JOIN inner_phrases i ON i.lang = s.lang AND i.phrase = s.phrase
+         WHERE longer IS NULL OR CAST(100 AS HUGEINT) * longer < CAST(80 AS HUGEINT) * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_license_digests": OP2,
     "op3_minhash_dedup": OP3,
     "op7_quality_ledger": OP7,
     "op9_projection_collisions": OP9,
+    "op13_phrase_collocations": OP13,
 }
