@@ -11,9 +11,9 @@
 
 The proposal reaches the tasks as a bit filter of bounded size (``MAX_BITS``). A filter may let
 through phrases that are not proposed; they are counted like the others and dropped if they are
-rare, so its size changes the work and never the result. Within a task words are numbers and
-phrases pairs of numbers, so that nothing is counted by a hash; rows for the shuffle are sums
-over about a million words.
+rare, so its size changes the work and never the result. Nothing is counted by a hash: within a
+task words are numbers and phrases pairs of numbers, or, in the further passes, which count few
+phrases, the phrases themselves. Rows for the shuffle are sums over about a million words.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ from crashlens.llm.words import Numbers, byte_map, numbered, raw_texts, slices
 LONGEST = 4                       # words in a phrase
 SAMPLE, LOWERED = 8, 2            # one document in 8; the support within the sample
 CHUNK = 1_000_000                 # words counted at a time
+BLOCK_BYTES = 1 << 20             # text hashed at a time
 VOCABULARY = 500_000              # words numbered at a time
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 30
 BITS_PER_PHRASE = 32
@@ -59,6 +60,37 @@ class Filter:
         return out
 
 
+_RADIX, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """The powers of the radix and of its inverse modulo 2 ** 64, for ``n`` places at least."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(n, 2 * BLOCK_BYTES)
+        _POWERS[:] = [np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)]).cumprod() for x in (_RADIX, _INVERSE)]
+    return _POWERS
+
+
+def hashed_words(buf: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash (the bytes as digits of a number modulo 2 ** 64, then mixed), start, end and piece
+    of every word of a translated text, without a Python object for each."""
+    a = np.frombuffer(buf, np.uint8)
+    word = np.zeros(len(a) + 2, bool)
+    word[1:-1] = (a != 0x20) & (a != 0x0A)
+    edge = np.diff(word.view(np.int8))
+    start, end = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
+    power, inverse = _powers(len(a) + 1)
+    sums = np.zeros(len(a) + 1, np.uint64)
+    np.cumsum((a.astype(np.uint64) + np.uint64(1)) * power[:len(a)], out=sums[1:])
+    h = mix((sums[end] - sums[start]) * inverse[start])
+    return h, start, end, np.searchsorted(np.nonzero(a == 0x0A)[0], start)
+
+
+def language_seed(lang: str) -> int:
+    return xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass"))
+
+
 class Counter:
     """Counts the phrases of a stream of words, in blocks of ``CHUNK`` words."""
 
@@ -69,7 +101,7 @@ class Counter:
     def clear(self):
         self.by_lang: dict[str, Numbers] = {}
         self.base: list[tuple[str, bytes]] = [("", b"")]  # number -> language and word
-        self.hashes = [0]
+        self.hashes = np.zeros(1, np.uint64)
 
     def read(self, lang: str, raw: bytes) -> Iterator[np.ndarray]:
         """The words of a text as numbers; 0 ends a piece, and the text."""
@@ -80,10 +112,17 @@ class Counter:
             yield numbered(s.replace(b"\n", b" \xff ").split(), numbers)
         yield np.zeros(1, np.int64)
 
+    def all_hashes(self) -> np.ndarray:
+        fresh = self.base[len(self.hashes):]
+        if fresh:
+            h = hashed_words(b" ".join([word for _, word in fresh]))[0]
+            seeds = {x: language_seed(x) for x in self.by_lang}
+            self.hashes = np.concatenate([self.hashes, h ^ np.array([seeds[x] for x, _ in fresh], np.uint64)])
+        return self.hashes
+
     def count(self, w: np.ndarray, stop: int) -> Iterator[tuple]:
         """``(k, word numbers (n, k), hashes, counts)`` of the phrases that begin before ``stop``."""
-        h_of = np.array(self.hashes, np.uint64)
-        size = len(h_of)
+        h_of, size = self.all_hashes(), len(self.base)
         if self.first:
             c = np.bincount(w[:stop], minlength=size)
             c[0] = 0
@@ -115,9 +154,10 @@ class Counter:
             inside = self.new(hk)
             flag = np.zeros(len(w), bool)
             flag[at[inside]] = True
-            if was is not None:
+            if was is not None:  # as the earlier pass saw it: its parts and itself in the old filter
+                before = at[inside & was[at] & was[at + 1] & self.old(hk)]
                 was = np.zeros(len(w), bool)
-                was[at[inside & self.old(hk)]] = True
+                was[before] = True
             ident, h = np.zeros(len(w), np.int64), np.zeros(len(w), np.uint64)
             ident[at], h[at], parts = inverse, hk, words
 
@@ -127,20 +167,70 @@ class _Words(Numbers):
 
     def __init__(self, counter: Counter, lang: str):
         super().__init__()
-        self.counter, self.lang, self.seed = counter, lang, xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass"))
+        self.counter, self.lang = counter, lang
         self[_END] = 0
 
     def __missing__(self, word: bytes) -> int:
         n = self[word] = len(self.counter.base)
         self.counter.base.append((self.lang, word))
-        self.counter.hashes.append(xxhash.xxh3_64_intdigest(word, self.seed))
         return n
 
 
-def count_phrases(docs: DataFrame, new, old, first: bool) -> DataFrame:
+def blocks(langs: list[str], raws: list[bytes]) -> Iterator[tuple[bytes, list[tuple[int, str]], bool]]:
+    """Translated texts joined to blocks: the bytes, where each text begins and its language,
+    and whether the last text goes on in the next block, which then begins with the last
+    ``LONGEST - 1`` words again."""
+    held, places, size = [], [], 0
+    for lang, raw in zip(langs, raws):
+        raw = raw.translate(_BYTES) + b"\n"
+        if size and size + len(raw) > BLOCK_BYTES:
+            yield b"".join(held), places, False
+            held, places, size = [], [], 0
+        if len(raw) > BLOCK_BYTES:
+            tail = b""
+            *most, last = slices(raw, BLOCK_BYTES)
+            for s in most:
+                s = tail + s
+                yield s, [(0, lang)], True
+                start = hashed_words(s)[1]
+                tail = s[start[max(0, len(start) - LONGEST + 1)]:] if len(start) else b""
+            raw = tail + last
+        held.append(raw)
+        places.append((size, lang))
+        size += len(raw)
+    if held:
+        yield b"".join(held), places, False
+
+
+def few_phrases(buf: bytes, places: list[tuple[int, str]], open_end: bool, new: Filter, old: Filter) -> Iterator[tuple]:
+    """``(lang, k, phrase, hash)`` of every occurrence that ``new`` admits and ``old`` did not."""
+    h, start, end, piece = hashed_words(buf)
+    firsts = np.array([p for p, _ in places])
+    text_of = np.searchsorted(firsts, start, "right") - 1
+    seeds = {lang: language_seed(lang) for _, lang in places}
+    h = h ^ np.array([seeds[lang] for _, lang in places], np.uint64)[text_of]
+    stop = len(h) - (LONGEST - 1) * open_end
+    words, flag = h, new(h)
+    was = flag & old(h)
+    for k in range(2, LONGEST + 1):
+        at = np.nonzero(flag[:-1] & flag[1:])[0]
+        at = at[at < len(words) - k + 1]
+        at = at[piece[at] == piece[at + k - 1]]
+        hk = mix(h[at] * _GOLD + words[at + k - 1])
+        mine = (at < stop) & ~(was[at] & was[at + 1])
+        for i, x in zip(at[mine].tolist(), hk[mine].view(np.int64).tolist()):
+            yield places[text_of[i]][1], k, b" ".join(buf[start[i]:end[i + k - 1]].split()), x
+        inside = new(hk)
+        before = at[inside & was[at] & was[at + 1] & old(hk)]
+        flag, was, h = np.zeros(len(words), bool), np.zeros(len(words), bool), np.zeros(len(words), np.uint64)
+        flag[at[inside]], was[before], h[at] = True, True, hk
+
+
+def count_phrases(docs: DataFrame, new, old, first: bool, few: bool) -> DataFrame:
     """Exact counts ``lang, k, phrase, h, c`` of one pass over ``docs(lang, text)``: the phrases
     that the filter ``new`` admits and ``old`` did not, and, if ``first``, all words, and a row
-    of length 0 with each language's number of words. Both filters are broadcast variables."""
+    of length 0 with each language's number of words. Both filters are broadcast variables.
+    ``few`` reads without numbering every word, which is faster where few phrases are counted."""
     schema = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.string()), ("h", pa.int64()), ("c", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +274,25 @@ def count_phrases(docs: DataFrame, new, old, first: bool) -> DataFrame:
             w = np.concatenate(held)
             yield from rows(w, len(w))
 
-    parts = docs.select("lang", "text").mapInArrow(run, "lang string, k int, phrase string, h long, c long")
+    def run_few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filters = Filter(new.value), Filter(old.value)
+        found: dict[tuple, int] = {}
+
+        def rows() -> pa.RecordBatch:
+            langs, ks, phrases, h = zip(*found)
+            return batch_of(schema, [list(langs), list(ks), pa.array(phrases, pa.binary()).cast(pa.string()), list(h), list(found.values())])
+
+        for b in batches:
+            for block in blocks(b.column("lang").to_pylist(), raw_texts(b)):
+                for key in few_phrases(*block, *filters):
+                    found[key] = found.get(key, 0) + 1
+                if len(found) > VOCABULARY:
+                    yield rows()
+                    found.clear()
+        if found:
+            yield rows()
+
+    parts = docs.select("lang", "text").mapInArrow(run_few if few else run, "lang string, k int, phrase string, h long, c long")
     return parts.groupBy("lang", "k", "phrase").agg(F.min("h").alias("h"), F.sum("c").alias("c"))
 
 
@@ -206,11 +314,12 @@ def bits_for(n: int) -> int:
     return int(min(MAX_BITS, max(MIN_BITS, 1 << (max(1, n) * BITS_PER_PHRASE - 1).bit_length())))
 
 
-def frequent_phrases(docs: DataFrame, support: int, proposed: DataFrame | None, staging: Staging) -> DataFrame:
+def frequent_phrases(docs: DataFrame, support: int, proposed: DataFrame | None, staging: Staging,
+                     few: bool = True) -> DataFrame:
     """Every phrase with the support, exactly counted, and the rows of length 0.
 
     ``proposed(h, k)`` may be any set; None proposes nothing, which is a plain search level by
-    level.
+    level. ``few`` tells that expansion passes count few phrases.
     """
     sc = docs.sparkSession.sparkContext
     short = f"k between 1 and {LONGEST - 1}"
@@ -218,7 +327,7 @@ def frequent_phrases(docs: DataFrame, support: int, proposed: DataFrame | None,
     old, found = None, None
     while True:
         sent = [sc.broadcast(x) if x is not None else None for x in (new, old)]
-        counted = staging.write(count_phrases(docs, *sent, first=found is None)
+        counted = staging.write(count_phrases(docs, *sent, first=found is None, few=few and old is not None)
                                 .where(F.expr(f"k = 0 or c >= {int(support)}")), "phrases")
         found = counted if found is None else found.union(counted)
         for x in sent:
@@ -245,7 +354,7 @@ def mine_phrases(docs: DataFrame, support: int = 30, sample: int = SAMPLE, lower
     staging = staging or Staging(docs.sparkSession, "collocations")
     drawn = staging.write(docs.where(F.pmod(F.xxhash64("row_key", "text"), F.lit(sample)) == 0)
                           .select("lang", "text"), "sample")
-    proposal = staging.write(frequent_phrases(drawn, lowered, None, staging).where("k > 0").select("k", "h"), "proposal")
+    proposal = staging.write(frequent_phrases(drawn, lowered, None, staging, few=False).where("k > 0").select("k", "h"), "proposal")
     return frequent_phrases(docs.select("lang", "text"), support, proposal, staging)
 
 
