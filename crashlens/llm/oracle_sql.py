@@ -127,6 +127,31 @@ FROM embeddings LEFT JOIN components ON id = vec_id LEFT JOIN degrees ON a = vec
 
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+def _plain_words(text: str) -> str:
+    lowered = _LOWER.format(text)
+    return rf"list_filter(regexp_split_to_array({lowered}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+
+OP12 = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_plain_words('text')} AS w FROM documents),
+items AS (SELECT item_id, {_plain_words('text')} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS x
+  FROM (SELECT item_id, w, least(10, len(w)) AS m, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i
+        FROM items WHERE len(w) > 0)),
+places AS (
+  SELECT r, i, m, array_to_string(w[i:i + m - 1], ' ') AS x
+  FROM (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM docs, (SELECT DISTINCT m FROM windows) WHERE len(w) >= m)),
+found AS (SELECT r, i, m, item_id FROM places JOIN windows USING (m, x)),
+hits AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + m)) AS p FROM (SELECT DISTINCT r, i, m FROM found)) GROUP BY r),
+listed AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM found WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (r) LEFT JOIN listed USING (r)
+"""
+
 OP13 = rf"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format('text')}, '[.,;:!?\x0A-\x0D]')) AS p
@@ -159,5 +184,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_minhash_dedup": OP3,
     "op7_quality_ledger": OP7,
     "op9_projection_collisions": OP9,
+    "op12_suffix_decontamination": OP12,
     "op13_phrase_collocations": OP13,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from crashlens.llm import (collocations, embedding_dedup, language_id, license_scan, minhash_dedup, quality_ledger, secret_forest,
+from crashlens.llm import (collocations, decontamination, embedding_dedup, language_id, license_scan, minhash_dedup, quality_ledger, secret_forest,
                            token_matrix, toxicity_grammar, unigram_pieces, window_packing)
 from crashlens.llm.common import read_table
 from crashlens.llm.oracle_sql import ORACLE_SQL  # noqa: F401
@@ -94,6 +94,11 @@ def op10_secret_forest(spark, sf_dir):
     return secret_forest.scan_secrets(docs, forest, path_col="source")
 
 
+def op12_suffix_decontamination(spark, sf_dir):
+    """Every document against every window of ten words of the benchmark."""
+    return decontamination.contamination_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op13_phrase_collocations(spark, sf_dir):
     """The first 2,000 collocations of each language of all documents."""
     return collocations.mine_collocations(read_table(spark, sf_dir, "documents"), support=30, top=2000)
@@ -110,5 +115,6 @@ QUERIES = {
     "op8_toxicity_grammar": op8_toxicity_grammar,
     "op9_projection_collisions": op9_projection_collisions,
     "op10_secret_forest": op10_secret_forest,
+    "op12_suffix_decontamination": op12_suffix_decontamination,
     "op13_phrase_collocations": op13_phrase_collocations,
 }
