@@ -127,6 +127,39 @@ FROM embeddings LEFT JOIN components ON id = vec_id LEFT JOIN degrees ON a = vec
 
 _LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: crc32 of a decimal number's digits (polynomial 0xEDB88320), which DuckDB lacks.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda s: ascii(s)::BIGINT)),
+  lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+
+OP11 = f"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+           md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, {_CRC32.format('conv_id')} % 6 AS h FROM (SELECT DISTINCT conv_id FROM turns)),
+rebuilt AS (
+  SELECT c.conv_id, place, 0 AS part, role, text FROM convs c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % 100 AND place < h
+  UNION ALL SELECT c.conv_id, place, 1, role, text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND place >= h),
+lists AS (SELECT conv_id, list({{'r': role, 't': text}} ORDER BY part, place) AS l FROM rebuilt GROUP BY conv_id),
+whole AS (SELECT conv_id, coalesce(l, []) AS l FROM convs LEFT JOIN lists USING (conv_id)),
+steps AS (SELECT conv_id, d AS depth, l[1:d] AS k, l[d].t AS last, len(l) = d AS ends
+          FROM (SELECT conv_id, l, unnest(range(0, len(l) + 1)) AS d FROM whole)),
+nodes AS (SELECT depth, k, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(length(any_value(last)), 0) AS chars,
+                 sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+          FROM steps GROUP BY depth, k),
+family AS (SELECT n.*, p.conv_id AS parent_conv_id FROM nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.k = n.k[1:n.depth - 1]),
+children AS (SELECT depth - 1 AS depth, parent_conv_id AS conv_id, count(*) AS n_children FROM family WHERE depth > 0 GROUP BY 1, 2),
+sums AS (
+  SELECT up.depth, up.conv_id, count(*) FILTER (n_children IS NULL) AS n_leaves, sum((below.n_convs - 1) * below.chars) AS saved
+  FROM (SELECT n.*, c.n_children FROM nodes n LEFT JOIN children c USING (depth, conv_id)) below
+  JOIN nodes up ON up.depth <= below.depth AND up.k = below.k[1:up.depth] GROUP BY 1, 2)
+SELECT f.conv_id, f.depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, ends_sha256
+FROM family f JOIN sums USING (depth, conv_id) LEFT JOIN children USING (depth, conv_id)
+"""
+
+
 def _plain_words(text: str) -> str:
     lowered = _LOWER.format(text)
     return rf"list_filter(regexp_split_to_array({lowered}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
@@ -184,6 +217,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_minhash_dedup": OP3,
     "op7_quality_ledger": OP7,
     "op9_projection_collisions": OP9,
+    "op11_conversation_trie": OP11,
     "op12_suffix_decontamination": OP12,
     "op13_phrase_collocations": OP13,
 }

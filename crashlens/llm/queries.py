@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from crashlens.llm import (collocations, decontamination, embedding_dedup, language_id, license_scan, minhash_dedup, quality_ledger, secret_forest,
-                           token_matrix, toxicity_grammar, unigram_pieces, window_packing)
+from crashlens.llm import (collocations, conversation_trie, decontamination, embedding_dedup, language_id,
+                           license_scan, minhash_dedup, quality_ledger, secret_forest, token_matrix,
+                           toxicity_grammar, unigram_pieces, window_packing)
 from crashlens.llm.common import read_table
 from crashlens.llm.oracle_sql import ORACLE_SQL  # noqa: F401
 
@@ -94,6 +95,11 @@ def op10_secret_forest(spark, sf_dir):
     return secret_forest.scan_secrets(docs, forest, path_col="source")
 
 
+def op11_conversation_trie(spark, sf_dir):
+    """The prefix trie of all conversations, rebuilt with shared openings."""
+    return conversation_trie.prefix_trie(read_table(spark, sf_dir, "conversations"), shared_every=100, shared_most=6)
+
+
 def op12_suffix_decontamination(spark, sf_dir):
     """Every document against every window of ten words of the benchmark."""
     return decontamination.contamination_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
@@ -115,6 +121,7 @@ QUERIES = {
     "op8_toxicity_grammar": op8_toxicity_grammar,
     "op9_projection_collisions": op9_projection_collisions,
     "op10_secret_forest": op10_secret_forest,
+    "op11_conversation_trie": op11_conversation_trie,
     "op12_suffix_decontamination": op12_suffix_decontamination,
     "op13_phrase_collocations": op13_phrase_collocations,
 }
