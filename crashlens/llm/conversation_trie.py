@@ -271,8 +271,7 @@ def prefix_trie(conversations: DataFrame, shared_every: int | None = None, share
         F.min(F.col("k1").bitwiseXOR(F.col("x1"))).alias("p1"), F.min(F.col("k2").bitwiseXOR(F.col("x2"))).alias("p2")), "prefixes")
     parents = prefixes.select((F.col("depth") + 1).alias("depth"), F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("conv_id").alias("parent_conv_id"))
     columns = [*NODE, "conv_id", "n_convs", "chars", "parent_conv_id"]
-    above = everyone.select(F.lit(1).cast("long").alias("depth"), F.col("conv_id").alias("parent_conv_id"))  # one row
-    top = prefixes.where("depth = 1").join(F.broadcast(above), "depth").select(*columns)
+    top = prefixes.where("depth = 1").withColumn("parent_conv_id", everyone.select("conv_id").scalar()).select(*columns)
     nodes = (prefixes.where("depth > 1").join(parents, ["depth", "p1", "p2"]).select(*columns).union(top).union(root.select(*columns)))
     nodes = next_siblings(ranged(nodes, staging, "nodes", "depth", "parent_conv_id", "conv_id"))
     families = (nodes.where("depth > 0").groupBy((F.col("depth") - 1).alias("depth"), F.col("parent_conv_id").alias("conv_id"))
