@@ -18,7 +18,7 @@ phrases, the phrases themselves. Rows for the shuffle are sums over about a mill
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,8 @@ LONGEST = 4                       # words in a phrase
 SAMPLE, LOWERED = 8, 2            # one document in 8; the support within the sample
 CHUNK = 1_000_000                 # words counted at a time
 BLOCK_BYTES = 1 << 20             # text hashed at a time
-VOCABULARY = 500_000              # words numbered at a time
+VOCABULARY = 200_000              # words numbered at a time
+ROWS = 20_000                     # rows handed to Spark at a time
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 30
 BITS_PER_PHRASE = 32
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -103,6 +104,18 @@ class Counter:
         self.base: list[tuple[str, bytes]] = [("", b"")]  # number -> language and word
         self.hashes = np.zeros(1, np.uint64)
 
+    def renumber(self, w: np.ndarray) -> np.ndarray:
+        """Forget all words but those of ``w``, and give these new numbers."""
+        base = self.base
+        self.clear()
+        left = []
+        for i in w.tolist():
+            lang, word = base[i]
+            if i and lang not in self.by_lang:
+                self.by_lang[lang] = _Words(self, lang)
+            left.append(self.by_lang[lang][word] if i else 0)
+        return np.array(left, np.int64)
+
     def read(self, lang: str, raw: bytes) -> Iterator[np.ndarray]:
         """The words of a text as numbers; 0 ends a piece, and the text."""
         numbers = self.by_lang.get(lang)
@@ -121,7 +134,8 @@ class Counter:
         return self.hashes
 
     def count(self, w: np.ndarray, stop: int) -> Iterator[tuple]:
-        """``(k, word numbers (n, k), hashes, counts)`` of the phrases that begin before ``stop``."""
+        """``(k, word numbers (n, k), hashes, counts)`` of the phrases that begin before ``stop``;
+        the hashes are for tests."""
         h_of, size = self.all_hashes(), len(self.base)
         if self.first:
             c = np.bincount(w[:stop], minlength=size)
@@ -203,7 +217,7 @@ def blocks(langs: list[str], raws: list[bytes]) -> Iterator[tuple[bytes, list[tu
 
 
 def few_phrases(buf: bytes, places: list[tuple[int, str]], open_end: bool, new: Filter, old: Filter) -> Iterator[tuple]:
-    """``(lang, k, phrase, hash)`` of every occurrence that ``new`` admits and ``old`` did not."""
+    """Language and phrase of every occurrence that ``new`` admits and ``old`` did not."""
     h, start, end, piece = hashed_words(buf)
     firsts = np.array([p for p, _ in places])
     text_of = np.searchsorted(firsts, start, "right") - 1
@@ -218,20 +232,24 @@ def few_phrases(buf: bytes, places: list[tuple[int, str]], open_end: bool, new:
         at = at[piece[at] == piece[at + k - 1]]
         hk = mix(h[at] * _GOLD + words[at + k - 1])
         mine = (at < stop) & ~(was[at] & was[at + 1])
-        for i, x in zip(at[mine].tolist(), hk[mine].view(np.int64).tolist()):
-            yield places[text_of[i]][1], k, b" ".join(buf[start[i]:end[i + k - 1]].split()), x
+        for i in at[mine].tolist():
+            yield places[text_of[i]][1], b" ".join(buf[start[i]:end[i + k - 1]].split())
         inside = new(hk)
         before = at[inside & was[at] & was[at + 1] & old(hk)]
         flag, was, h = np.zeros(len(words), bool), np.zeros(len(words), bool), np.zeros(len(words), np.uint64)
         flag[at[inside]], was[before], h[at] = True, True, hk
 
 
-def count_phrases(docs: DataFrame, new, old, first: bool, few: bool) -> DataFrame:
+def count_phrases(docs: DataFrame, new, old, first: bool, few: bool, support: int) -> DataFrame:
     """Exact counts ``lang, k, phrase, h, c`` of one pass over ``docs(lang, text)``: the phrases
-    that the filter ``new`` admits and ``old`` did not, and, if ``first``, all words, and a row
-    of length 0 with each language's number of words. Both filters are broadcast variables.
-    ``few`` reads without numbering every word, which is faster where few phrases are counted."""
-    schema = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.string()), ("h", pa.int64()), ("c", pa.int64())])
+    with the support that the filter ``new`` admits and ``old`` did not, and, if ``first``, all
+    words, and a row of length 0 with each language's number of words. Both filters are broadcast
+    variables. ``few`` reads without numbering every word, which is faster where few phrases are
+    counted. Only the language and phrase, as one text, and the count are shuffled."""
+    schema = pa.schema([("key", pa.string()), ("c", pa.int64())])
+
+    def batch(keys: list[bytes], c) -> pa.RecordBatch:
+        return batch_of(schema, [pa.array(keys, pa.binary()).cast(pa.string()), c])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(*(Filter(x.value) if x is not None else None for x in (new, old)), first)
@@ -239,17 +257,17 @@ def count_phrases(docs: DataFrame, new, old, first: bool, few: bool) -> DataFram
         n = 0
 
         def rows(w: np.ndarray, stop: int) -> Iterator[pa.RecordBatch]:
-            base = counter.base
-            for k, numbers, h, c in counter.count(w, stop):
-                langs = [base[i][0] for i in numbers[:, 0].tolist()]
-                phrases = [b" ".join([base[i][1] for i in row]) for row in numbers.tolist()]
-                yield batch_of(schema, [langs, np.full(len(c), k, np.int32), pa.array(phrases, pa.binary()).cast(pa.string()),
-                                        h.view(np.int64), c])
-                if k == 1:
-                    total: dict[str, int] = {}
-                    for lang, x in zip(langs, c.tolist()):
-                        total[lang] = total.get(lang, 0) + x
-                    yield batch_of(schema, [list(total), [0] * len(total), [""] * len(total), [0] * len(total), list(total.values())])
+            base, total = counter.base, {}
+            heads = {lang: _head(lang) for lang in counter.by_lang}
+            for k, numbers, _, c in counter.count(w, stop):
+                for i in range(0, len(c), ROWS):
+                    part, count = numbers[i:i + ROWS].tolist(), c[i:i + ROWS]
+                    yield batch([heads[base[row[0]][0]] + b" ".join([base[x][1] for x in row]) for row in part], count)
+                    if k == 1:
+                        for row, x in zip(part, count.tolist()):
+                            total[base[row[0]][0]] = total.get(base[row[0]][0], 0) + x
+            if total:
+                yield batch([heads[lang] for lang in total], list(total.values()))
 
         for b in batches:
             for lang, raw in zip(b.column("lang").to_pylist(), raw_texts(b)):
@@ -260,15 +278,8 @@ def count_phrases(docs: DataFrame, new, old, first: bool, few: bool) -> DataFram
                         w = np.concatenate(held)
                         yield from rows(w[:CHUNK + LONGEST - 1], CHUNK)
                         w = w[CHUNK:]
-                        if len(counter.base) > VOCABULARY:  # number what is left anew
-                            base = counter.base
-                            counter.clear()
-                            left = []
-                            for i in w.tolist():
-                                lang_, word = base[i]
-                                numbers = counter.by_lang.setdefault(lang_, _Words(counter, lang_)) if i else None
-                                left.append(numbers[word] if i else 0)
-                            w = np.array(left, np.int64)
+                        if len(counter.base) > VOCABULARY:
+                            w = counter.renumber(w)
                         held, n = [w], len(w)
         if n:
             w = np.concatenate(held)
@@ -278,22 +289,45 @@ def count_phrases(docs: DataFrame, new, old, first: bool, few: bool) -> DataFram
         filters = Filter(new.value), Filter(old.value)
         found: dict[tuple, int] = {}
 
-        def rows() -> pa.RecordBatch:
-            langs, ks, phrases, h = zip(*found)
-            return batch_of(schema, [list(langs), list(ks), pa.array(phrases, pa.binary()).cast(pa.string()), list(h), list(found.values())])
+        def rows() -> Iterator[pa.RecordBatch]:
+            yield batch([_head(lang) + phrase for lang, phrase in found], list(found.values()))
+            found.clear()
 
         for b in batches:
             for block in blocks(b.column("lang").to_pylist(), raw_texts(b)):
                 for key in few_phrases(*block, *filters):
                     found[key] = found.get(key, 0) + 1
-                if len(found) > VOCABULARY:
-                    yield rows()
-                    found.clear()
+                if len(found) > ROWS:
+                    yield from rows()
         if found:
-            yield rows()
+            yield from rows()
+
+    out_schema = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.string()), ("h", pa.int64()), ("c", pa.int64())])
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            langs, phrases = zip(*(x.rsplit("\t", 1) for x in b.column("key").to_pylist())) if b.num_rows else ((), ())
+            yield batch_of(out_schema, [list(langs), [len(x.split(" ")) if x else 0 for x in phrases], list(phrases),
+                                        phrase_hashes(langs, phrases), b.column("c")])
+
+    counted = docs.select("lang", "text").mapInArrow(run_few if few else run, "key string, c long")
+    counted = counted.groupBy("key").agg(F.sum("c").alias("c")).where((F.col("c") >= support) | F.col("key").endswith("\t"))
+    return counted.mapInArrow(parts, "lang string, k int, phrase string, h long, c long")
+
+
+def _head(lang: str) -> bytes:
+    return lang.encode("utf-8", "surrogatepass") + b"\t"  # no word holds a tab
+
 
-    parts = docs.select("lang", "text").mapInArrow(run_few if few else run, "lang string, k int, phrase string, h long, c long")
-    return parts.groupBy("lang", "k", "phrase").agg(F.min("h").alias("h"), F.sum("c").alias("c"))
+def phrase_hashes(langs: Sequence[str], phrases: Sequence[str]) -> np.ndarray:
+    """The hashes that the filters hold, of phrases given as texts."""
+    seeds = {x: language_seed(x) for x in set(langs)}
+    out = np.zeros(len(phrases), np.uint64)
+    for i, (lang, phrase) in enumerate(zip(langs, phrases)):
+        h = hashed_words(phrase.encode("utf-8", "surrogatepass"))[0] ^ np.uint64(seeds[lang])
+        for j in range(len(h)):
+            out[i:i + 1] = h[:1] if j == 0 else mix(out[i:i + 1] * _GOLD + h[j:j + 1])
+    return out.view(np.int64)
 
 
 def filter_bits(phrases: DataFrame, n_bits: int) -> np.ndarray:
@@ -327,8 +361,8 @@ def frequent_phrases(docs: DataFrame, support: int, proposed: DataFrame | None,
     old, found = None, None
     while True:
         sent = [sc.broadcast(x) if x is not None else None for x in (new, old)]
-        counted = staging.write(count_phrases(docs, *sent, first=found is None, few=few and old is not None)
-                                .where(F.expr(f"k = 0 or c >= {int(support)}")), "phrases")
+        counted = staging.write(count_phrases(docs, *sent, first=found is None, few=few and old is not None,
+                                              support=support), "phrases")
         found = counted if found is None else found.union(counted)
         for x in sent:
             if x is not None:
