@@ -6,7 +6,7 @@ from crashlens.operators.groups import (conditional_count, count_distinct_by, gr
 from crashlens.operators.joins import join_on, restrict_to
 from crashlens.operators.profile import (key_counts, largest_keys, missing_counts, profile_table,
                                          sample_entities, schema_rows, value_counts)
-from crashlens.operators.ranking import rank_band, top_k, top_k_count, top_per_group
+from crashlens.operators.ranking import deep_rank_band, global_ranks, rank_band, top_k, top_k_count, top_per_group
 
 __all__ = [
     "count_entities", "dedup_by_key", "distinct_entities",
@@ -15,5 +15,5 @@ __all__ = [
     "join_on", "restrict_to",
     "key_counts", "largest_keys", "missing_counts", "profile_table", "sample_entities", "schema_rows",
     "value_counts",
-    "rank_band", "top_k", "top_k_count", "top_per_group",
+    "deep_rank_band", "global_ranks", "rank_band", "top_k", "top_k_count", "top_per_group",
 ]

@@ -368,6 +368,20 @@ FROM lineitem GROUP BY l_returnflag""",
 SELECT p_brand, count(*) AS n_lines FROM lp
 GROUP BY p_brand ORDER BY n_lines DESC, p_brand ASC LIMIT 3 OFFSET 2""",
 
+    "deep_rank_band": """
+SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem
+ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 1000 OFFSET 5000""",
+
+    "csv_good_records": """
+SELECT o_orderstatus AS status, o_orderpriority AS priority, count(*) AS n,
+       CAST(sum(o_orderkey) AS BIGINT) AS sum_keys, CAST(sum(o_custkey) AS BIGINT) AS sum_units
+FROM orders WHERE o_custkey % 2 = 0 OR o_orderkey % 5 <> 0 GROUP BY 1, 2""",
+
+    "csv_rejected_records": """
+SELECT 'wrong number of fields or an open quote' AS reason,
+       o_orderpriority || ',torn,' || o_orderstatus || ',' || o_custkey || ',' || o_orderkey AS text
+FROM orders WHERE o_custkey % 2 = 1 AND o_orderkey % 5 = 0""",
+
     "top_per_group": """
 SELECT c_mktsegment, o_orderpriority, count(*) AS n_orders
 FROM orders JOIN customer ON o_custkey = c_custkey

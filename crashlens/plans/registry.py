@@ -7,6 +7,7 @@ Each runs over the whole tables; the SQL twin of each key is in
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +21,10 @@ from crashlens.operators.groups import (conditional_count, count_distinct_by, gr
 from crashlens.operators.joins import join_on, restrict_to
 from crashlens.operators.profile import (key_counts, largest_keys, missing_counts, profile_table,
                                          sample_entities, value_counts)
-from crashlens.operators.ranking import rank_band, top_k, top_per_group
+from crashlens.operators.ranking import deep_rank_band, rank_band, top_k, top_per_group
 from crashlens.plans import questions as Q
+from crashlens.session import staging_path
+from crashlens.sources.io import load_checked
 from crashlens.sources.sample_views import sample_incidents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,6 +119,41 @@ def q_rank_band(spark, sf_dir):
     return rank_band(_brand_lines(spark, sf_dir), "n_lines", 3, 5, "p_brand")
 
 
+def q_deep_rank_band(spark, sf_dir):
+    """The middle of all lines by price, by ranks over ranges."""
+    lines = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return deep_rank_band(lines, "l_extendedprice", 5_001, 6_000, ["l_orderkey", "l_linenumber"])
+
+
+def _orders_as_csv(spark: SparkSession, sf_dir: str) -> str:
+    """The orders as a folder of CSV files of two column orders, by Spark's own writer. In the
+    second kind, priorities of every fifth order hold an unquoted separator, so that the record
+    has a field too many."""
+    o = _t(spark, sf_dir, "orders")
+    folder = staging_path(spark, uuid.uuid4().hex)
+    cols = [F.col("o_orderkey").alias("CRASH_ID"), F.col("o_custkey").alias("UNIT_NBR"), F.col("o_orderstatus").alias("STATUS")]
+    plain = o.where(F.col("o_custkey") % 2 == 0).select(*cols, F.col("o_orderpriority").alias("PRIORITY"))
+    priority = F.when(F.col("o_orderkey") % 5 == 0, F.concat("o_orderpriority", F.lit(",torn"))).otherwise(F.col("o_orderpriority"))
+    torn = o.where(F.col("o_custkey") % 2 == 1).select(
+        F.concat_ws(",", priority, "o_orderstatus", "o_custkey", "o_orderkey").alias("PRIORITY,STATUS,UNIT_NBR,CRASH_ID"))
+    plain.write.option("header", "true").csv(f"{folder}/csv")
+    # Whole lines as one column whose name is the header; no value holds this separator.
+    torn.write.option("header", "true").option("sep", "\x01").mode("append").csv(f"{folder}/csv")
+    return f"{folder}/csv"
+
+
+def q_csv_good_records(spark, sf_dir):
+    """Orders that come back from such files, aligned by name."""
+    good = load_checked(spark, _orders_as_csv(spark, sf_dir)).good
+    return good.groupBy("status", "priority").agg(F.count(F.lit(1)).alias("n"), F.sum("crash_id").alias("sum_keys"),
+                                                  F.sum("unit_nbr").cast("long").alias("sum_units"))
+
+
+def q_csv_rejected_records(spark, sf_dir):
+    """Records of such files that do not fit their header."""
+    return load_checked(spark, _orders_as_csv(spark, sf_dir)).rejected.select("reason", "text")
+
+
 def q_top_per_group(spark, sf_dir):
     per_customer = group_count(_t(spark, sf_dir, "orders"), ["o_custkey", "o_orderpriority"], "n_orders")
     counted = group_sum(_with_customer(per_customer, spark, sf_dir), ["c_mktsegment", "o_orderpriority"],
@@ -242,6 +280,9 @@ OPERATOR_QUERIES: dict[str, Query] = {
     "top_k_distinct": q_top_k_distinct,
     "group_sum": q_group_sum,
     "rank_band": q_rank_band,
+    "deep_rank_band": q_deep_rank_band,
+    "csv_good_records": q_csv_good_records,
+    "csv_rejected_records": q_csv_rejected_records,
     "top_per_group": q_top_per_group,
     "restrict_to_top": q_restrict_to_top,
     "icontains_any": q_icontains_any,

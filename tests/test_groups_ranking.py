@@ -59,3 +59,21 @@ def test_top_per_group_ties(spark):
 def test_group_count(spark):
     df = spark.createDataFrame([("a",), ("a",), (None,)], "g string")
     assert rows(group_count(df, "g")) == [("a", 2), (None, 1)]
+
+
+def test_deep_rank_band_equals_brute_force_and_merges_nothing_in_one_task(spark):
+    from crashlens.operators.ranking import deep_rank_band, global_ranks
+    df = spark.range(5000).selectExpr("id", "if(id % 11 = 0, null, id * 7919 % 300) as n").repartition(6)
+    want = sorted(((r.id, r.n) for r in df.collect()), key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    for first, last in ((1, 3), (2400, 2600), (4990, 6000), (1, 5000), (5001, 5002)):
+        got = [(r.id, r.n) for r in deep_rank_band(df, "n", first, last, "id").collect()]
+        assert got == want[first - 1:last], (first, last)
+    ranks = {r.id: r["rank"] for r in global_ranks(df, "n", "id").collect()}
+    assert ranks == {i: k + 1 for k, (i, _) in enumerate(want)}
+    assert deep_rank_band(df.limit(0), "n", 1, 5, "id").collect() == []
+    band = deep_rank_band(df, "n", 2400, 2600, "id")
+    plan = band._jdf.queryExecution().executedPlan().toString()
+    assert "GlobalLimit" not in plan and "TakeOrderedAndProject" not in plan
+    # The only single-task step counts ranges: one row each.
+    single = [x for x in plan.split("\n") if "SinglePartition" in x]
+    assert len(single) <= 1
