@@ -322,11 +322,15 @@ def _head(lang: str) -> bytes:
 def phrase_hashes(langs: Sequence[str], phrases: Sequence[str]) -> np.ndarray:
     """The hashes that the filters hold, of phrases given as texts."""
     seeds = {x: language_seed(x) for x in set(langs)}
+    h, _, _, owner = hashed_words("\n".join(phrases).encode("utf-8", "surrogatepass"))
+    h = h ^ np.array([seeds[x] for x in langs], np.uint64)[owner]
+    words = np.bincount(owner, minlength=len(phrases))
+    first = np.cumsum(words) - words
     out = np.zeros(len(phrases), np.uint64)
-    for i, (lang, phrase) in enumerate(zip(langs, phrases)):
-        h = hashed_words(phrase.encode("utf-8", "surrogatepass"))[0] ^ np.uint64(seeds[lang])
-        for j in range(len(h)):
-            out[i:i + 1] = h[:1] if j == 0 else mix(out[i:i + 1] * _GOLD + h[j:j + 1])
+    out[words > 0] = h[first[words > 0]]
+    for j in range(1, LONGEST):
+        more = words > j
+        out[more] = mix(out[more] * _GOLD + h[first[more] + j])
     return out.view(np.int64)
 
 
