@@ -16,5 +16,5 @@ def test_spark_equals_duckdb(spark):
 
 def test_one_query_per_operator():
     import __spark_entry__ as E
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert {*QUERIES, "pipeline"} <= set(E.queries())
