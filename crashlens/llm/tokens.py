@@ -31,21 +31,24 @@ class BpeEncoder:
         import tiktoken
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {t["content"] for t in spec.get("added_tokens") or () if t.get("special")}
+        special = {t["content"]: t["id"] for t in spec.get("added_tokens") or () if t.get("special")}
         to_byte = byte_stand_ins()
         ranks = {bytes(to_byte[c] for c in token): i
                  for token, i in spec["model"]["vocab"].items() if token not in special}
+        self.special = special
         self.size = max(spec["model"]["vocab"].values()) + 1
         self.sentence_end = np.zeros(self.size, bool)
         for token, i in ranks.items():
             self.sentence_end[i] = token[-1:] in (b".", b"!", b"?") or b"\n" in token
-        self.encode_text = tiktoken.Encoding(path, pat_str=PRETOKENS, mergeable_ranks=ranks,
-                                             special_tokens={}).encode_ordinary
-
-    def encode(self, text: str, end_id: int | None = None) -> np.ndarray:
-        """The ids of a whole text, with ``end_id`` after them if given. Strings of special
-        tokens are ordinary text."""
-        ids = self.encode_text(text)
+        encoding = tiktoken.Encoding(path, pat_str=PRETOKENS, mergeable_ranks=ranks, special_tokens=special)
+        self.encode_plain = encoding.encode_ordinary
+        self.encode_special = lambda text: encoding.encode(text, allowed_special="all")
+
+    def encode(self, text: str, end_id: int | None = None, special: bool = True) -> np.ndarray:
+        """The ids of a whole text, with ``end_id`` after them if given. A special token's string
+        in the text becomes that token, as with the ``tokenizers`` library's defaults; with
+        ``special=False`` it is ordinary text."""
+        ids = self.encode_special(text) if special and any(t in text for t in self.special) else self.encode_plain(text)
         if end_id is not None:
             ids.append(end_id)
         return np.array(ids, "<u4")

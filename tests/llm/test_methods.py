@@ -102,10 +102,12 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
 def test_bpe_ids_equal_the_tokenizers_library(spark):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(BPE)
-    tok.encode_special_tokens = True
-    texts = [*_texts(spark).values(), "", " a  b\n\n c ", "<|endoftext|> it's", "😀 ñ\x1c　x"]
+    texts = [*_texts(spark).values(), "", " a  b\n\n c ", "<|endoftext|> it's", "😀 ñ\x1c　x", "a <|endoftext|> b",
+             "<|endoftext|><|endoftext|>", "x<|endoftext|>  \n y <|endoftext", "a\n\n<|endoftext|>"]
     enc = tokens.encoder(BPE)
     assert [enc.encode(t).tolist() for t in texts] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    tok.encode_special_tokens = True
+    assert [enc.encode(t, special=False).tolist() for t in texts] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_window_packing_invariants(spark):
