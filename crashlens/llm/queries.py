@@ -90,9 +90,7 @@ def op9_projection_collisions(spark, sf_dir):
 
 def op10_secret_forest(spark, sf_dir):
     """Every candidate of every document, judged by the forest."""
-    docs = read_table(spark, sf_dir, "documents")
-    forest = secret_forest.learn_secrets(docs, path_col="source")
-    return secret_forest.scan_secrets(docs, forest, path_col="source")
+    return secret_forest.find_and_judge(read_table(spark, sf_dir, "documents"), path_col="source")
 
 
 def op11_conversation_trie(spark, sf_dir):

@@ -55,6 +55,9 @@ KEY_FORMATS = (r"^(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|github
 HARMLESS_FORMATS = (r"^(?:[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9]{4}-[0-9]{2}-[0-9]{2}[T_-][0-9._-]*Z?"
                     r"|[/._+-]*+(?:(?:[a-z]{2,}|[A-Z][a-z]+|[A-Z]{2,})[0-9]{0,3}[/._+-]++)++"
                     r"(?:[a-z]{2,}|[A-Z][a-z]+|[A-Z]{2,})?[0-9]{0,3})$")
+#: Call and index expressions, variables and placeholders: code that names a secret, not one.
+CODE = (r"^(?:[$%]?[A-Za-z_][A-Za-z0-9_]*(?:(?:\.|->|::)[A-Za-z_][A-Za-z0-9_]*)*[(\[].*|\$[{(]?[A-Za-z_].*|\{\{?.*\}|<.*>|%[a-z(].*"
+        r"|[A-Za-z_]+\|?[A-Za-z_]*[)\]}>;:,]*)$")
 PEM_HEAD = r"PRIVATE KEY-----\s*$"
 PEM_BODY = r"(PRIVATE KEY-----\s*+)((?s:(?:(?!\s{0,4}+-----).){%d,}+)(?=\s{0,4}+-----END))" % MIN_LENGTH
 # A value behind a key word (the end of a name) and a sign: in quotes, or up to a blank or separator.
@@ -168,21 +171,27 @@ def is_known_key() -> Column:
     return F.col("candidate").rlike(KEY_FORMATS) | F.col("before").rlike(PEM_HEAD)
 
 
+def is_ordinary() -> Column:
+    """Whether a finding is no secret by its form alone: letters only, digits only, words, a UUID,
+    a date, or an expression of code; unless its format is that of a known key."""
+    c = F.col("candidate")
+    return ~is_known_key() & (~c.rlike("[0-9]") | ~c.rlike("[A-Za-z]") | c.rlike(HARMLESS_FORMATS) | c.rlike(CODE))
+
+
 def label_findings(found: DataFrame) -> DataFrame:
     """The distinct findings that are settled: ``candidate`` (a digest), the features, ``label``.
 
     The evidence is that of the value, not of the place: 1 if the value has the format of a known
-    issuer's key, or a key word is assigned it anywhere; 0 if it is neither and consists of
-    letters only, digits only or words, is a UUID or a date, or stands beside a harmless word, and
-    no key word is assigned it here. Positive findings are returned once more without the flags
-    in ``DECIDING``. The others are not returned.
+    issuer's key, or a key word is assigned it anywhere and it is nothing ordinary; 0 if it is
+    ordinary (letters or digits only, words, a UUID, a date, code), whatever it is assigned to, or
+    stands beside a harmless word and no key word is assigned it. Positive findings are returned
+    once more without the flags in ``DECIDING``. The others are not returned.
     """
-    plain = ~F.col("candidate").rlike("[0-9]") | ~F.col("candidate").rlike("[A-Za-z]")
     given = (F.col("key_word") == 1) & (F.col("assigned") == 1)
     f = features(found).select(
         F.md5(F.col("candidate").cast("binary")).alias("candidate"), *FEATURES,
-        (is_known_key() | (given & ~plain)).alias("strong"),
-        ((plain | F.col("candidate").rlike(HARMLESS_FORMATS) | (F.col("harmless_word") == 1)) & ~given).alias("harmless"))
+        (is_known_key() | (given & ~is_ordinary())).alias("strong"),
+        (is_ordinary() | ((F.col("harmless_word") == 1) & ~given)).alias("harmless"))
     # Distinct first: a value has few different surroundings, so no value is too large for a task.
     f = f.distinct().withColumn("strong", F.max("strong").over(Window.partitionBy("candidate")))
     f = f.withColumn("label", F.when(F.col("strong"), 1).when(F.col("harmless"), 0)).where("label is not null")
@@ -295,16 +304,19 @@ def train_forest(labelled: DataFrame, per_label: int = PER_LABEL, trees: int = T
 
 
 def score_findings(found: DataFrame, forest: list[Node]) -> DataFrame:
-    """``found`` with ``probability`` (mean leaf share; 1 for a known key format) and ``is_secret``
-    (0.5 or more). Without a forest every candidate is kept, with probability 1."""
-    if not forest:
-        return found.withColumns({"probability": F.lit(1.0), "is_secret": F.lit(True)})
+    """``found`` with ``probability`` (mean leaf share; 1 for a known key format, 0 for ordinary
+    values) and ``is_secret`` (0.5 or more). Without a forest only settled findings count: known
+    formats, and values that are nothing ordinary and that a key word is assigned."""
     keep = [c for c in found.columns if c not in ("probability", "is_secret")]
-    total = F.lit(0.0)
-    for tree in forest:
-        total = total + as_condition(tree, lambda leaf: F.lit(float(leaf.share)))
+    if forest:
+        total = F.lit(0.0)
+        for tree in forest:
+            total = total + as_condition(tree, lambda leaf: F.lit(float(leaf.share)))
+        judged = F.round(total / len(forest), 6)
+    else:
+        judged = F.when((F.col("key_word") == 1) & (F.col("assigned") == 1), 1.0).otherwise(0.0)
     scored = features(found.select(*keep)).withColumn(
-        "probability", F.when(is_known_key(), F.lit(1.0)).otherwise(F.round(total / len(forest), 6)))
+        "probability", F.when(is_known_key(), F.lit(1.0)).when(is_ordinary(), F.lit(0.0)).otherwise(judged))
     return scored.select(*keep, "probability").withColumn("is_secret", F.col("probability") >= 0.5)
 
 
@@ -322,21 +334,53 @@ def scan_secrets(docs: DataFrame, forest: list[Node], text_col: str = "text", id
     return score_findings(find_candidates(docs, text_col, id_col, path_col), forest)
 
 
-def redact_secrets(docs: DataFrame, forest: list[Node], text_col: str = "text", path_col: str | None = None,
-                   mark: str = "[secret]") -> DataFrame:
-    """``docs`` with every secret in ``text_col`` replaced by ``mark``; all rows stay.
+def find_and_judge(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", path_col: str | None = None,
+                   per_label: int = PER_LABEL) -> DataFrame:
+    """:func:`scan_secrets` with a forest learned from the same documents. The texts are read
+    once: candidates are written, learned from and judged."""
+    found = Staging(docs.sparkSession, "candidates").write(find_candidates(docs, text_col, id_col, path_col), "candidates")
+    return score_findings(found, train_forest(label_findings(found), per_label))
 
-    Secrets are gathered by the text's digest (copies of a text have the same), so a text's
-    list is bounded by the text itself, and joined back to the rows.
+
+def redact_secrets(docs: DataFrame, forest: list[Node] | None = None, text_col: str = "text", path_col: str | None = None,
+                   mark: str = "[secret]") -> DataFrame:
+    """``docs`` with every secret in ``text_col`` replaced by ``mark``; all rows stay, and texts
+    without a secret stay as they are, byte for byte.
+
+    A secret is replaced where it was found; overlapping findings become one mark. Other places of
+    the same value in the text are replaced only if it has ``MIN_LENGTH`` characters or more and is
+    nothing ordinary. Without ``forest`` one is learned from the same documents
+    (:func:`find_and_judge`); an empty one leaves the settled findings. Secrets are gathered by
+    the text's digest (copies of a text have the same), so a text's list is bounded by the text
+    itself, and joined back to the rows.
     """
     key = "__text_key"
     keyed = docs.withColumn(key, F.sha2(F.col(text_col).cast("binary"), 256))
     columns = [F.col(key).alias("k"), F.col(text_col).alias("t")] + ([F.col(path_col).alias("p")] if path_col else [])
-    found = scan_secrets(keyed.select(*columns), forest, "t", "k", "p" if path_col else None)
+    args = (keyed.select(*columns), "t", "k", "p" if path_col else None)
+    judged = find_and_judge(*args) if forest is None else scan_secrets(args[0], forest, *args[1:])
+    found = judged.where("is_secret").select("doc_id", F.col("start").cast("int").alias("start"), "candidate",
+                                             (F.col("start") + F.char_length("candidate")).cast("int").alias("end")).distinct()
+    # Findings that overlap: one stretch.
+    order = Window.partitionBy("doc_id").orderBy("start", "end")
+    far = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    apart = found.withColumn("new", F.coalesce(F.col("start") >= far, F.lit(True)).cast("int"))
+    apart = apart.withColumn("part", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = (apart.groupBy("doc_id", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+             .groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__spans")))
+    again = F.when((F.char_length("candidate") >= MIN_LENGTH) & (F.col("candidate").rlike("[0-9]")) & (F.col("candidate").rlike("[A-Za-z]")),
+                   F.struct(F.char_length("candidate").alias("n"), "candidate"))
     # Longest first: a secret inside a longer one must not break it up.
-    lists = (found.where("is_secret").select("doc_id", "candidate").distinct().groupBy("doc_id")
-             .agg(F.reverse(F.array_sort(F.collect_list(F.struct(F.char_length("candidate").alias("n"), "candidate"))))
-                  .alias("__secrets")).withColumnRenamed("doc_id", key))
-    text = F.aggregate(F.coalesce("__secrets.candidate", F.array().cast("array<string>")),
-                       F.col(text_col).cast("string"), lambda t, s: F.replace(t, s, F.lit(mark)))
-    return keyed.join(lists, key, "left").withColumn(text_col, text).drop(key, "__secrets")
+    values = found.groupBy("doc_id").agg(F.reverse(F.array_sort(F.collect_set(again))).alias("__values"))
+    lists = spans.join(values, "doc_id").withColumnRenamed("doc_id", key)
+    whole = F.col(text_col).cast("string")
+
+    def before(i):
+        """Where the text between the spans before ``i`` and ``i`` begins."""
+        return F.when(i == 0, 0).otherwise(F.get(F.col("__spans"), i - 1)["end"])
+
+    parts = F.transform("__spans", lambda s, i: F.concat(F.substring(whole, before(i) + 1, s["start"] - before(i)), F.lit(mark)))
+    rest = F.substring(whole, F.get(F.col("__spans"), F.size("__spans") - 1)["end"] + 1, F.char_length(whole))
+    text = F.aggregate(F.col("__values.candidate"), F.concat(F.array_join(parts, ""), rest), lambda t, s: F.replace(t, s, F.lit(mark)))
+    return (keyed.join(lists, key, "left").withColumn(text_col, F.when(F.col("__spans").isNotNull(), text).otherwise(whole))
+            .drop(key, "__spans", "__values"))
