@@ -45,8 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets found by the forest (operator 10) are replaced; every document stays."""
-    forest = secret_forest.learn_secrets(docs, path_col="source")
-    clean = secret_forest.redact_secrets(docs, forest, path_col="source")
+    clean = secret_forest.redact_secrets(docs, path_col="source")
     return clean.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.coalesce(
         F.char_length("text"), F.lit(0))).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
