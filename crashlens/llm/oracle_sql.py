@@ -6,7 +6,6 @@ tests hold them against brute force, round trips or held-out accuracy.
 
 from __future__ import annotations
 
-from crashlens.llm.license_scan import COPYRIGHT_LINE, SPELLINGS
 from crashlens.llm.license_texts import KNOWN_LICENSES
 
 
@@ -14,10 +13,26 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+# Written down apart from the operator's own patterns: a line is taken to pieces by its first words.
+_HOLDER = (r"(?:portions[ \t]+)?copyright[ \t,:]*\(c\)|(?:portions[ \t]+)?copyright[ \t,:]*©"
+           r"|(?:portions[ \t]+)?copyright[ \t,:]*by[ \t]|(?:portions[ \t]+)?copyright[ \t,:]*[12]\d\d\d"
+           r"|(?:portions[ \t]+)?copyright[ \t,:]*[<\[{]?year|(?:portions[ \t]+)?copyright[ \t,:]*[<\[{]?yyyy"
+           r"|©|\(c\)[ \t]*copyright|\(c\)[ \t]*[12]\d\d\d")
+_ALIKE = {"licence": "license", "sub-license": "sublicense", "merchantibility": "merchantability",
+          "https://": "http://", "noninfringement": "non-infringement", "whilst": "while", "favour": "favor",
+          "organisation": "organization", "’": "'"}
+
+
 def _canonical(text: str) -> str:
-    out = rf"regexp_replace({text}, '\r\n?', chr(10), 'g')"
-    out = f"regexp_replace(lower({out}), {_quoted(COPYRIGHT_LINE)}, '', 'g')"
-    for a, b in SPELLINGS:
+    """Lines as a list; a line goes if it names a holder, or reserves all rights below one that does."""
+    lines = rf"string_split(lower(regexp_replace({text}, '\r\n?', chr(10), 'g')), chr(10))"
+    holder = rf"regexp_matches({{}}, '^[^\p{{{{L}}}}\p{{{{N}}}}©(]*(?:{_HOLDER.replace('{', '{{').replace('}', '}}')})')"
+    below = r"regexp_full_match(z[1], '[^\p{L}\p{N}]*all rights reserved[^\p{L}\p{N}]*')"
+    kept = (f"list_filter(list_zip({lines}, list_concat([''], {lines})), lambda z: z[1] IS NOT NULL AND NOT "
+            f"{holder.format('z[1]')} AND NOT ({below} AND {holder.format('z[2]')}))")
+    out = (rf"array_to_string(list_transform({kept}, lambda z: regexp_replace(z[1], "
+           rf"'^[^\p{{L}}\p{{N}}]*(?:\d\d?[.)]|\([a-z0-9]\))[ \t]+', '')), chr(10))")
+    for a, b in _ALIKE.items():
         out = f"replace({out}, {_quoted(a)}, {_quoted(b)})"
     return rf"regexp_replace({out}, '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')"
 
