@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crashlens.llm import language_id, minhash_dedup, secret_forest, toxicity_grammar, window_packing
+from crashlens.llm import (language_id, language_reject, minhash_dedup, secret_forest, toxicity_grammar,
+                           window_packing)
 from crashlens.llm.common import Staging, read_table
 from crashlens.llm.queries import tokenizer_path
 
@@ -29,18 +30,31 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose language the network (operator 1) cannot tell, go."""
+    """Documents without a letter, whose language the network (operator 1) cannot tell, or whose
+    letter pairs are those of no labelled language (junk, languages not learned), go."""
     found = language_id.identify_language(docs, language_id.learn_languages(docs), lang_col="__lang", score_col="__score")
+    known = language_reject.learn_letter_pairs(docs)
     return (found.where((F.col("__lang") != language_id.UNDETERMINED) & (F.col("__score") >= LANGUAGE_SCORE))
+            .where(language_reject.in_learned_language(F.col("text"), known))
             .select(*docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group (operator 3; five-word shingles, similarity 0.8) the document
-    with the smallest id stays."""
-    groups = minhash_dedup.near_duplicates(docs, k=5, percent=80)
-    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti").select(*docs.columns)
+    """Of each near-duplicate group (operator 3; five-word shingles, similarity 0.8) the row with
+    the smallest id stays (null ids last; of several rows of that id the one with the smallest
+    text digest).
+
+    Rows are numbered first and grouped by that number, since an id may recur: two equal rows
+    are copies, and a unique text is not lost to another text under its id.
+    """
+    staging = Staging(spark, "numbered")
+    rows = staging.write(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    groups = minhash_dedup.near_duplicates(rows, k=5, percent=80, id_col="__row")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.md5("text"), "__row"))
+    keys = rows.select("__row", "doc_id", "text").join(
+        groups.select(F.col("doc_id").alias("row"), "component_id"), F.col("__row") == F.col("row"))
+    kept = keys.groupBy("component_id").agg(first.alias("first")).select(F.col("first.__row").alias("kept_row"))
+    return rows.join(kept, rows["__row"] == kept["kept_row"], "left_semi").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
