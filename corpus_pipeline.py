@@ -50,8 +50,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     staging = Staging(spark, "numbered")
     rows = staging.write(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
     groups = minhash_dedup.near_duplicates(rows, k=5, percent=80, id_col="__row")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.md5("text"), "__row"))
-    keys = rows.select("__row", "doc_id", "text").join(
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest", "__row"))
+    keys = rows.select("__row", "doc_id", F.md5("text").alias("digest")).join(
         groups.select(F.col("doc_id").alias("row"), "component_id"), F.col("__row") == F.col("row"))
     kept = keys.groupBy("component_id").agg(first.alias("first")).select(F.col("first.__row").alias("kept_row"))
     return rows.join(kept, rows["__row"] == kept["kept_row"], "left_semi").select(*docs.columns)
