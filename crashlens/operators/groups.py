@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 
 def _keys(keys: str | Sequence[str]) -> list[str]:
@@ -32,6 +33,27 @@ def count_distinct_by(df: DataFrame, keys: str | Sequence[str], col: str, name:
     return df.groupBy(*_keys(keys)).agg(F.count_distinct(F.col(col)).alias(name))
 
 
+def count_distinct_ids(df: DataFrame, keys: str | Sequence[str], col: str, name: str) -> DataFrame:
+    """Exact number of distinct non-NULL ``col`` values per group, for a whole-number column.
+
+    Ids are marked in bitmaps of 32,768 neighbouring ids. A map task sends one bitmap (4 KB) per
+    group and range of ids it met, in place of one row per (group, id), and a large group is
+    spread over its ranges, so no task holds all its ids. Made for few groups with ids that lie
+    close together; where a task meets under about 200 ids per group and range (scattered ids,
+    many small groups), :func:`count_distinct_by` moves less. Negative ids count like others; a
+    group of NULL ids counts 0.
+    """
+    kind = df.schema[col].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"{col} is {kind.simpleString()}: bitmaps need a whole-number column")
+    bucket, bitmap = "__crashlens_bucket", "__crashlens_bitmap"
+    value = F.col(col).cast("long")
+    marked = (df.select(*_keys(keys), F.bitmap_bucket_number(value).alias(bucket),
+                        F.bitmap_bit_position(value).alias(bitmap))
+              .groupBy(*_keys(keys), bucket).agg(F.bitmap_construct_agg(bitmap).alias(bitmap)))
+    return marked.groupBy(*_keys(keys)).agg(F.sum(F.bitmap_count(bitmap)).alias(name))
+
+
 def conditional_count(df: DataFrame, keys: str | Sequence[str], cond: Column, name: str) -> DataFrame:
     """Rows per group for which ``cond`` is true (NULL counts as not true)."""
     return df.groupBy(*_keys(keys)).agg(F.count_if(cond).alias(name))

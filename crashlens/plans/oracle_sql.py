@@ -360,6 +360,10 @@ SELECT n_name, count(DISTINCT o_custkey) AS n_customers
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
 GROUP BY n_name ORDER BY n_customers DESC, n_name ASC LIMIT 5""",
 
+    "count_distinct_ids": """
+SELECT l_returnflag, l_linestatus, count(DISTINCT l_orderkey) AS n_orders
+FROM lineitem GROUP BY l_returnflag, l_linestatus""",
+
     "group_sum": """
 SELECT l_returnflag, CAST(sum(CAST(l_quantity AS BIGINT) + l_linenumber) AS BIGINT) AS total
 FROM lineitem GROUP BY l_returnflag""",

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from crashlens.functions.predicates import (grade_above, icontains, icontains_any, ieq,
                                             non_numeric, not_placeholder)
 from crashlens.operators.dedup import count_entities, dedup_by_key, distinct_entities
-from crashlens.operators.groups import (conditional_count, count_distinct_by, group_count,
+from crashlens.operators.groups import (conditional_count, count_distinct_by, count_distinct_ids, group_count,
                                         group_sum, groups_with_more_than, groups_without)
 from crashlens.operators.joins import join_on, restrict_to
 from crashlens.operators.profile import (key_counts, largest_keys, missing_counts, profile_table,
@@ -102,6 +102,11 @@ def q_top_k_count(spark, sf_dir):
     return top_k(_brand_lines(spark, sf_dir), "n_lines", 5, "p_brand")
 
 
+def q_count_distinct_ids(spark, sf_dir):
+    """Orders with a line of each return flag and line status, by bitmaps."""
+    return count_distinct_ids(_t(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_orderkey", "n_orders")
+
+
 def q_top_k_distinct(spark, sf_dir):
     # Distinct ordering customers first (partial aggregation), then their nation.
     buyers = _t(spark, sf_dir, "orders").select("o_custkey").distinct()
@@ -278,6 +283,7 @@ OPERATOR_QUERIES: dict[str, Query] = {
     "conditional_count": q_conditional_count,
     "top_k_count": q_top_k_count,
     "top_k_distinct": q_top_k_distinct,
+    "count_distinct_ids": q_count_distinct_ids,
     "group_sum": q_group_sum,
     "rank_band": q_rank_band,
     "deep_rank_band": q_deep_rank_band,

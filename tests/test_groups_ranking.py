@@ -1,7 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
 from crashlens.functions.predicates import ieq
-from crashlens.operators.groups import (conditional_count, count_distinct_by, group_count,
+from crashlens.operators.groups import (conditional_count, count_distinct_by, count_distinct_ids, group_count,
                                         group_sum, groups_with_more_than, groups_without)
 from crashlens.operators.ranking import rank_band, top_k, top_k_count, top_per_group
 from tests.conftest import rows
@@ -77,3 +78,18 @@ def test_deep_rank_band_equals_brute_force_and_merges_nothing_in_one_task(spark)
     # The only single-task step counts ranges: one row each.
     single = [x for x in plan.split("\n") if "SinglePartition" in x]
     assert len(single) <= 1
+
+
+def test_distinct_ids_by_bitmap(spark):
+    big = 2**63 - 1
+    ids = [None, 0, -1, 1, 1, 32767, 32768, 32769, -32768, -32769, big, -big - 1, big, 5 * 10**9]
+    data = [("a", i) for i in ids] + [("b", None), ("b", None), (None, 7), (None, 7), (None, -7)]
+    df = spark.createDataFrame(data, "k string, i long").withColumn("__x", F.lit(1))
+    want = rows(count_distinct_by(df, "k", "i", "n"))
+    assert rows(count_distinct_ids(df, "k", "i", "n")) == want
+    assert ("a", 11) in want and ("b", 0) in want and (None, 2) in want
+    assert rows(count_distinct_ids(df.withColumn("i", F.expr("try_cast(i AS smallint)")), ["k", "__x"], "i", "n")) == rows(
+        count_distinct_by(df.withColumn("i", F.expr("try_cast(i AS smallint)")), ["k", "__x"], "i", "n"))
+    assert rows(count_distinct_ids(df.limit(0), "k", "i", "n")) == []
+    with pytest.raises(TypeError, match="whole-number"):
+        count_distinct_ids(df, "i", "k", "n")
