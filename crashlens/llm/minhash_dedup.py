@@ -11,7 +11,9 @@ position can be lowered by an offer of j or more, so long sets stop after a roun
 3. Each bucket's members are compared with its leader (the smallest id)
    on full sets, and links are closed to components.
 4. Where a bucket still holds several components, every member outside its largest component
-   is compared with all the others, in blocks of bounded size; no link is left unchecked.
+   meets all the others, in blocks of bounded size. A pair is looked at in one bucket only (the
+   least key the two share), and first by size and by a byte of each signature position; full
+   sets are sent only to blocks, and of members, where a pair agrees in enough positions.
 5. Components are closed again over all links.
 
 Sets are compared as sorted 64-bit shingle hashes.
@@ -20,6 +22,7 @@ Sets are compared as sorted 64-bit shingle hashes.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +36,7 @@ from crashlens.llm.components import connected_components
 
 BANDS, ROWS = 25, 5   # a pair of similarity 0.8 shares no band with probability 5e-5
 BLOCK = 256           # members or probes of a bucket compared in one task call
+MISS = 2e-4           # share of pairs exactly at the similarity that the sketches may turn away
 ELEMENTS = 200_000    # set elements signed at a time
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -118,29 +122,45 @@ def band_keys(sign: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndar
     return keys.view(np.int64)
 
 
+def agreements_needed(percent: int, m: int = BANDS * ROWS, miss: float = MISS) -> int:
+    """Signature positions in which a pair must agree: the largest count that a pair exactly at
+    ``percent`` falls short of with a probability of at most ``miss`` (of independent positions;
+    those of SuperMinHash vary less)."""
+    j, tail = percent / 100, 0.0
+    for c in range(m + 1):
+        tail += math.comb(m, c) * j ** c * (1 - j) ** (m - c)
+        if tail > miss:
+            return c
+    return m
+
+
 def sign_documents(docs: DataFrame, k: int) -> DataFrame:
-    """``doc_id, n_shingles, digest, bands`` for each row of ``docs(doc_id, text)``."""
+    """``doc_id, n_shingles, digest, bands, sketch`` for each row of ``docs(doc_id, text)``; the
+    sketch is the low byte of each signature position."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()),
-                        ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
+                        ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sign_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_of = WordHashes()
         for b in batches:
             sets = [shingle_set(t, k, words_of) for t in texts(b)]
             keys: list = []
+            sketches: list = []
             first = 0
             while first < len(sets):
                 last, held = first, 0
                 while last < len(sets) and (held == 0 or held + len(sets[last]) <= ELEMENTS):
                     held += len(sets[last])
                     last += 1
-                keys.extend(band_keys(signatures(sets[first:last])))
+                sign = signatures(sets[first:last])
+                keys.extend(band_keys(sign))
+                sketches.extend(row.tobytes() for row in (sign & np.uint32(0xFF)).astype(np.uint8))
                 first = last
             yield batch_of(schema, [
                 b.column("doc_id"), [len(s) for s in sets],
-                [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], keys])
+                [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], keys, sketches])
 
-    return docs.mapInArrow(sign, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return docs.mapInArrow(sign_batches, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary")
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -178,38 +198,84 @@ def verify_pairs(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(check, "a long, b long")
 
 
+def block_candidates(key: int, probe: np.ndarray, ids: np.ndarray, comp: np.ndarray, main: np.ndarray,
+                     size: np.ndarray, bands: np.ndarray, sketch: np.ndarray, percent: int,
+                     ) -> list[tuple[int, np.ndarray]]:
+    """The pairs of one block that need their full sets, as ``(probe, members)`` places.
+
+    A pair is left out if both are of one component, if their sizes alone forbid the
+    similarity, if too few positions of their sketches agree, if a smaller key joins them too
+    (they are looked at there), or, both being probes, in its second order.
+    """
+    need = agreements_needed(percent, sketch.shape[1])
+    members = np.nonzero(~probe)[0]
+    out = []
+    for p in np.nonzero(probe)[0]:
+        low, high = np.minimum(size[members], size[p]), np.maximum(size[members], size[p])
+        q = members[(comp[members] != comp[p]) & (100 * low >= percent * high)
+                    & ((comp[members] == main[members]) | (ids[members] > ids[p]))]
+        if len(q):
+            q = q[(sketch[q] == sketch[p]).sum(axis=1) >= need]
+        if len(q):
+            shared = np.where(bands[q] == bands[p], bands[q], np.iinfo(np.int64).max).min(axis=1)
+            q = q[shared == key]
+        if len(q):
+            out.append((int(p), q))
+    return out
+
+
+def _block(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Ids, components and candidates of the rows of one block."""
+    col = {n: np.array(table.column(n).to_pylist()) for n in ("probe", "id", "comp", "main", "n")}
+    bands = np.array(table.column("bands").to_pylist(), np.int64)
+    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(bands), -1)
+    return col["id"], col["comp"], block_candidates(
+        table.column("key")[0].as_py(), col["probe"], col["id"], col["comp"], col["main"], col["n"],
+        bands, sketch, percent)
+
+
+def open_places(rows: DataFrame, percent: int) -> DataFrame:
+    """``(key, mblock, pblock, probe, id)`` of the rows with a candidate in their block; no pairs."""
+    schema = pa.schema([("key", pa.int64()), ("mblock", pa.int32()), ("pblock", pa.int32()),
+                        ("probe", pa.bool_()), ("id", pa.int64())])
+
+    def look(table: pa.Table) -> pa.Table:
+        _, _, found = _block(table, percent)
+        keep = np.zeros(table.num_rows, bool)
+        for p, q in found:
+            keep[p] = True
+            keep[q] = True
+        return table.select(schema.names).filter(pa.array(keep)).cast(schema)
+
+    return rows.groupBy("key", "mblock", "pblock").applyInArrow(
+        look, "key long, mblock int, pblock int, probe boolean, id long")
+
+
 def compare_blocks(rows: DataFrame, percent: int) -> DataFrame:
-    """Links between the probes and the members of each block of a bucket; of several links of
-    a probe to one component, one.
+    """Links between the probes and the members of each block of a bucket, on full sets; of
+    several links of a probe to one component, one.
 
-    ``rows(key, mblock, pblock, probe, id, comp, shingles)`` hold a block's members
-    (``probe`` false) and probes.
+    ``rows(key, mblock, pblock, probe, id, comp, main, n, bands, sketch, shingles)`` hold a
+    block's members (``probe`` false) and probes.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(table: pa.Table) -> pa.Table:
-        probe = np.array(table.column("probe").to_pylist(), bool)
-        ids = np.array(table.column("id").to_pylist(), np.int64)
-        comp = np.array(table.column("comp").to_pylist(), np.int64)
+        ids, comp, found = _block(table, percent)
         sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
-        members, probes = np.nonzero(~probe)[0], np.nonzero(probe)[0]
         found_a, found_b = [], []
-        if len(members) and len(probes):
-            size = np.array([len(sets[i]) for i in members])
-            values = np.concatenate([sets[i] for i in members])
-            owner = np.repeat(np.arange(len(members)), size)
-            order = np.argsort(values, kind="stable")
-            values, owner = values[order], owner[order]
-            for p in probes:
-                low = np.searchsorted(values, sets[p], "left")
-                n = np.searchsorted(values, sets[p], "right") - low
-                at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-                inter = np.bincount(owner[at], minlength=len(members))
-                good = linked(inter, size, len(sets[p]), percent) & (comp[members] != comp[p])
-                _, one = np.unique(comp[members][good], return_index=True)
-                for q in members[good][one]:
-                    found_a.append(ids[p])
-                    found_b.append(ids[q])
+        for p, members in found:
+            joined = set()
+            for q in members.tolist():
+                if comp[q] in joined:
+                    continue
+                x, y = (sets[p], sets[q]) if len(sets[p]) <= len(sets[q]) else (sets[q], sets[p])
+                at = np.searchsorted(y, x)
+                at[at == len(y)] = 0
+                if linked(int((y[at] == x).sum()), len(x), len(y), percent):
+                    joined.add(comp[q])
+                    found_a.append(int(ids[p]))
+                    found_b.append(int(ids[q]))
         return pa.table([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], schema=schema)
 
     return rows.groupBy("key", "mblock", "pblock").applyInArrow(compare, "a long, b long")
@@ -234,9 +300,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text_col: st
     usable = signed.where("doc_id is not null and n_shingles > 0")
     # Equal sets: one class. Partial aggregation keeps a hot digest to a row per task.
     classes = staging.write(usable.groupBy("digest")
-                            .agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("m"))
+                            .agg(F.min(F.struct("doc_id", "n_shingles", "bands", "sketch")).alias("m"))
                             .select("digest", F.col("m.doc_id").alias("rep"),
-                                    F.col("m.n_shingles").alias("n"), F.col("m.bands").alias("bands")), "classes")
+                                    F.col("m.n_shingles").alias("n"), F.col("m.bands").alias("bands"),
+                                    F.col("m.sketch").alias("sketch")), "classes")
 
     rows = classes.select(F.col("rep").alias("id"), "n", F.explode("bands").alias("key"))
     buckets = (rows.groupBy("key")
@@ -262,7 +329,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text_col: st
         .select("a", "b", "sa", "sb"), percent), "first")
     comps = connected_components(first, staging)
 
-    # Buckets that still hold several components: all outside the largest against all others.
+    # Buckets that still hold several components: all outside the largest meet all others.
     inside = met.join(comps, "id", "left").select("key", "id", "size", F.coalesce("comp", "id").alias("comp"))
     parts = inside.groupBy("key", "comp").agg(F.count("*").alias("c"))
     mixed = (parts.groupBy("key").agg(F.count("*").alias("n_comps"), F.sum("c").alias("total"),
@@ -279,12 +346,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, text_col: st
     members = open_rows.select(
         "key", F.pmod(F.hash("id"), F.col("mblocks")).alias("mblock"),
         F.explode(F.sequence(F.lit(0), F.col("pblocks") - 1)).alias("pblock"),
-        F.lit(False).alias("probe"), "id", "comp")
+        F.lit(False).alias("probe"), "id", "comp", "main")
     probes = open_rows.where("comp <> main").select(
         "key", F.explode(F.sequence(F.lit(0), F.col("mblocks") - 1)).alias("mblock"),
         F.pmod(F.hash("id"), F.col("pblocks")).alias("pblock"),
-        F.lit(True).alias("probe"), "id", "comp")
-    rest = staging.write(compare_blocks(members.union(probes).join(sets, "id"), percent), "rest")
+        F.lit(True).alias("probe"), "id", "comp", "main")
+    meeting = members.union(probes).join(classes.select(F.col("rep").alias("id"), "n", "bands", "sketch"), "id")
+    places = staging.write(open_places(meeting, percent), "places")
+    again = (places.join(mixed.select("key", "main"), "key").join(comps, "id", "left")
+             .withColumn("comp", F.coalesce("comp", "id"))
+             .join(classes.select(F.col("rep").alias("id"), "n", "bands", "sketch"), "id").join(sets, "id"))
+    rest = staging.write(compare_blocks(again, percent), "rest")
     if not rest.isEmpty():
         comps = connected_components(first.union(rest), staging)
 
