@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from crashlens.llm.common import Staging, batch_of, python_tasks
 from crashlens.llm.components import connected_components
 
-PROJECTIONS = 32
+PROJECTIONS = 48
 RECALL = 0.97
 ROUTED = 0.96
 CELL = 256        # unrelated vectors expected in a cell, at most

@@ -14,15 +14,15 @@ def test_window_collisions_equal_plain_counts(monkeypatch, counters):
     rng = np.random.default_rng(1)
     group = np.sort(rng.integers(0, 12, 90))
     lines = rng.integers(100, 160, (90, op.PROJECTIONS)).astype(np.uint8)
-    got = [(int(i), int(j)) for a, b in op.window_collisions(group, lines, 15, 17) for i, j in zip(a, b)]
+    got = [(int(i), int(j)) for a, b in op.window_collisions(group, lines, 15, 25) for i, j in zip(a, b)]
     wide = lines.astype(int)
     want = [(i, j) for i in range(90) for j in range(i + 1, 90) if group[i] == group[j]
-            and (abs(wide[i] - wide[j]) <= 15).sum() >= 17]
+            and (abs(wide[i] - wide[j]) <= 15).sum() >= 25]
     assert want and sorted(got) == want
 
 
 def test_no_rows_have_no_collisions():
-    assert list(op.window_collisions(np.zeros(0, int), np.zeros((0, op.PROJECTIONS), np.uint8), 15, 17)) == []
+    assert list(op.window_collisions(np.zeros(0, int), np.zeros((0, op.PROJECTIONS), np.uint8), 15, 25)) == []
 
 
 def test_share_of_unrelated_pairs_that_meet_falls_as_the_table_grows():
