@@ -1,16 +1,27 @@
 """Toxicity (operator 8): a weighted finite-state grammar over clauses.
 
-Five small transducers read the words of a clause side by side: *insult* (learned words and
-word beginnings, each with a learned weight), *threat* (a verb of harm), *target* (who is
-addressed), *negation* and *reported speech*. Their composition is one automaton whose
-state is (negated, reported, threatened, targeted); every insult or completed threat emits
-its weight on the channel that the state selects. A document's channels, summed over its
-clauses, go through a logistic function fitted on labelled rows.
-
-Learning takes three Spark passes over a sample of labelled documents, at most
-``max_positive`` and ``max_negative`` of them, chosen by a hash of the id:
-word counts by label in the sample's first part give the insult entries; the channels of the
-second part give the logistic weights; then the entries are counted again over both parts.
+Five transducers read the words of a clause. Each is plain data: its states, where a class of
+word or any other word takes it, and how each state rewrites the events on the tape.
+
+* *insult* turns a learned word or word beginning into a plain insult;
+* *threat* writes a threat where a verb of harm and a target stand within ``REACH`` words;
+* *target* turns a plain insult into a targeted one once somebody is addressed;
+* *negation* turns what stands within ``SCOPE`` words after a negation into a negated insult,
+  and drops a threat there;
+* *reported speech* does so for what follows a verb of saying.
+
+A contrasting conjunction ends negation and report, the clause's end resets all. ``compose``
+builds their cascade, each reading what the one before it wrote, as one automaton over the
+reachable product states. An insult emits its entry's weight on the channel that its event
+ends as, a threat the weight of its verb. A document's channels, summed over its clauses, go
+through a logistic function fitted on labelled rows.
+
+Learning takes two Spark passes over a sample of labelled documents, at most ``max_positive``
+and ``max_negative`` of them, chosen by a hash of the id and dealt into two halves. Word counts
+by label and half give the entries of either half and of both; then each half's channels are
+read with the other half's entries (so that no text meets entries learned from it), and the
+logistic weights are fitted on them all. Verb weights are log ratios of the labels too, drawn
+towards ``THREAT_WEIGHT`` where a verb is rare.
 """
 
 from __future__ import annotations
@@ -23,21 +34,52 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crashlens.llm.common import batch_of, python_tasks, texts
 
 # Closed-class words of the four languages.
-THREATS = {"kill", "hurt", "destroy", "beat", "burn", "stab", "shoot", "attack", "tuer",
-           "frapper", "détruire", "töten", "schlagen", "zerstören", "matar", "golpear", "destruir"}
-TARGETS = {"you", "your", "he", "she", "they", "him", "her", "them", "tu", "toi", "vous", "il",
-           "elle", "ils", "du", "dich", "ihr", "sie", "er", "tú", "usted", "ustedes", "él", "ella"}
-NEGATIONS = {"not", "never", "no", "isn't", "aren't", "don't", "ne", "pas", "jamais", "nicht",
+TARGETS = {"you", "your", "he", "she", "they", "him", "her", "them", "tu", "te", "toi", "vous", "il",
+           "elle", "ils", "lui", "du", "dich", "euch", "ihr", "ihn", "ihnen", "sie", "er", "tú", "usted",
+           "ustedes", "él", "ella"}
+NEGATIONS = {"not", "never", "no", "isn't", "aren't", "don't", "won't", "ne", "pas", "jamais", "nicht",
              "nie", "kein", "keine", "nunca", "jamás"}
 REPORTS = {"said", "says", "wrote", "quoted", "called", "dit", "écrit", "sagte", "schrieb",
            "dijo", "escribió"}
+CONTRASTS = {"but", "mais", "aber", "sondern", "pero", "sino"}
+# Verbs of harm as stems, and the endings that their forms take.
+THREAT_STEMS = {
+    "en": "kill hurt destroy beat burn stab shoot attack",
+    "fr": "tu frapp",
+    "fr_ire": "détrui",
+    "de": "töt schlag schläg zerstör",
+    "es": "mat golpe",
+    "es_ir": "destru",
+}
+THREAT_ENDINGS = {
+    "en": ", s, ed, ing, en, bed, bing",
+    "fr": "e, es, ent, er, ez, ons, é, ée, és, ées, ait, aient, era, erai, eras, eront",
+    "fr_ire": "s, t, re, sent, ra, rai, ras, ront, te",
+    "de": "e, est, et, t, st, en, te, ten, ete, eten",
+    "es": "o, as, a, an, ar, aré, arás, ará, arán, ó, é, ado, ada, ando, aron",
+    "es_ir": "ir, yo, yes, ye, yen, yó, ido, ida",
+}
+THREAT_IRREGULAR = {"shot": "shoot", "schlug": "schlag", "schlugen": "schlag", "geschlagen": "schlag",
+                    "getötet": "töt"}
 THREAT_WEIGHT = 3.0
+THREAT_PRIOR = 5.0  # documents that THREAT_WEIGHT counts for
+REACH, SCOPE = 4, 4
+
+
+def threat_forms() -> dict[str, str]:
+    """The forms of the verbs of harm, each with its stem."""
+    forms = {stem + ending.strip(): stem for kind, stems in THREAT_STEMS.items() for stem in stems.split()
+             for ending in THREAT_ENDINGS[kind].split(",")}
+    return {**forms, **THREAT_IRREGULAR}
+
+
+THREATS = threat_forms()
 
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 CLAUSE_END = ".!?;:\n"
@@ -51,34 +93,110 @@ MIN_SUPPORT = 3
 MIN_WEIGHT = 2.0
 
 
-def compose() -> dict[tuple[int, str], tuple[int, str | None]]:
-    """The composed automaton: (state, symbol) -> (state, channel that the symbol emits on).
-
-    States are sets of four flags as bits: 1 negated, 2 reported, 4 threat verb seen,
-    8 target seen. Symbols: N, R, T (threat verb), Y (target), I (insult).
-    """
-    table: dict[tuple[int, str], tuple[int, str | None]] = {}
-    for state in range(16):
-        negated, reported, threatened, targeted = (bool(state & b) for b in (1, 2, 4, 8))
-        table[state, "N"] = (state | 1, None)
-        table[state, "R"] = (state | 2, None)
-        table[state, "T"] = (state | 4, None)
-        # A threat is a verb of harm with a target after it, neither negated nor reported.
-        table[state, "Y"] = (state | 8, "threat" if threatened and not negated and not reported else None)
-        channel = ("reported" if reported else "negated" if negated else
-                   "targeted" if targeted else "plain")
-        table[state, "I"] = (state, channel)
+@dataclass(frozen=True)
+class Transducer:
+    """``moves``: (state, word class) -> state. ``lapses``: state -> state on a word without a
+    move. ``writes``: (state after the word, event) -> event, or None to drop it; other events
+    pass. What neither names stays as it is."""
+
+    start: str
+    moves: dict[tuple[str, str], str] = field(default_factory=dict)
+    lapses: dict[str, str] = field(default_factory=dict)
+    writes: dict[tuple[str, str], str | None] = field(default_factory=dict)
+
+    def read(self, state: str, symbol: str, events: tuple[str, ...]) -> tuple[str, tuple[str, ...]]:
+        """One word, by its classes (the letters of ``symbol``), with the events on the tape."""
+        after, moved = state, False
+        for letter in symbol:
+            if (after, letter) in self.moves:
+                after, moved = self.moves[after, letter], True
+        if not moved:
+            after = self.lapses.get(state, state)
+        written = (self.writes.get((after, e), e) for e in events)
+        return after, tuple(e for e in written if e)
+
+
+#: Classes of words: contrast, negation, report, threat verb, target, insult.
+LETTERS = "CNRTYI"
+
+
+def countdown(name: str, length: int) -> list[str]:
+    """States ``name`` + length ... ``name`` + 1, each lapsing into the next."""
+    return [f"{name}{k}" for k in range(length, 0, -1)]
+
+
+def transducers() -> list[Transducer]:
+    """Insult, threat, target, negation and reported speech, in the order of the cascade."""
+    insult = Transducer("any", writes={("any", "entry"): "plain"})
+
+    verb, aim = countdown("verb", REACH), countdown("aim", REACH)
+    threat = Transducer(
+        "idle",
+        moves={**{(s, "T"): verb[0] for s in ("idle", "hit", *verb)}, **{(s, "Y"): aim[0] for s in ("idle", "hit", *aim)},
+               **{(s, "Y"): "hit" for s in verb}, **{(s, "T"): "hit" for s in aim}},
+        lapses={"hit": "idle", **dict(zip(verb, [*verb[1:], "idle"])), **dict(zip(aim, [*aim[1:], "idle"]))},
+        writes={("hit", "word"): "threat"})
+
+    target = Transducer("nobody", moves={("nobody", "Y"): "somebody"}, writes={("somebody", "plain"): "targeted"})
+
+    scope = countdown("no", SCOPE + 1)  # the negation itself is the first word
+    negation = Transducer(
+        "free",
+        moves={**{(s, "N"): scope[0] for s in ("free", *scope)}, **{(s, "C"): "free" for s in scope}},
+        lapses=dict(zip(scope, [*scope[1:], "free"])),
+        writes={(s, e): to for s in scope for e, to in (("plain", "negated"), ("targeted", "negated"), ("threat", None))})
+
+    report = Transducer(
+        "own", moves={("own", "R"): "said", ("said", "C"): "own"},
+        writes={("said", e): to for e, to in (("plain", "reported"), ("targeted", "reported"),
+                                              ("negated", "reported"), ("threat", None))})
+    return [insult, threat, target, negation, report]
+
+
+def run_cascade(machines: list[Transducer], states: tuple[str, ...], symbol: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """One word through all machines: their states after it, and the events that come out."""
+    events: tuple[str, ...] = ("word", "entry") if "I" in symbol else ("word",)
+    after = []
+    for machine, state in zip(machines, states):
+        state, events = machine.read(state, symbol, events)
+        after.append(state)
+    return tuple(after), tuple(e for e in events if e != "word")
+
+
+def compose(machines: list[Transducer] | None = None) -> dict[tuple[int, str], tuple[int, tuple[str, ...]]]:
+    """The composed automaton: (state, symbol) -> (state, events), over the product states that
+    can be reached from the start, which is state 0. A symbol is a subset of ``LETTERS``."""
+    machines = machines or transducers()
+    symbols = ["".join(c for i, c in enumerate(LETTERS) if bits >> i & 1) for bits in range(1 << len(LETTERS))]
+    start = tuple(m.start for m in machines)
+    number, todo = {start: 0}, [start]
+    table: dict[tuple[int, str], tuple[int, tuple[str, ...]]] = {}
+    for states in todo:  # grows while it is read
+        for symbol in symbols:
+            after, events = run_cascade(machines, states, symbol)
+            if after not in number:
+                number[after] = len(number)
+                todo.append(after)
+            table[number[states], symbol] = number[after], events
     return table
 
 
 @dataclass
 class Grammar:
-    """``words`` and ``beginnings`` map insult entries to weights; ``logistic`` holds the
-    intercept and one weight per channel. Plain Python values, so it travels to the tasks."""
+    """``words`` and ``beginnings`` map insult entries to weights, ``verbs`` the stems of verbs
+    of harm (``THREAT_WEIGHT`` if not named); ``logistic`` holds the intercept and one weight
+    per channel. Plain Python values, so it travels to the tasks."""
 
     words: dict[str, float] = field(default_factory=dict)
     beginnings: dict[str, float] = field(default_factory=dict)
     logistic: list[float] = field(default_factory=list)
+    verbs: dict[str, float] = field(default_factory=dict)
+
+
+def symbol_of(word: str, insult: bool) -> str:
+    """The classes of a word, in the order of ``LETTERS``."""
+    return "".join(c for c, words in zip(LETTERS, (CONTRASTS, NEGATIONS, REPORTS, THREATS, TARGETS))
+                   if word in words) + ("I" if insult else "")
 
 
 class Scorer:
@@ -107,18 +225,15 @@ class Scorer:
     def clause(self, clause: str) -> dict[str, float]:
         """Run the automaton over one clause: weight by channel."""
         out: dict[str, float] = {}
-        state = 0
+        state, verb = 0, THREAT_WEIGHT
         for word in WORD.findall(clause):
             weight = self.insult(word)
-            symbols = [(s, words) for s, words in (("N", NEGATIONS), ("R", REPORTS), ("T", THREATS),
-                                                   ("Y", TARGETS)) if word in words]
-            for s, _ in symbols:
-                state, channel = self.table[state, s]
-                if channel:
-                    out[channel] = out.get(channel, 0.0) + THREAT_WEIGHT
+            if word in THREATS:
+                verb = self.grammar.verbs.get(THREATS[word], THREAT_WEIGHT)
+            state, events = self.table[state, symbol_of(word, weight > 0)]
+            for event in events:
+                out[event] = out.get(event, 0.0) + (verb if event == "threat" else weight)
             if weight:
-                state, channel = self.table[state, "I"]
-                out[channel] = out.get(channel, 0.0) + weight
                 out["hits"] = out.get("hits", 0.0) + 1
         return out
 
@@ -161,10 +276,13 @@ class Scorer:
 
 
 def word_features(text: str) -> set[str]:
-    """The text's words, and their beginnings marked by a final ``*``."""
+    """The text's words, their beginnings marked by a final ``*``, and the stems of its verbs of
+    harm marked by a final ``~``."""
     out = set()
     for w in set(WORD.findall(text.lower())):
         out.add(w)
+        if w in THREATS:
+            out.add(THREATS[w] + "~")
         out.update(w[:k] + "*" for k in range(SHORTEST, min(LONGEST, len(w) - 1) + 1))
     return out
 
@@ -179,7 +297,7 @@ def choose_entries(counts: list[tuple[str, int, int]], n_pos: int, n_neg: int,
     """
     weight, pos = {}, {}
     for e, a, b in counts:
-        if a >= MIN_SUPPORT:
+        if a >= MIN_SUPPORT and not e.endswith("~"):
             w = math.log((a + 0.5) / (n_pos + 1)) - math.log((b + 0.5) / (n_neg + 1))
             pos[e] = a
             if w >= MIN_WEIGHT and a * w >= 3 * MIN_WEIGHT * MIN_SUPPORT / 2:
@@ -205,6 +323,17 @@ def choose_entries(counts: list[tuple[str, int, int]], n_pos: int, n_neg: int,
             {e[:-1]: w for e, w in kept.items() if e.endswith("*")})
 
 
+def verb_weights(counts: list[tuple[str, int, int]], n_pos: int, n_neg: int) -> dict[str, float]:
+    """A weight for each stem counted: its log ratio, drawn towards ``THREAT_WEIGHT`` as if
+    ``THREAT_PRIOR`` more documents had shown that; never below 0."""
+    out = {}
+    for e, a, b in counts:
+        if e.endswith("~"):
+            ratio = math.log((a + 0.5) / (n_pos + 1)) - math.log((b + 0.5) / (n_neg + 1))
+            out[e[:-1]] = max(0.0, (THREAT_PRIOR * THREAT_WEIGHT + (a + b) * ratio) / (THREAT_PRIOR + a + b))
+    return out
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 60) -> list[float]:
     """Ridge-regularised logistic weights by Newton steps; both labels count alike in total
     only through their numbers (no reweighting)."""
@@ -237,29 +366,47 @@ def _sample(docs: DataFrame, labels: DataFrame, max_positive: int, max_negative:
     return out
 
 
-def _count_words(docs: DataFrame, label_of: dict[int, int]) -> list[tuple[str, int, int]]:
-    """Documents with each word or beginning, by label; counted in the tasks, then summed."""
-    schema = pa.schema([("entry", pa.string()), ("pos", pa.int64()), ("neg", pa.int64())])
+def _count_words(docs: DataFrame, label_of: dict[int, int], half_of: dict[int, int]) -> list[tuple]:
+    """``(entry, toxic documents of half 0, others of half 0, toxic of half 1, others of half 1)``
+    for each word or beginning; counted in the tasks, then summed."""
+    schema = pa.schema([("entry", pa.string())] + [(c, pa.int64()) for c in ("pos0", "neg0", "pos1", "neg1")])
+
+    def rows_of(counters: list[Counter]) -> pa.RecordBatch:
+        entries = list(set().union(*counters))
+        return batch_of(schema, [entries, *([c[e] for e in entries] for c in counters)])
 
     def count(batches):
-        pos, neg = Counter(), Counter()
+        counters = [Counter() for _ in range(4)]
         for b in batches:
             for doc_id, text in zip(b.column("doc_id").to_pylist(), texts(b)):
-                (pos if label_of[doc_id] else neg).update(word_features(text))
-            if len(pos) + len(neg) > 1_000_000:
-                yield batch_of(schema, [list(pos) + list(neg), [*pos.values(), *[0] * len(neg)],
-                                        [*[0] * len(pos), *neg.values()]])
-                pos, neg = Counter(), Counter()
-        yield batch_of(schema, [list(pos) + list(neg), [*pos.values(), *[0] * len(neg)],
-                                [*[0] * len(pos), *neg.values()]])
-
-    counts = (docs.mapInArrow(count, "entry string, pos long, neg long")
-              .groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-              .where(F.col("pos") >= MIN_SUPPORT)
-              # only entries that can reach MIN_WEIGHT come back; the sample bounds their number
-              .where((F.col("pos") + 0.5) / (sum(label_of.values()) + 1) >=
-                     (F.col("neg") + 0.5) / (len(label_of) - sum(label_of.values()) + 1) * 2.0))
-    return [(r[0], r[1], r[2]) for r in counts.collect()]
+                counters[2 * half_of[doc_id] + 1 - label_of[doc_id]].update(word_features(text))
+            if sum(map(len, counters)) > 1_000_000:
+                yield rows_of(counters)
+                counters = [Counter() for _ in range(4)]
+        yield rows_of(counters)
+
+    def may_count(pos, neg, halves) -> Column:
+        """Only entries that can reach MIN_WEIGHT come back; the sample bounds their number."""
+        n_pos = sum(y for d, y in label_of.items() if half_of[d] in halves)
+        n_neg = sum(1 - y for d, y in label_of.items() if half_of[d] in halves)
+        return (pos >= MIN_SUPPORT) & ((pos + 0.5) / (n_pos + 1) >= (neg + 0.5) / (n_neg + 1) * 2.0)
+
+    c = {n: F.col(n) for n in schema.names[1:]}
+    counts = (docs.mapInArrow(count, "entry string, pos0 long, neg0 long, pos1 long, neg1 long")
+              .groupBy("entry").agg(*(F.sum(n).alias(n) for n in c))
+              .where(F.col("entry").endswith("~") | may_count(c["pos0"], c["neg0"], {0})
+                     | may_count(c["pos1"], c["neg1"], {1})
+                     | may_count(c["pos0"] + c["pos1"], c["neg0"] + c["neg1"], {0, 1})))
+    return [tuple(r) for r in counts.collect()]
+
+
+def entries_of(counts: list[tuple], label_of: dict[int, int], half_of: dict[int, int], halves: set[int]) -> Grammar:
+    """Entries and verb weights from the counts of the given halves; no logistic weights."""
+    part = [(r[0], sum(r[1 + 2 * h] for h in halves), sum(r[2 + 2 * h] for h in halves)) for r in counts]
+    n_pos = sum(y for d, y in label_of.items() if half_of[d] in halves)
+    n_neg = sum(1 - y for d, y in label_of.items() if half_of[d] in halves)
+    words, beginnings = choose_entries(part, n_pos, n_neg)
+    return Grammar(words, beginnings, verbs=verb_weights([r for r in part if r[1] + r[2]], n_pos, n_neg))
 
 
 def learn_grammar(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
@@ -276,31 +423,22 @@ def learn_grammar(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_PO
         return Grammar()
     chosen = (docs.select("doc_id", F.col("text").cast("string").alias("text"))
               .where(F.col("doc_id").isin(list(label_of))))
-    # Two parts of the sample, alternating in hash order within each label.
-    part = {d: i % 2 for y in (0, 1) for i, d in enumerate(d for d, l in sample if l == y)}
-    first = {d: y for d, y in sample if part[d] == 0}
-    counts = _count_words(chosen.where(F.col("doc_id").isin(list(first))), first)
-    n_pos = sum(first.values())
-    draft = Grammar(*choose_entries(counts, n_pos, len(first) - n_pos))
+    # Two halves of the sample, alternating in hash order within each label.
+    half_of = {d: i % 2 for y in (0, 1) for i, d in enumerate(d for d, l in sample if l == y)}
+    counts = _count_words(chosen, label_of, half_of)
+    other = [entries_of(counts, label_of, half_of, {1 - h}) for h in (0, 1)]
 
     def channels(batches):
-        scorer = Scorer(draft)
+        scorers = [Scorer(g) for g in other]
         for b in batches:
-            values = [scorer.features(t).tolist() for t in texts(b)]
+            ids = b.column("doc_id").to_pylist()
+            values = [scorers[half_of[d]].features(t).tolist() for d, t in zip(ids, texts(b))]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(values, pa.list_(pa.float64()))], names=["doc_id", "x"])
 
-    second = [d for d, _ in sample if part[d] == 1]
-    rows = (chosen.where(F.col("doc_id").isin(second))
-            .mapInArrow(channels, "doc_id long, x array<double>").collect())
-    grammar = Grammar()
-    if len({label_of[r[0]] for r in rows}) == 2:
-        rows = sorted(rows, key=lambda r: r[0])
-        grammar.logistic = fit_logistic(np.array([r[1] for r in rows]),
-                                        np.array([label_of[r[0]] for r in rows], float))
-        counts = _count_words(chosen, label_of)
-        n_pos = sum(label_of.values())
-        grammar.words, grammar.beginnings = choose_entries(counts, n_pos, len(label_of) - n_pos)
+    rows = sorted(chosen.mapInArrow(channels, "doc_id long, x array<double>").collect(), key=lambda r: (r[0], r[1]))
+    grammar = entries_of(counts, label_of, half_of, {0, 1})
+    grammar.logistic = fit_logistic(np.array([r[1] for r in rows]), np.array([label_of[r[0]] for r in rows], float))
     return grammar
 
 
