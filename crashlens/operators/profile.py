@@ -5,6 +5,7 @@ Each function returns a DataFrame and runs no action; the caller shows or writes
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,9 @@ from pyspark.sql import types as T
 from crashlens.functions.predicates import null_or_placeholder
 from crashlens.operators.dedup import distinct_entities
 
+#: Values that a frequent-items sketch of Spark tracks at most.
+MAX_TRACKED = 1_000_000
+
 
 def schema_rows(spark: SparkSession, df: DataFrame) -> DataFrame:
     """``(column, type, nullable)`` per column, from the plan's schema (no data read)."""
@@ -87,6 +91,34 @@ def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def heavy_values(df: DataFrame, col: str, min_share: float = 0.001) -> DataFrame:
+    """``(value, n)`` for each value of ``col`` that at least ``min_share`` of all rows have, with
+    its exact number of rows. NULL is not a value here (``missing_counts`` counts it).
+
+    For columns that are nearly unique, where ``value_counts`` shuffles a row per value. A first
+    reading proposes values by a frequent-items sketch, which tasks merge; a second one counts
+    the proposed values alone. A tracked value's estimate is never below its count and at most
+    3.5 / slots of the rows above it. The slots are chosen so that this is a quarter of
+    ``min_share``: of the values whose estimate reaches the share there are at most
+    4 / (3 * min_share), and that many are proposed, so none is missed and the list is
+    bounded by the share and not by the data.
+    """
+    if not 0 < min_share <= 1:
+        raise ValueError("min_share lies above 0 and is 1 at most")
+    proposed = math.ceil(4 / (3 * min_share))
+    tracked = max(math.ceil(0.75 * 14 / min_share), proposed)
+    if tracked > MAX_TRACKED:
+        raise ValueError(f"min_share is {0.75 * 14 / MAX_TRACKED} at least")
+    value = F.col(f"`{col}`")
+    found = df.agg(F.count(F.lit(1)).alias("n_rows"), F.expr(
+        f"approx_top_k(`{col}`, {proposed}, {tracked})").alias("top"))
+    heavy = found.select("n_rows", F.explode("top.item").alias("value")).where("value is not null")
+    # The bound on the proposed values makes the broadcast safe; the table is not shuffled.
+    counted = df.select(value.alias("v")).join(F.broadcast(heavy), F.col("v") == F.col("value"))
+    return (counted.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.first("n_rows").alias("n_rows"))
+            .where(F.col("n") >= F.lit(min_share) * F.col("n_rows")).select("value", "n"))
+
+
 def largest_keys(df: DataFrame, key: str, n: int = 20) -> DataFrame:
     """The ``n`` largest distinct values of ``key``, to spot outliers."""
     return df.select(key).distinct().orderBy(F.col(key).desc_nulls_last()).limit(n)

@@ -464,6 +464,12 @@ SELECT 'o_orderstatus' AS "column", o_orderstatus AS value, count(*) AS n FROM o
 UNION ALL
 SELECT 'o_orderpriority' AS "column", o_orderpriority AS value, count(*) AS n FROM orders GROUP BY o_orderpriority""",
 
+    "heavy_values": """
+        SELECT l_partkey AS value, count(*) AS n
+        FROM lineitem
+        WHERE l_partkey IS NOT NULL
+        GROUP BY l_partkey
+        HAVING count(*) >= CAST(0.0005 AS DOUBLE) * (SELECT count(*) FROM lineitem)""",
     "largest_keys": """
 SELECT DISTINCT l_orderkey FROM lineitem ORDER BY l_orderkey DESC LIMIT 20""",
 }

@@ -19,7 +19,7 @@ from crashlens.operators.dedup import count_entities, dedup_by_key, distinct_ent
 from crashlens.operators.groups import (conditional_count, count_distinct_by, count_distinct_ids, group_count,
                                         group_sum, groups_with_more_than, groups_without)
 from crashlens.operators.joins import join_on, restrict_to
-from crashlens.operators.profile import (key_counts, largest_keys, missing_counts, profile_table,
+from crashlens.operators.profile import (heavy_values, key_counts, largest_keys, missing_counts, profile_table,
                                          sample_entities, value_counts)
 from crashlens.operators.ranking import deep_rank_band, rank_band, top_k, top_per_group
 from crashlens.plans import questions as Q
@@ -252,6 +252,10 @@ def q_value_counts_units(spark, sf_dir):
                         ["veh_body_styl_id", "veh_color_id", "veh_dmag_scl_1_id", "tot_injry_cnt"])
 
 
+def q_heavy_values(spark, sf_dir):
+    return heavy_values(_t(spark, sf_dir, "lineitem"), "l_partkey", min_share=0.0005)
+
+
 def q_largest_keys(spark, sf_dir):
     return largest_keys(_t(spark, sf_dir, "lineitem"), "l_orderkey", 20)
 
@@ -307,6 +311,7 @@ OPERATOR_QUERIES: dict[str, Query] = {
     "profile_units": q_profile_units,
     "value_counts_units": q_value_counts_units,
     "largest_keys": q_largest_keys,
+    "heavy_values": q_heavy_values,
 }
 
 QUERIES: dict[str, Query] = {**QUESTION_QUERIES, **OPERATOR_QUERIES}
