@@ -74,7 +74,9 @@ def learn_letter_pairs(docs: DataFrame, label_col: str = "lang", text_col: str =
     """Usual letter pairs and floor from labelled rows; None if no sampled text has a pair.
 
     The sample is what falls below ``per_label / rows`` by hashed id in each language; rows
-    with a null label, text or id are not in it. Labels meet only ids, whole texts only the
+    with a null label, text or id are not in it. The floor comes from texts held against the
+    pairs of the sample's other half: against pairs that it gave itself a text always looks
+    usual, above all in a small sample. Labels meet only ids, whole texts only the
     staged ids. The driver reads the usual pairs alone.
     """
     spark = docs.sparkSession
@@ -86,28 +88,36 @@ def learn_letter_pairs(docs: DataFrame, label_col: str = "lang", text_col: str =
     scale = 1 << 30
     drawn = staging.write(rows.select("i", "l").join(counts, "l")
                           .where(F.pmod(F.xxhash64("i", F.lit(2)), F.lit(scale)) < F.lit(per_label * scale) / F.col("n"))
-                          .select("i", "l").distinct(), "drawn")
-    sample = staging.write(rows.join(drawn, ["i", "l"], "left_semi").select("l", "text"), "sample")
-    schema = pa.schema([("l", pa.string()), ("pair", pa.int64()), ("n", pa.int64())])
+                          .select("i", "l").distinct()
+                          .withColumn("half", F.pmod(F.xxhash64("i", F.lit(3)), F.lit(2)).cast("int")), "drawn")
+    sample = staging.write(rows.join(drawn, ["i", "l"]).select("l", "half", "text"), "sample")
+    schema = pa.schema([("l", pa.string()), ("half", pa.int32()), ("pair", pa.int64()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            by_label: dict[str, list] = {}
-            for lang, t in zip(b.column("l").to_pylist(), texts(b)):
-                by_label.setdefault(lang, []).append(pair_codes(t))
-            for lang, codes in by_label.items():
+            by_part: dict[tuple, list] = {}
+            for lang, half, t in zip(b.column("l").to_pylist(), b.column("half").to_pylist(), texts(b)):
+                by_part.setdefault((lang, half), []).append(pair_codes(t))
+            for (lang, half), codes in by_part.items():
                 pairs, n = np.unique(np.concatenate(codes), return_counts=True)
-                yield batch_of(schema, [[lang] * len(pairs), pairs, n])
+                yield batch_of(schema, [[lang] * len(pairs), [half] * len(pairs), pairs, n])
 
-    found = staging.write(sample.mapInArrow(count, "l string, pair long, n long")
-                          .groupBy("l", "pair").agg(F.sum("n").alias("n")), "pairs")
-    totals = found.groupBy("l").agg(F.sum("n").alias("total"))
-    usual = found.join(totals, "l").where(F.col("n") >= F.lit(USUAL) * F.col("total")).select("pair").distinct()
-    pairs = np.sort(np.array([r[0] for r in usual.collect()], np.int64))
+    found = staging.write(sample.mapInArrow(count, "l string, half int, pair long, n long")
+                          .groupBy("l", "half", "pair").agg(F.sum("n").alias("n")), "pairs")
+
+    def usual(part: DataFrame) -> np.ndarray:
+        summed = part.groupBy("l", "pair").agg(F.sum("n").alias("n"))
+        totals = part.groupBy("l").agg(F.sum("n").alias("total"))
+        often = summed.join(totals, "l").where(F.col("n") >= F.lit(USUAL) * F.col("total")).select("pair").distinct()
+        return np.sort(np.array([r[0] for r in often.collect()], np.int64))
+
+    pairs = usual(found)
     if not len(pairs):
         return None
-    low = (sample.select(share_column(F.col("text"), pairs).alias("s"))
-           .agg(F.percentile_approx("s", QUANTILE, 100_000)).first()[0])
+    other = [usual(found.where(F.col("half") == 1 - h)) for h in (0, 1)]
+    share = F.when(F.col("half") == 0, share_column(F.col("text"), other[0])).otherwise(
+        share_column(F.col("text"), other[1]))
+    low = sample.select(share.alias("s")).agg(F.percentile_approx("s", QUANTILE, 100_000)).first()[0]
     for t in (counts, drawn, sample, found):
         staging.drop(t)
     return LetterPairs(pairs, PART * low)
