@@ -76,7 +76,7 @@ def learn_letter_pairs(docs: DataFrame, label_col: str = "lang", text_col: str =
     The sample is what falls below ``per_label / rows`` by hashed id in each language; rows
     with a null label, text or id are not in it. The floor comes from texts held against the
     pairs of the sample's other half: against pairs that it gave itself a text always looks
-    usual, above all in a small sample. Labels meet only ids, whole texts only the
+    usual, above all in a small sample. If the other half has no pairs, all pairs serve. Labels meet only ids, whole texts only the
     staged ids. The driver reads the usual pairs alone.
     """
     spark = docs.sparkSession
@@ -115,6 +115,7 @@ def learn_letter_pairs(docs: DataFrame, label_col: str = "lang", text_col: str =
     if not len(pairs):
         return None
     other = [usual(found.where(F.col("half") == 1 - h)) for h in (0, 1)]
+    other = [u if len(u) else pairs for u in other]
     share = F.when(F.col("half") == 0, share_column(F.col("text"), other[0])).otherwise(
         share_column(F.col("text"), other[1]))
     low = sample.select(share.alias("s")).agg(F.percentile_approx("s", QUANTILE, 100_000)).first()[0]
