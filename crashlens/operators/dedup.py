@@ -41,6 +41,35 @@ def dedup_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colum
     return df.withColumn(_RN, F.row_number().over(w)).where(F.col(_RN) == 1).drop(_RN)
 
 
+def dedup_columns(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """``dedup_by_key(df, keys)`` with the columns ``keys`` and ``cols`` only.
+
+    Rows that are equal up to the last of ``cols`` in table order agree in all of ``cols``, so
+    the later columns decide nothing that is returned: they are neither sorted nor shuffled.
+    """
+    wanted = {c.lower() for c in cols} - {k.lower() for k in keys}
+    order = [c for c in df.columns if c.lower() not in {k.lower() for k in keys}]
+    last = max((i for i, c in enumerate(order) if c.lower() in wanted), default=-1)
+    read = {c.lower() for c in (*keys, *order[:last + 1])}
+    one = dedup_by_key(df.select(*[_quoted(c) for c in df.columns if c.lower() in read]), keys)
+    kept = wanted | {k.lower() for k in keys}
+    return one.select(*[_quoted(c) for c in one.columns if c.lower() in kept])
+
+
+def dedup_where(df: DataFrame, keys: Sequence[str], cond: Column, reads: Sequence[str]) -> DataFrame:
+    """``dedup_by_key(df, keys).where(cond)``, where ``cond`` reads only ``keys`` and ``reads``.
+
+    The columns behind the last of ``reads`` in table order only choose among rows for which
+    ``cond`` is the same, so rows that fail it travel without them (as NULL).
+    """
+    wanted = {c.lower() for c in reads}
+    order = [c for c in df.columns if c.lower() not in {k.lower() for k in keys}]
+    last = max((i for i, c in enumerate(order) if c.lower() in wanted), default=-1)
+    later = {c.lower() for c in order[last + 1:]}
+    slim = df.select(*[F.when(cond, _quoted(c)).alias(c) if c.lower() in later else _quoted(c) for c in df.columns])
+    return dedup_by_key(slim, keys).where(cond)
+
+
 def distinct_entities(df: DataFrame, cols: Sequence[str], order: Sequence[str | Column] | None = None) -> DataFrame:
     """One row per entity identified by ``cols`` (NULL equals NULL, ``NA`` is a value).
 

@@ -75,26 +75,31 @@ def q1(t: Incidents, more_than: int = 2) -> DataFrame:
     return groups_with_more_than(t.persons_by_key(), "crash_id", cond, more_than, Q1_COUNT)
 
 
-def _one_per_vehicle(rows: DataFrame, null_keys: bool = True) -> DataFrame:
-    """One row per vehicle. The row is chosen on identity and key columns alone; the whole
-    rows are then fetched by their key, which is unique after the keyed dedup."""
+def _one_per_vehicle(rows: DataFrame, staged: bool, null_keys: bool = True) -> DataFrame:
+    """One row per vehicle. Over staged tables the row is chosen on identity and key columns
+    alone, and the whole rows are then fetched from their buckets by their key, which is unique
+    after the keyed dedup. Otherwise a second use of ``rows`` would be a second dedup of all the
+    raw rows, so the whole rows, which the question's filter has left, are chosen from at once."""
+    if not staged:
+        return distinct_entities(rows, VEHICLE_COLS, ENTITY_ORDER)
     narrow = rows.select(*UNIT_KEY, *VEHICLE_COLS)
     return semi_join_rows(rows, distinct_entities(narrow, VEHICLE_COLS, ENTITY_ORDER), UNIT_KEY, null_keys)
 
 
 def _two_wheelers(t: Incidents) -> DataFrame:
-    return t.units_by_key().where(icontains("veh_body_styl_id", MOTORCYCLE))
+    return t.units_by_key(("veh_body_styl_id",), icontains("veh_body_styl_id", MOTORCYCLE))
 
 
 def q2(t: Incidents) -> DataFrame:
     """Two-wheelers booked for crashes: one Units row per distinct vehicle whose body
     style mentions MOTORCYCLE (the row of the smallest ``(crash_id, unit_nbr)``)."""
-    return _one_per_vehicle(_two_wheelers(t))
+    return _one_per_vehicle(_two_wheelers(t), t.deduped)
 
 
 def q2_count(t: Incidents) -> DataFrame:
     """Number of rows of :func:`q2`, as column ``n``."""
-    return count_entities(_two_wheelers(t), VEHICLE_COLS)
+    units = t.units_by_key((*VEHICLE_COLS, "veh_body_styl_id"))
+    return count_entities(units.where(icontains("veh_body_styl_id", MOTORCYCLE)), VEHICLE_COLS)
 
 
 def q3(t: Incidents, k: int = 5) -> DataFrame:
@@ -113,9 +118,9 @@ def q3(t: Incidents, k: int = 5) -> DataFrame:
 
 
 def _hit_and_run(t: Incidents) -> DataFrame:
-    units = t.units_by_key().where(ieq("veh_hnr_fl", HIT_AND_RUN)).drop(*COUNTER_COLS)
-    persons = t.persons_by_key().where(icontains("prsn_type_id", DRIVER)
-                                       & icontains_any("drvr_lic_cls_id", LICENCE_WORDS))
+    units = t.units_by_key(("veh_hnr_fl",), ieq("veh_hnr_fl", HIT_AND_RUN)).drop(*COUNTER_COLS)
+    persons = t.persons_by_key(("prsn_type_id", "drvr_lic_cls_id"),
+                               icontains("prsn_type_id", DRIVER) & icontains_any("drvr_lic_cls_id", LICENCE_WORDS))
     return join_on(units, persons, UNIT_KEY, collisions="drop_left")
 
 
@@ -123,12 +128,16 @@ def q4(t: Incidents) -> DataFrame:
     """Vehicles with a licensed driver involved in hit and run: the joined Units/Person
     rows, one per distinct vehicle. The Units copies of the injury counters are dropped so
     the written result has unique column names."""
-    return _one_per_vehicle(_hit_and_run(t), null_keys=False)
+    return _one_per_vehicle(_hit_and_run(t), t.deduped, null_keys=False)
 
 
 def q4_count(t: Incidents) -> DataFrame:
     """Number of rows of :func:`q4`, as column ``n``."""
-    return count_entities(_hit_and_run(t), VEHICLE_COLS)
+    units = t.units_by_key((*VEHICLE_COLS, "veh_hnr_fl")).where(ieq("veh_hnr_fl", HIT_AND_RUN))
+    persons = (t.persons_by_key(("prsn_type_id", "drvr_lic_cls_id"))
+               .where(icontains("prsn_type_id", DRIVER) & icontains_any("drvr_lic_cls_id", LICENCE_WORDS)))
+    joined = join_on(units.select(*UNIT_KEY, *VEHICLE_COLS), persons.select(*UNIT_KEY), UNIT_KEY)
+    return count_entities(joined, VEHICLE_COLS)
 
 
 def q5(t: Incidents, k: int = 1, placeholders: tuple[str, ...] = ()) -> DataFrame:

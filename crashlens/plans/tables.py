@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
-from crashlens.operators.dedup import dedup_by_key
+from crashlens.operators.dedup import dedup_by_key, dedup_columns, dedup_where
 from crashlens.sources.schemas import (CHARGE_KEY, CHARGES, DAMAGE_KEY, DAMAGES, ENDORSE,
                                        PERSON, PERSON_KEY, RESTRICT, UNIT_KEY, UNITS)
 
@@ -36,18 +36,25 @@ class Incidents:
                    charges=tables.get(CHARGES), damages=tables.get(DAMAGES),
                    endorse=tables.get(ENDORSE), restrict=tables.get(RESTRICT))
 
-    def _one_per_key(self, df: DataFrame | None, keys: tuple[str, ...], name: str) -> DataFrame:
+    def _one_per_key(self, df: DataFrame | None, keys: tuple[str, ...], name: str,
+                     cols: Sequence[str] | None = None, cond: Column | None = None) -> DataFrame:
+        """One row per key. ``cols`` alone: at least those columns and the key. With ``cond``,
+        which reads ``cols``: all columns of the kept rows that pass it."""
         if df is None:
             raise ValueError(f"table {name!r} is needed by this question")
-        return df if self.deduped else dedup_by_key(df, keys)
+        if self.deduped:
+            return df if cond is None else df.where(cond)
+        if cond is not None:
+            return dedup_where(df, keys, cond, cols)
+        return dedup_by_key(df, keys) if cols is None else dedup_columns(df, keys, cols)
 
-    def units_by_key(self) -> DataFrame:
+    def units_by_key(self, cols: Sequence[str] | None = None, cond: Column | None = None) -> DataFrame:
         """Units, one row per ``(crash_id, unit_nbr)``."""
-        return self._one_per_key(self.units, UNIT_KEY, UNITS)
+        return self._one_per_key(self.units, UNIT_KEY, UNITS, cols, cond)
 
-    def persons_by_key(self) -> DataFrame:
+    def persons_by_key(self, cols: Sequence[str] | None = None, cond: Column | None = None) -> DataFrame:
         """Primary_Person, one row per ``(crash_id, unit_nbr)``."""
-        return self._one_per_key(self.primary_person, PERSON_KEY, PERSON)
+        return self._one_per_key(self.primary_person, PERSON_KEY, PERSON, cols, cond)
 
     def charges_by_key(self) -> DataFrame:
         """Charges, one row per ``(crash_id, unit_nbr, prsn_nbr)``."""

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from crashlens.operators.dedup import count_entities, dedup_by_key, distinct_entities
+from crashlens.operators.dedup import count_entities, dedup_by_key, dedup_columns, dedup_where, distinct_entities
 from tests.conftest import rows
 
 SCHEMA = "k1 long, k2 int, a string, b int"
@@ -49,3 +49,28 @@ def test_entity_dedup_nulls_equal_and_na_distinct(spark):
 def test_all_columns_keys(spark):
     df = spark.createDataFrame([(1, 1), (1, 1), (2, None)], "a int, b int")
     assert rows(dedup_by_key(df, ["a", "b"])) == [(1, 1), (2, None)]
+
+
+def _odd_rows(spark):
+    """Repeated and NULL keys, ties in every prefix of the columns, NULLs, whole copies."""
+    data = [((k * 7) % 5 or None, k % 2, [None, "a", "b"][k % 3], [None, "x", "X"][k % 7 % 3], k % 4 or None, f"w{k % 11}")
+            for k in range(400)]
+    return spark.createDataFrame(data, "k1 long, k2 int, a string, b string, c int, wide string")
+
+
+def test_dedup_columns_equals_the_whole_dedup(spark):
+    df = _odd_rows(spark)
+    for cols in (["b"], ["A"], ["wide"], ["b", "a"], [], ["k1", "c"]):
+        one = dedup_columns(df, ["k1", "k2"], cols)
+        assert rows(one) == rows(dedup_by_key(df, ["k1", "k2"]).select(*one.columns))
+        assert {c.lower() for c in cols} <= set(one.columns)
+
+
+def test_dedup_where_equals_the_filter_after_the_dedup(spark):
+    df = _odd_rows(spark)
+    for cond, reads in ((F.col("b") == "x", ["b"]), (F.col("a") == "b", ["a"]), (F.col("a").isNull(), ["a"]),
+                        ((F.col("c") == 3) | (F.col("a") == "a"), ["c", "a"]), (F.col("k2") == 1, []),
+                        (F.lit(False), []), (F.col("wide") == "w3", ["wide"])):
+        got = dedup_where(df, ["k1", "k2"], cond, reads)
+        assert got.columns == df.columns
+        assert rows(got) == rows(dedup_by_key(df, ["k1", "k2"]).where(cond))

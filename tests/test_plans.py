@@ -74,6 +74,22 @@ def test_entity_choice_carries_no_wide_columns(spark, sample):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
+def test_raw_rows_are_deduped_once(sample):
+    """Q2 and Q4 read each raw table once: choosing and fetching the rows share one dedup."""
+    for q, units, persons in ((Q.q2, 1, 0), (Q.q4, 1, 1)):
+        plan = _plan(q(sample))
+        assert len(re.findall(r"FileScan parquet \[p_partkey", plan)) == units
+        assert len(re.findall(r"FileScan parquet \[c_custkey", plan)) == persons
+        assert "LeftSemi" not in plan
+
+
+def test_rows_that_fail_the_filter_travel_without_later_columns(sample):
+    q2 = _plan(Q.q2(sample))
+    below = q2[q2.index("Exchange hashpartitioning(crash_id"):]
+    slim = next(x for x in below.split("\n") if "Project" in x)
+    assert "CASE WHEN Contains(" in slim and "veh_dmag_scl_1_id" in slim
+
+
 def test_release_drops_tables_and_files(spark, sample):
     import os
     staged = stage_deduped(spark, sample, buckets={"units": 3, "primary_person": 2, "damages": 1})
