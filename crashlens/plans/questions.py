@@ -72,7 +72,8 @@ def q1(t: Incidents, more_than: int = 2) -> DataFrame:
     Columns: ``crash_id, count_of_males_killed``.
     """
     cond = ieq("prsn_gndr_id", MALE) & ieq("prsn_injry_sev_id", KILLED)
-    return groups_with_more_than(t.persons_by_key(), "crash_id", cond, more_than, Q1_COUNT)
+    persons = t.persons_by_key(("prsn_gndr_id", "prsn_injry_sev_id"))
+    return groups_with_more_than(persons, "crash_id", cond, more_than, Q1_COUNT)
 
 
 def _one_per_vehicle(rows: DataFrame, staged: bool, null_keys: bool = True) -> DataFrame:
@@ -109,10 +110,10 @@ def q3(t: Incidents, k: int = 5) -> DataFrame:
     The make is part of the vehicle identity, so distinct vehicles per make need only the
     four identity columns (no full-row pick).
     """
-    units = t.units_by_key().where(icontains("veh_body_styl_id", CAR))
-    persons = t.persons_by_key().where(ieq("prsn_type_id", DRIVER)
-                                       & ieq("prsn_airbag_id", NOT_DEPLOYED)
-                                       & ieq("prsn_injry_sev_id", KILLED))
+    units = t.units_by_key((*VEHICLE_COLS, "veh_body_styl_id")).where(icontains("veh_body_styl_id", CAR))
+    persons = (t.persons_by_key(("prsn_type_id", "prsn_airbag_id", "prsn_injry_sev_id"))
+               .where(ieq("prsn_type_id", DRIVER) & ieq("prsn_airbag_id", NOT_DEPLOYED)
+                      & ieq("prsn_injry_sev_id", KILLED)))
     joined = join_on(units.select(*UNIT_KEY, *VEHICLE_COLS), persons.select(*UNIT_KEY), UNIT_KEY)
     return top_k_count(joined.select(*VEHICLE_COLS).distinct(), "veh_make_id", k, Q3_COUNT)
 
@@ -147,13 +148,14 @@ def q5(t: Incidents, k: int = 1, placeholders: tuple[str, ...] = ()) -> DataFram
     row per ``(crash, state)`` with their female count (partial aggregation, so a crash
     with very many rows shrinks to at most one row per state before any shuffle); the
     crash-level test is then a window over those few rows per crash (a crash has at most
-    one row per distinct state). Same answer as "crashes without females, joined back to
+    one row per distinct state). The dedup reads the columns up to the licence state only: those
+    behind it cannot change a kept row's gender or state. Same answer as "crashes without females, joined back to
     persons, distinct crashes per state". State codes such as ``NA`` are counted like any
     other state, as in the job, unless listed in ``placeholders`` (then NULL is left out
     too); the female test still sees every person.
     """
     female = "__crashlens_females"
-    per_state = (t.persons_by_key().where(F.col("crash_id").isNotNull())
+    per_state = (t.persons_by_key(("prsn_gndr_id", "drvr_lic_state_id")).where(F.col("crash_id").isNotNull())
                  .groupBy("crash_id", "drvr_lic_state_id")
                  .agg(F.count_if(ieq("prsn_gndr_id", FEMALE)).alias(female)))
     no_female = (per_state
@@ -181,8 +183,8 @@ def q7(t: Incidents) -> DataFrame:
 
     Columns: ``veh_body_styl_id, prsn_ethnicity_id, count``.
     """
-    units = t.units_by_key().where(not_placeholder("veh_body_styl_id", BODY_PLACEHOLDERS))
-    persons = t.persons_by_key().where(not_placeholder("prsn_ethnicity_id", ETHNICITY_PLACEHOLDERS))
+    units = t.units_by_key(("veh_body_styl_id",)).where(not_placeholder("veh_body_styl_id", BODY_PLACEHOLDERS))
+    persons = t.persons_by_key(("prsn_ethnicity_id",)).where(not_placeholder("prsn_ethnicity_id", ETHNICITY_PLACEHOLDERS))
     joined = join_on(units.select(*UNIT_KEY, "veh_body_styl_id"),
                      persons.select(*UNIT_KEY, "prsn_ethnicity_id"), UNIT_KEY)
     counted = group_count(joined, ["veh_body_styl_id", "prsn_ethnicity_id"], Q7_COUNT)

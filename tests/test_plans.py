@@ -90,6 +90,13 @@ def test_rows_that_fail_the_filter_travel_without_later_columns(sample):
     assert "CASE WHEN Contains(" in slim and "veh_dmag_scl_1_id" in slim
 
 
+def test_q5_dedup_reads_no_column_behind_the_state(sample):
+    plan = _plan(Q.q5(sample))
+    assert "drvr_lic_state_id" in plan and "drvr_lic_cls_id" in plan
+    for behind in ("drvr_zip", "prsn_alc_rslt_id", "o_orderstatus", "tot_injry_cnt", "death_cnt"):
+        assert behind not in plan
+
+
 def test_release_drops_tables_and_files(spark, sample):
     import os
     staged = stage_deduped(spark, sample, buckets={"units": 3, "primary_person": 2, "damages": 1})
