@@ -22,6 +22,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,6 +46,7 @@ BREAKS = b".,;:!?\n\x0b\x0c\r"
 UNDETERMINED = "und"
 _BYTES = byte_map(b"\t", BREAKS)
 _END = b"\xff"                    # no byte of a UTF-8 text
+_BLANK, _NOTHING = (pa.scalar(x, pa.large_binary()) for x in (b" ", b""))
 
 
 class Filter:
@@ -103,6 +105,7 @@ class Counter:
         self.by_lang: dict[str, Numbers] = {}
         self.base: list[tuple[str, bytes]] = [("", b"")]  # number -> language and word
         self.hashes = np.zeros(1, np.uint64)
+        self.spelled = None       # the columns of all_words
 
     def renumber(self, w: np.ndarray) -> np.ndarray:
         """Forget all words but those of ``w``, and give these new numbers."""
@@ -133,6 +136,23 @@ class Counter:
             self.hashes = np.concatenate([self.hashes, h ^ np.array([seeds[x] for x, _ in fresh], np.uint64)])
         return self.hashes
 
+    def all_words(self) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        """By number: the language (its place in ``by_lang``), the word after its language's head,
+        and the word, as columns."""
+        have = len(self.spelled[0]) if self.spelled else 0
+        fresh = self.base[have:]
+        if fresh:
+            place = {lang: i for i, lang in enumerate(self.by_lang)}
+            heads = pa.array([_head(lang) for lang in place] or [b""], pa.large_binary())
+            of = np.array([place.get(lang, 0) for lang, _ in fresh], np.int32)
+            words = pa.array([word for _, word in fresh], pa.large_binary())
+            led = pc.binary_join_element_wise(heads.take(pa.array(of)), words, _NOTHING)
+            if have:
+                of = np.concatenate([self.spelled[0], of])
+                led, words = (pa.concat_arrays(x) for x in ((self.spelled[1], led), (self.spelled[2], words)))
+            self.spelled = of, led, words
+        return self.spelled
+
     def count(self, w: np.ndarray, stop: int) -> Iterator[tuple]:
         """``(k, word numbers (n, k), hashes, counts)`` of the phrases that begin before ``stop``;
         the hashes are for tests."""
@@ -158,7 +178,11 @@ class Counter:
             key = ident[at] * size + w[at + k - 1]
             hk = mix(h[at] * _GOLD + h_of[w[at + k - 1]])
             uniq, where, inverse = np.unique(key, return_index=True, return_inverse=True)
-            words = np.column_stack([uniq // size if parts is None else parts[uniq // size], uniq % size])
+            del key
+            front = uniq // size
+            words = np.empty((len(uniq), k), np.int32)
+            words[:, :-1] = front[:, None] if parts is None else parts[front]
+            words[:, -1] = uniq - front * size
             mine = at < stop
             if was is not None:  # counted in an earlier pass
                 mine &= ~(was[at] & was[at + 1])
@@ -248,8 +272,8 @@ def count_phrases(docs: DataFrame, new, old, first: bool, few: bool, support: in
     counted. Only the language and phrase, as one text, and the count are shuffled."""
     schema = pa.schema([("key", pa.string()), ("c", pa.int64())])
 
-    def batch(keys: list[bytes], c) -> pa.RecordBatch:
-        return batch_of(schema, [pa.array(keys, pa.binary()).cast(pa.string()), c])
+    def batch(keys: list[bytes] | pa.Array, c) -> pa.RecordBatch:
+        return batch_of(schema, [pa.array(keys, pa.large_binary()).cast(pa.string()), c])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(*(Filter(x.value) if x is not None else None for x in (new, old)), first)
@@ -257,17 +281,18 @@ def count_phrases(docs: DataFrame, new, old, first: bool, few: bool, support: in
         n = 0
 
         def rows(w: np.ndarray, stop: int) -> Iterator[pa.RecordBatch]:
-            base, total = counter.base, {}
-            heads = {lang: _head(lang) for lang in counter.by_lang}
+            lang_of, led, words = counter.all_words()
             for k, numbers, _, c in counter.count(w, stop):
                 for i in range(0, len(c), ROWS):
-                    part, count = numbers[i:i + ROWS].tolist(), c[i:i + ROWS]
-                    yield batch([heads[base[row[0]][0]] + b" ".join([base[x][1] for x in row]) for row in part], count)
-                    if k == 1:
-                        for row, x in zip(part, count.tolist()):
-                            total[base[row[0]][0]] = total.get(base[row[0]][0], 0) + x
-            if total:
-                yield batch([heads[lang] for lang in total], list(total.values()))
+                    first, *more = numbers[i:i + ROWS].T
+                    yield batch(pc.binary_join_element_wise(led.take(pa.array(first)), *[words.take(pa.array(x)) for x in more], _BLANK),
+                                c[i:i + ROWS])
+                if k == 1 and len(c):
+                    total = np.zeros(len(counter.by_lang), np.int64)
+                    np.add.at(total, lang_of[numbers[:, 0]], c)
+                    some = np.nonzero(total)[0]
+                    langs = list(counter.by_lang)
+                    yield batch([_head(langs[i]) for i in some.tolist()], total[some])
 
         for b in batches:
             for lang, raw in zip(b.column("lang").to_pylist(), raw_texts(b)):

@@ -293,6 +293,20 @@ def test_blocks_and_chunks_lose_no_phrase(monkeypatch):
         assert {k: v for k, v in got.items() if b" " in k[1]} == want
 
 
+def test_words_of_a_counter_are_spelled_as_columns():
+    """The phrases of a pass are joined by column, so that no phrase is a Python object of its
+    own; new words and a new numbering are followed."""
+    counter = collocations.Counter(None, None, True)
+    for lang, text in (("en", b"one two"), ("", b"one \xc3\xa9"), ("en", b"three")):
+        list(counter.read(lang, text))
+        lang_of, led, words = counter.all_words()
+        assert words.to_pylist() == [word for _, word in counter.base]
+        assert led.to_pylist()[1:] == [x.encode() + b"\t" + word for x, word in counter.base[1:]]
+        assert [list(counter.by_lang)[i] for i in lang_of[1:]] == [x for x, _ in counter.base[1:]]
+    counter.renumber(np.array([3, 0, 5]))
+    assert counter.all_words()[1].to_pylist()[1:] == [b"\tone", b"en\tthree"]
+
+
 def test_collocations_edge_cases(spark):
     got = collocations.mine_collocations(edge_docs(spark), support=30).collect()
     assert [(r.lang, r["rank"], r.phrase, r.a, r.l, r.r) for r in got] == [("en", 1, "word word word word", 39_997, 40_000, 39_998)]
