@@ -72,7 +72,7 @@ def q1(t: Incidents, more_than: int = 2) -> DataFrame:
     Columns: ``crash_id, count_of_males_killed``.
     """
     cond = ieq("prsn_gndr_id", MALE) & ieq("prsn_injry_sev_id", KILLED)
-    persons = t.persons_by_key(("prsn_gndr_id", "prsn_injry_sev_id"))
+    persons = t.persons_with(("prsn_gndr_id", "prsn_injry_sev_id"))
     return groups_with_more_than(persons, "crash_id", cond, more_than, Q1_COUNT)
 
 
@@ -88,7 +88,7 @@ def _one_per_vehicle(rows: DataFrame, staged: bool, null_keys: bool = True) -> D
 
 
 def _two_wheelers(t: Incidents) -> DataFrame:
-    return t.units_by_key(("veh_body_styl_id",), icontains("veh_body_styl_id", MOTORCYCLE))
+    return t.units_with(("veh_body_styl_id",), icontains("veh_body_styl_id", MOTORCYCLE))
 
 
 def q2(t: Incidents) -> DataFrame:
@@ -99,7 +99,7 @@ def q2(t: Incidents) -> DataFrame:
 
 def q2_count(t: Incidents) -> DataFrame:
     """Number of rows of :func:`q2`, as column ``n``."""
-    units = t.units_by_key((*VEHICLE_COLS, "veh_body_styl_id"))
+    units = t.units_with((*VEHICLE_COLS, "veh_body_styl_id"))
     return count_entities(units.where(icontains("veh_body_styl_id", MOTORCYCLE)), VEHICLE_COLS)
 
 
@@ -110,8 +110,8 @@ def q3(t: Incidents, k: int = 5) -> DataFrame:
     The make is part of the vehicle identity, so distinct vehicles per make need only the
     four identity columns (no full-row pick).
     """
-    units = t.units_by_key((*VEHICLE_COLS, "veh_body_styl_id")).where(icontains("veh_body_styl_id", CAR))
-    persons = (t.persons_by_key(("prsn_type_id", "prsn_airbag_id", "prsn_injry_sev_id"))
+    units = t.units_with((*VEHICLE_COLS, "veh_body_styl_id")).where(icontains("veh_body_styl_id", CAR))
+    persons = (t.persons_with(("prsn_type_id", "prsn_airbag_id", "prsn_injry_sev_id"))
                .where(ieq("prsn_type_id", DRIVER) & ieq("prsn_airbag_id", NOT_DEPLOYED)
                       & ieq("prsn_injry_sev_id", KILLED)))
     joined = join_on(units.select(*UNIT_KEY, *VEHICLE_COLS), persons.select(*UNIT_KEY), UNIT_KEY)
@@ -119,8 +119,8 @@ def q3(t: Incidents, k: int = 5) -> DataFrame:
 
 
 def _hit_and_run(t: Incidents) -> DataFrame:
-    units = t.units_by_key(("veh_hnr_fl",), ieq("veh_hnr_fl", HIT_AND_RUN)).drop(*COUNTER_COLS)
-    persons = t.persons_by_key(("prsn_type_id", "drvr_lic_cls_id"),
+    units = t.units_with(("veh_hnr_fl",), ieq("veh_hnr_fl", HIT_AND_RUN)).drop(*COUNTER_COLS)
+    persons = t.persons_with(("prsn_type_id", "drvr_lic_cls_id"),
                                icontains("prsn_type_id", DRIVER) & icontains_any("drvr_lic_cls_id", LICENCE_WORDS))
     return join_on(units, persons, UNIT_KEY, collisions="drop_left")
 
@@ -134,8 +134,8 @@ def q4(t: Incidents) -> DataFrame:
 
 def q4_count(t: Incidents) -> DataFrame:
     """Number of rows of :func:`q4`, as column ``n``."""
-    units = t.units_by_key((*VEHICLE_COLS, "veh_hnr_fl")).where(ieq("veh_hnr_fl", HIT_AND_RUN))
-    persons = (t.persons_by_key(("prsn_type_id", "drvr_lic_cls_id"))
+    units = t.units_with((*VEHICLE_COLS, "veh_hnr_fl")).where(ieq("veh_hnr_fl", HIT_AND_RUN))
+    persons = (t.persons_with(("prsn_type_id", "drvr_lic_cls_id"))
                .where(icontains("prsn_type_id", DRIVER) & icontains_any("drvr_lic_cls_id", LICENCE_WORDS)))
     joined = join_on(units.select(*UNIT_KEY, *VEHICLE_COLS), persons.select(*UNIT_KEY), UNIT_KEY)
     return count_entities(joined, VEHICLE_COLS)
@@ -155,7 +155,7 @@ def q5(t: Incidents, k: int = 1, placeholders: tuple[str, ...] = ()) -> DataFram
     too); the female test still sees every person.
     """
     female = "__crashlens_females"
-    per_state = (t.persons_by_key(("prsn_gndr_id", "drvr_lic_state_id")).where(F.col("crash_id").isNotNull())
+    per_state = (t.persons_with(("prsn_gndr_id", "drvr_lic_state_id")).where(F.col("crash_id").isNotNull())
                  .groupBy("crash_id", "drvr_lic_state_id")
                  .agg(F.count_if(ieq("prsn_gndr_id", FEMALE)).alias(female)))
     no_female = (per_state
@@ -183,8 +183,8 @@ def q7(t: Incidents) -> DataFrame:
 
     Columns: ``veh_body_styl_id, prsn_ethnicity_id, count``.
     """
-    units = t.units_by_key(("veh_body_styl_id",)).where(not_placeholder("veh_body_styl_id", BODY_PLACEHOLDERS))
-    persons = t.persons_by_key(("prsn_ethnicity_id",)).where(not_placeholder("prsn_ethnicity_id", ETHNICITY_PLACEHOLDERS))
+    units = t.units_with(("veh_body_styl_id",)).where(not_placeholder("veh_body_styl_id", BODY_PLACEHOLDERS))
+    persons = t.persons_with(("prsn_ethnicity_id",)).where(not_placeholder("prsn_ethnicity_id", ETHNICITY_PLACEHOLDERS))
     joined = join_on(units.select(*UNIT_KEY, "veh_body_styl_id"),
                      persons.select(*UNIT_KEY, "prsn_ethnicity_id"), UNIT_KEY)
     counted = group_count(joined, ["veh_body_styl_id", "prsn_ethnicity_id"], Q7_COUNT)

@@ -48,12 +48,20 @@ class Incidents:
             return dedup_where(df, keys, cond, cols)
         return dedup_by_key(df, keys) if cols is None else dedup_columns(df, keys, cols)
 
-    def units_by_key(self, cols: Sequence[str] | None = None, cond: Column | None = None) -> DataFrame:
+    def units_by_key(self) -> DataFrame:
         """Units, one row per ``(crash_id, unit_nbr)``."""
-        return self._one_per_key(self.units, UNIT_KEY, UNITS, cols, cond)
+        return self._one_per_key(self.units, UNIT_KEY, UNITS)
 
-    def persons_by_key(self, cols: Sequence[str] | None = None, cond: Column | None = None) -> DataFrame:
+    def persons_by_key(self) -> DataFrame:
         """Primary_Person, one row per ``(crash_id, unit_nbr)``."""
+        return self._one_per_key(self.primary_person, PERSON_KEY, PERSON)
+
+    def units_with(self, cols: Sequence[str], cond: Column | None = None) -> DataFrame:
+        """:meth:`units_by_key` for a question that needs only ``cols``, or the rows of ``cond``."""
+        return self._one_per_key(self.units, UNIT_KEY, UNITS, cols, cond)
+
+    def persons_with(self, cols: Sequence[str], cond: Column | None = None) -> DataFrame:
+        """:meth:`persons_by_key` for a question that needs only ``cols``, or the rows of ``cond``."""
         return self._one_per_key(self.primary_person, PERSON_KEY, PERSON, cols, cond)
 
     def charges_by_key(self) -> DataFrame:
